@@ -25,6 +25,15 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def ascii_lower_key(c: Column) -> Column:
+    """Equal for two strings exactly if ascii_lower() is, and much cheaper; the value itself is not text.
+
+    ASCII alone is lowered as it is. Other text is read as one character a byte and then lowered: that also moves the lead
+    bytes C0-DE to E0-FE, which loses nothing, since the number of continuation bytes after a lead byte still tells them
+    apart."""
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.lower(F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")))
+
+
 def crc_mod(c: Column, n: int) -> Column:
     """crc32 of the value written as text, modulo n; null ids fall in fold 0."""
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % n, F.lit(0))
@@ -83,6 +92,12 @@ def text_chunks(batches, column: str = "text", max_bytes: int = 8 << 20):
             yield batch.slice(start)
 
 
+def shuffle_free(df: DataFrame, weight: Column, most: int) -> DataFrame:
+    """Broadcast a materialised table whose weights add up to at most `most`; beyond that, join it by a hash shuffle."""
+    total = df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if total <= most else df.hint("shuffle_hash")
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Broadcast a narrow, already materialised table when a count proves it small; otherwise leave the shuffle join."""
     return F.broadcast(df) if df.count() <= max_rows else df

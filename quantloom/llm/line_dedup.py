@@ -3,7 +3,7 @@
 Native: DataFrame functions only. Lines are keyed (trimmed, A-Z lowered), long keys are hashed (128 bits) and exploded,
 distinct documents are counted per hash with partial aggregation on (hash, document), so that a line of a third of all
 documents is counted in many tasks. The positions to drop go back to the documents by a hash join whose build side holds
-positions only.
+positions only: broadcast when a sum proves them few, shuffled otherwise.
 
 Defined cases: null or empty text is one empty line; a null doc_id is never counted and loses no line; rows that repeat a
 doc_id count once and are each treated by their own text; extra columns pass through; an empty table gives an empty table.
@@ -14,31 +14,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower
+from .common import SPACES, ascii_lower_key, materialise, shuffle_free
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _key(line: Column, min_chars: int) -> Column:
-    key = ascii_lower(F.btrim(line, F.lit(SPACES)))
-    return F.when(F.char_length(key) >= min_chars, F.unhex(F.md5(key.cast("binary"))))
+def _keys(text: Column, min_chars: int) -> Column:
+    """Hash of each line's key in order, null for short keys."""
+    trimmed = F.transform(_lines(text), lambda x: F.btrim(x, F.lit(SPACES)))
+    return F.transform(trimmed, lambda x: F.when(F.char_length(x) >= min_chars, F.unhex(F.md5(ascii_lower_key(x).cast("binary")))))
 
 
 def dropped_positions(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
     """(_id, _text_hash, _drop): sorted line positions that each document loses; documents that lose none are absent."""
-    rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text_hash"), F.transform(_lines(F.col("text")), lambda x: _key(x, min_chars)).alias("_keys"))
-    rows = rows.filter(F.exists("_keys", lambda k: k.isNotNull()))
+    rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text_hash"), _keys(F.col("text"), min_chars).alias("_keys"))
+    rows = materialise(rows.filter(F.exists("_keys", lambda k: k.isNotNull())))  # hashes only: texts are parsed once
+    placed = rows.select("_id", "_text_hash", F.posexplode("_keys").alias("_pos", "_key")).filter(F.col("_key").isNotNull())
     seen = rows.select("_id", F.explode(F.array_distinct(F.filter("_keys", lambda k: k.isNotNull()))).alias("_key"))
     frequent = seen.groupBy("_key").agg(F.countDistinct("_id").alias("_n"), F.max("_id").alias("_keeper")).filter(F.col("_n") >= min_docs).drop("_n")
-    placed = rows.select("_id", "_text_hash", F.posexplode("_keys").alias("_pos", "_key")).filter(F.col("_key").isNotNull())
     return placed.join(frequent, "_key").filter(F.col("_id") != F.col("_keeper")).groupBy("_id", "_text_hash").agg(F.sort_array(F.collect_set("_pos")).alias("_drop"))
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
     """docs with text rewritten, plus n_lines (before) and n_dropped. Lines kept are joined by newlines in their order."""
-    drop = dropped_positions(docs, min_docs, min_chars).hint("shuffle_hash")
+    drop = shuffle_free(materialise(dropped_positions(docs, min_docs, min_chars)), F.size("_drop"), 2_000_000)
     keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
     joined = keyed.join(drop, (keyed["doc_id"] == drop["_id"]) & (keyed["_text_hash"] == drop["_text_hash"]), "left")
     lines = _lines(keyed["text"])
