@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_chats
 from .common import crc_mod, scratch
+from .ctw import score
 from .embed_dedup import near_dedup
 from .flac import text_media
 from .langid import predict, train
@@ -46,6 +47,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, held_out=crc_mod(F.col("doc_id"), 5) == 1)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     fold = crc_mod(F.col("doc_id"), 4)
@@ -72,7 +78,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_ngram_jaccard_join, op3_token_counts, op4_best_fit_packing, op6_language_id, op7_line_dedup, op8_source_mixing, op9_embedding_near_dedup, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_ngram_jaccard_join, op3_token_counts, op4_best_fit_packing, op5_lm_scoring, op6_language_id, op7_line_dedup, op8_source_mixing, op9_embedding_near_dedup, op10_media_columns)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
