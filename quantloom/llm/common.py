@@ -78,7 +78,7 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(target)
 
 
-def text_chunks(batches, column: str = "text", max_bytes: int = 8 << 20):
+def text_chunks(batches, column: str = "text", max_bytes: int = 2 << 20):
     """Cut Arrow batches into slices of about max_bytes of text, so that memory follows the bound, not the rows."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
