@@ -145,7 +145,7 @@ def read(texts: list[str | None], depth: int) -> tuple[np.ndarray, np.ndarray, n
     return words, n + 1, grams[at], size
 
 
-def _chunks(texts: list[str | None], most: int = 4 << 20):
+def _chunks(texts: list[str | None], most: int = 2 << 20):
     start = total = 0
     for i, t in enumerate(texts):
         total += len(t or "")
@@ -170,7 +170,7 @@ def _counted(keys: np.ndarray, trained: np.ndarray) -> list[tuple[np.ndarray, np
 # ---------------------------------------------------------------- Spark
 
 
-def score(docs: DataFrame, held_out: Column, depth: int = 6, bucket_bytes: int = 32 << 20) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, depth: int = 6, bucket_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), n_bytes and bits_per_byte of each row.
 
     Texts with held_out true are scored by a model that never saw them."""
