@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import string
 import tempfile
@@ -60,6 +61,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of finished jobs now; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, wherever the driver got it from."""
     sc = spark.sparkContext

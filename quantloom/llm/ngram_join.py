@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise, ship, text_chunks
+from .common import broadcast_if_small, materialise, release, ship, text_chunks
 from .components import connected_components
 
 #: The sketch: two rows of counters, cut into parts that are summed each in its own task. Its size is fixed.
@@ -184,7 +184,7 @@ def _ordered_sets(docs: DataFrame, wanted: DataFrame, k: int, shared) -> DataFra
             sets = [h[ends[i] - n[i] : ends[i]][np.argsort(rank[ends[i] - n[i] : ends[i]], kind="stable")].astype(">u8").tobytes() for i in own.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(cls[own]), pa.array(n[own], pa.int64()), pa.array(sets, pa.binary())], names)
 
-    return materialise(rows.mapInArrow(run, "cls long, n long, elements binary").dropDuplicates(["cls"]))
+    return materialise(rows.mapInArrow(run, "cls long, n long, elements binary"))
 
 
 def walk(probe: bytes, members: list[tuple[int, bytes]], percent: int) -> list[int]:
@@ -258,20 +258,29 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach), one row for each row of docs."""
     spark = docs.sparkSession
     ship(spark)
+
+    def fits(x, y):
+        return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
     profile, sketch = _profile(docs, k)
     shared = spark.sparkContext.broadcast(sketch)
     rows = materialise(_prefix_rows(docs, k, percent, shared))
-    met = rows.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("lo"), F.max(F.struct("cls", "n")).alias("hi")).filter("lo.cls <> hi.cls")
-    open_ = materialise(rows.join(met, "token").distinct())
+    met = rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("token")
+    shared_rows = rows.join(met, "token").distinct()
+    # a class stays with a shingle if the next smaller or next larger set there is near enough in size to be linked
+    by_size = Window.partitionBy("token").orderBy("n", "cls")
+    near = lambda other: F.coalesce(fits(F.col("n"), other("n").over(by_size)), F.lit(False))
+    open_ = materialise(shared_rows.withColumn("_near", near(F.lag) | near(F.lead)).filter("_near").select("token", "cls", "n"))
+    release(spark)
     classes = profile.filter("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     sets = _ordered_sets(docs, materialise(open_.select("cls").distinct().join(classes, "cls").select("doc_id", "cls")), k, shared)
-
-    def fits(x, y):
-        return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    ends = open_.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("lo"), F.max(F.struct("cls", "n")).alias("hi"))
+    open_ = materialise(open_.join(ends, "token"))
 
     first = [open_.filter((F.col("cls") != F.col(f"{e}.cls")) & fits(F.col("n"), F.col(f"{e}.n"))).select(F.least("cls", f"{e}.cls").alias("probe"), F.greatest("cls", f"{e}.cls").alias("member")) for e in ("lo", "hi")]
     pairs = materialise(first[0].unionAll(first[1]).distinct())
     done, links = pairs, materialise(_verified(pairs, sets, percent))
+    release(spark)
     component = connected_components(links)
     # all pairs with the two first probes are compared: they leave, and shingles with at most one class left are settled
     left, probes = open_.filter("cls <> lo.cls and cls <> hi.cls").select("token", "cls", "n"), 2
