@@ -6,11 +6,12 @@ depths are mixed by the weights of the context tree: half for a node's own estim
 
 Training gathers every (context, byte) of every training text:
 
-1. Texts are dealt to buckets of about bucket_bytes. Each bucket sends back its distinct words and its distinct byte grams
-   (context and byte) with their training counts, also those that it needs only for scoring (count 0).
-2. Counts are summed by key. The tree below a context of two bytes depends on grams with that context only, so partitions by
-   those two bytes compute all deeper nodes on their own; nodes of depth 0 and 1 (at most 257 x 255) come from their sums.
-3. Each gram's log probability and each word's count go back to the buckets that hold it, and each bucket scores its texts.
+1. Texts are dealt to buckets of about bucket_bytes. Each bucket sends its distinct words and its distinct byte grams
+   (context and byte) with their training counts, also those that it needs only for scoring (count 0), packed by shard.
+2. The tree below a context of two bytes depends on grams with that context only, so the shards, dealt by those two bytes,
+   sum the counts and compute all deeper nodes on their own; nodes of depth 0 and 1 (at most 257 x 255) are sums of theirs.
+3. Each shard answers each bucket with the log probabilities of its grams and the counts of its words, and each bucket
+   scores its texts.
 
 So what is gathered grows with the corpus; no table of the model is held whole anywhere, and no sample is taken. A child
 that training never reached predicts as its parent.
@@ -24,11 +25,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, word_list
-from .ngram_join import word_hashes
+from .common import materialise, release, ship, word_list
+from .ngram_join import mix, word_hashes
 
 END_WORD = np.int64(0x5EED_0E4D)
 LOG_HALF = np.log(0.5)
@@ -170,7 +171,31 @@ def _counted(keys: np.ndarray, trained: np.ndarray) -> list[tuple[np.ndarray, np
 # ---------------------------------------------------------------- Spark
 
 
-def score(docs: DataFrame, held_out: Column, depth: int = 6, bucket_bytes: int = 16 << 20) -> DataFrame:
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side, so that the shuffle's and the table's compression sees the zeros."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _whole(data: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _planes(np.diff(keys, prepend=np.int64(0)))
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_whole(data, np.int64))
+
+
+def _shard(keys: np.ndarray, kind: int, shards: int) -> np.ndarray:
+    """Grams go by the two bytes before their last one, words by their hash."""
+    x = mix((keys >> 8 & 0xFFFF if kind else keys).astype(np.uint64))
+    return (x % np.uint64(shards)).astype(np.int64)
+
+
+def score(docs: DataFrame, held_out: Column, depth: int = 5, bucket_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), n_bytes and bits_per_byte of each row.
 
     Texts with held_out true are scored by a model that never saw them."""
@@ -180,6 +205,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = 6, bucket_bytes: int =
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
     total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 4)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
 
     def gather(key, table):
@@ -189,59 +215,71 @@ def score(docs: DataFrame, held_out: Column, depth: int = 6, bucket_bytes: int =
             w, nw, g, ng = read(texts[lo:hi], depth)
             words += _counted(w, np.repeat(trained[lo:hi], nw))
             grams += _counted(g, np.repeat(trained[lo:hi], ng))
-        (wk, wc), (gk, gc) = _sums(words), _sums(grams)
-        n = len(wk) + len(gk)
-        return pa.table([pa.array(np.full(n, key[0].as_py(), np.int32)), pa.array(np.repeat([0, 1], [len(wk), len(gk)]).astype(np.int32)), pa.array(np.concatenate([wk, gk])), pa.array(np.concatenate([wc, gc]))], names=["bucket", "kind", "key", "n"])
-
-    seen = materialise(rows.groupBy("bucket").applyInArrow(gather, "bucket int, kind int, key long, n long"))
-    # a word has at most one row for each bucket, so no word is hot
-    by_word = Window.partitionBy("key")
-    words = seen.filter("kind = 0").select("bucket", "key", F.sum("n").over(by_word).cast("double").alias("value"), (F.row_number().over(by_word.orderBy("bucket")) == 1).alias("first"))
-    words = materialise(words)
-    sums = words.filter("first and value > 0").agg(F.sum("value"), F.count("*")).first()
-    train_tokens, distinct = int(sums[0] or 0), int(sums[1])
-    grams = seen.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n"))
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    grams = materialise(grams)
-
-    def whole(batches) -> Subtrees | None:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        parts = [p for p in parts if len(p[0])]
-        return Subtrees(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(float), depth) if parts else None
+            if len(grams) > 16:  # fold in what has been read, so that memory follows the distinct keys
+                words, grams = [_sums(words)], [_sums(grams)]
+        out = []
+        for kind, parts in enumerate((words, grams)):
+            keys, counts = _sums(parts)
+            shard = _shard(keys, kind, shards)
+            order = np.argsort(shard, kind="stable")  # keys stay ascending within a shard
+            for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                out.append((key[0].as_py(), kind, int(shard[part[0]]), _pack_keys(keys[part]), _planes(counts[part])))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])], names=["bucket", "kind", "shard", "keys", "counts"])
+
+    seen = materialise(rows.groupBy("bucket").applyInArrow(gather, "bucket int, kind int, shard int, keys binary, counts binary"))
+    release(spark)
+    by_shard = lambda: seen.repartition(2 * shards, "kind", "shard")
+
+    def shards_of(batches):
+        """Per shard: kind, its buckets with their keys, all keys and their total counts."""
+        held: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for b, kind, shard, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault((kind, shard), []).append((b, _unpack_keys(keys), _whole(counts, np.int64)))
+        while held:
+            (kind, _), parts = held.popitem()
+            yield kind, [(b, k) for b, k, _ in parts], *_sums([(k, c) for _, k, c in parts])
 
     def roots(batches):
-        tree = whole(batches)
-        if tree is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in tree.roots()], ["context", "decision", "logs", "n0", "n1"])
+        for kind, _, keys, counts in shards_of(batches):
+            if kind:
+                cols = Subtrees(keys, counts.astype(float), depth).roots()
+            else:  # training tokens and distinct ones, in a row of their own
+                cols = [np.array([v]) for v in (-1, 0, float(counts.sum()), float((counts > 0).sum()), 0.0)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["context", "decision", "logs", "n0", "n1"])
 
     def values(batches):
-        tree = whole(batches)
-        if tree is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(tree.grams), pa.array(tree.log10(shared.value))], ["key", "value"])
-
-    below = lambda: grams.repartition(n_parts, F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
-    # at most 256 x 255 rows
-    top = below().mapInArrow(roots, "context long, decision long, logs double, n0 double, n1 double").groupBy("context", "decision").agg(*[F.sum(c).alias(c) for c in ("logs", "n0", "n1")]).toArrow()
-    shared = spark.sparkContext.broadcast(Top(*(top.column(c).to_numpy() for c in ("context", "decision", "logs", "n0", "n1"))))
-    valued = materialise(below().mapInArrow(values, "key long, value double"))
-    back = seen.filter("kind = 1").select("bucket", "key").join(valued, "key").select("bucket", F.lit(1).alias("kind"), "key", "value")
-    tables = words.select("bucket", F.lit(0).alias("kind"), "key", "value").unionByName(back)
+        for kind, parts, keys, counts in shards_of(batches):
+            v = Subtrees(keys, counts.astype(float), depth).log10(shared.value).astype(np.float32) if kind else counts
+            for b, k in parts:
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([kind], pa.int32()), pa.array([_pack_keys(k)]), pa.array([_planes(v[np.searchsorted(keys, k)])])], ["bucket", "kind", "keys", "value"])
+
+    # at most 256 x 255 rows and one more
+    top = by_shard().mapInArrow(roots, "context long, decision long, logs double, n0 double, n1 double").groupBy("context", "decision").agg(*[F.sum(c).alias(c) for c in ("logs", "n0", "n1")]).toArrow()
+    context, decision, logs, n0, n1 = (top.column(c).to_numpy() for c in ("context", "decision", "logs", "n0", "n1"))
+    node = context >= 0
+    train_tokens, distinct = int(logs[~node].sum()), int(n0[~node].sum())
+    shared = spark.sparkContext.broadcast(Top(*(c[node] for c in (context, decision, logs, n0, n1))))
+    tables = by_shard().mapInArrow(values, "bucket int, kind int, keys binary, value binary")
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
 
-    def rate(key, docs_, table):
-        kind, keys, value = (table.column(c).to_numpy() for c in ("kind", "key", "value"))
-        order = np.argsort(keys, kind="stable")
-        kind, keys, value = kind[order], keys[order], value[order]
-        wk, wv, gk, gv = keys[kind == 0], value[kind == 0], keys[kind == 1], value[kind == 1]
-        texts, out = docs_.column("text").to_pylist(), []
+    def rate(key, texts_of, table):
+        lookup = []
+        for kind, dtype in ((0, np.int64), (1, np.float32)):
+            parts = [(_unpack_keys(k), _whole(v, dtype)) for x, k, v in zip(table.column("kind").to_pylist(), table.column("keys").to_pylist(), table.column("value").to_pylist()) if x == kind]
+            keys, value = (np.concatenate(c) for c in zip(*parts))
+            order = np.argsort(keys, kind="stable")
+            lookup += [keys[order], value[order].astype(np.float64)]
+        wk, wv, gk, gv = lookup
+        texts, out = texts_of.column("text").to_pylist(), []
         for lo, hi in _chunks(texts):
             w, nw, g, ng = read(texts[lo:hi], depth)
             c = wv[np.searchsorted(wk, w)]
             base = np.log10((c + 0.5) / (train_tokens + 0.5 * (distinct + 1)))
-            starts_w, starts_g = np.cumsum(nw) - nw, np.cumsum(ng) - ng
-            out.append((nw, np.add.reduceat((c > 0).astype(np.int64), starts_w), np.add.reduceat(base, starts_w), np.add.reduceat(gv[np.searchsorted(gk, g)], starts_g), ng))
-        nw, known, base, s, ng = (np.concatenate(c) for c in zip(*out)) if out else [np.zeros(0)] * 5
-        return pa.table([docs_.column("doc_id"), docs_.column("held_out"), pa.array(nw, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(nw), train_tokens)), pa.array(base), pa.array(s), pa.array(ng, pa.int64()), pa.array(-s / np.log10(2) / np.maximum(ng, 1))], names=names)
+            at_w, at_g = np.cumsum(nw) - nw, np.cumsum(ng) - ng
+            out.append((nw, np.add.reduceat((c > 0).astype(np.int64), at_w), np.add.reduceat(base, at_w), np.add.reduceat(gv[np.searchsorted(gk, g)], at_g), ng))
+        nw, known, base, s, ng = (np.concatenate(c) for c in zip(*out))
+        return pa.table([texts_of.column("doc_id"), texts_of.column("held_out"), pa.array(nw, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(nw), train_tokens)), pa.array(base), pa.array(s), pa.array(ng, pa.int64()), pa.array(-s / np.log10(2) / ng)], names=names)
 
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
     return rows.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(rate, schema)
