@@ -140,20 +140,19 @@ def predict(docs: DataFrame, model: Model, margin: float = 0.02) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
     added = {"lang_pred": "string", "score": "double", "ambiguous": "boolean"}
     rest = [c for c in docs.columns if c not in added]
-    frame = docs.select(*rest, F.col("text").cast("string").alias("_text"))
+    frame = docs.select(*rest)  # the text travels once, in its own column
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema.fields)
 
     def run(batches):
         m = shared.value
-        for batch in text_chunks(batches, "_text"):
-            texts = batch.column(batch.schema.get_field_index("_text")).to_pylist()
+        for batch in text_chunks(batches):
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             read = np.array([bool(m.languages) and t is not None and LETTER.search(t) is not None for t in texts])
             lang, score, unclear = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts), bool)
             if read.any():
                 best, s, lead = m.decode(m.margins(_lower([t for t, r in zip(texts, read) if r])))
                 lang[read], score[read], unclear[read] = np.array(m.languages, object)[best], s, lead < margin
-            cols = [c for n, c in zip(batch.schema.names, batch.columns) if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(unclear)], [*rest, *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(unclear)], [*rest, *added])
 
     return frame.mapInArrow(run, schema + "".join(f", {k} {v}" for k, v in added.items()))
 
