@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, size: int = SIZE, end: int = 0, tokenizer: str | Non
 
     def run(batches):
         encoder = word_encoder(tokenizer)
-        for batch in text_chunks(batches, max_bytes=16 << 20):
+        for batch in text_chunks(batches, max_bytes=4 << 20):
             owner, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, raw in enumerate(encoder.encode_batch([t or "" for t in batch.column(1).to_pylist()])):
                 raw += tail

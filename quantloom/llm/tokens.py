@@ -119,7 +119,7 @@ class MergeTable:
 class WordEncoder:
     """ids(text) as little-endian unsigned 32-bit bytes. The two caches are emptied when full; they only save time."""
 
-    def __init__(self, path: str, max_words: int = 700_000, max_pieces: int = 500_000):
+    def __init__(self, path: str, max_words: int = 400_000, max_pieces: int = 300_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
