@@ -9,11 +9,12 @@ that counts every shingle of every document. Classes that share such a shingle m
 * the other sets of a probe form a prefix tree (sets sorted in the global order, each set beginning at the depth that it
   shares with the one before); the probe walks it once, shares the overlap counted on common paths and leaves a subtree as
   soon as the elements left on either side cannot reach the overlap that is needed;
-* links are contracted to components; a shingle whose classes then lie in one component is settled, any other gets twice as
-  many probes in the next round, until every pair in different components has been compared. No link is lost, no candidate
+* pairs whose sizes or signatures (parities of elements over 512 cells) already rule a link out go before any set is moved;
+* links are contracted to components; a shingle whose classes then lie in one component is settled, any other gets four times
+  as many probes in the next round, until every pair in different components has been compared. No link is lost, no candidate
   is capped, and a large group of near copies costs a star instead of all its pairs.
 
-Sets travel only for classes that share a shingle. A probe with very many partners is dealt out in blocks.
+Sets travel only for pairs that are left then. A probe with very many partners is dealt out in blocks.
 
 Defined cases: a text without words has the empty set and is linked with nothing; fewer than k words are one shingle; null
 text is no words; a null doc_id is linked with nothing; rows that repeat a doc_id are compared each by their own text; an empty table gives no rows.
@@ -31,6 +32,8 @@ from .components import connected_components
 
 #: The sketch: two rows of counters, cut into parts that are summed each in its own task. Its size is fixed.
 SKETCH_BITS, PART = 20, 1 << 16
+#: Longs in a set's signature.
+WORDS = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256).astype(np.uint64)
@@ -96,6 +99,15 @@ def _class_ids(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return mix(total[ends] - total[ends - counts] + counts.astype(np.uint64) * _PLACES[-2]).view(np.int64)
 
 
+def _signatures(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Parities of each set's elements over 64 * WORDS cells, as WORDS longs. Two sets that differ in d elements differ in
+    at most d cells."""
+    cells = 64 * WORDS
+    own = np.repeat(np.arange(len(counts)), counts)
+    odd = np.bincount(own * cells + ((h >> np.uint64(20)) % np.uint64(cells)).astype(np.int64), minlength=len(counts) * cells) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(counts), cells), axis=1).view(np.int64)
+
+
 def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mask = np.uint64((1 << SKETCH_BITS) - 1)
     return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64) + (1 << SKETCH_BITS)
@@ -107,10 +119,11 @@ def _estimate(sketch: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _profile(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, cls) of each row, and the sketch of document frequencies."""
+    """(doc_id, n_shingles, cls, s0...) of each row, and the sketch of document frequencies."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_shingles", "cls", "part", "salt", "counts"]
+    signature = [f"s{i}" for i in range(WORDS)]
+    names = ["doc_id", "n_shingles", "cls", *signature, "part", "salt", "counts"]
 
     def run(batches):
         counts = np.zeros(2 << SKETCH_BITS, np.int64)
@@ -123,14 +136,14 @@ def _profile(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
             cls = _class_ids(h, n)
             salt = int(cls[0]) & 7 if len(cls) else salt
             ids, rows = batch.column(0), len(n)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(cls, pa.int64()), *map(pa.array, np.ascontiguousarray(_signatures(h, n).T)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if ids is not None:
             small = np.minimum(counts, (1 << 32) - 1).astype("<u4")
             parts = [small[i : i + PART].tobytes() for i in range(0, len(small), PART)]
             m = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array([salt] * m, pa.int32()), pa.array(parts)], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), *[pa.nulls(m, pa.int64())] * (2 + WORDS), pa.array(range(m), pa.int32()), pa.array([salt] * m, pa.int32()), pa.array(parts)], names)
 
-    both = materialise(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long, part int, salt int, counts binary"))
+    both = materialise(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long, {''.join(f'{c} long, ' for c in signature)}part int, salt int, counts binary"))
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -147,7 +160,7 @@ def _profile(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
         rows = rows.repartition(parts, *wide).mapInArrow(add, "part int, salt int, counts binary")
     for p, _, c in rows.collect():  # of fixed size, whatever the corpus
         sketch[p * PART : (p + 1) * PART] = np.frombuffer(c, "<u4")
-    return both.filter("part is null").select("doc_id", "n_shingles", "cls"), sketch
+    return both.filter("part is null").select("doc_id", "n_shingles", "cls", *signature), sketch
 
 
 def _prefix_rows(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
@@ -272,18 +285,31 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     near = lambda other: F.coalesce(fits(F.col("n"), other("n").over(by_size)), F.lit(False))
     open_ = materialise(shared_rows.withColumn("_near", near(F.lag) | near(F.lead)).filter("_near").select("token", "cls", "n"))
     release(spark)
-    classes = profile.filter("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    sets = _ordered_sets(docs, materialise(open_.select("cls").distinct().join(classes, "cls").select("doc_id", "cls")), k, shared)
-    ends = open_.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("lo"), F.max(F.struct("cls", "n")).alias("hi"))
+    signature = [f"s{i}" for i in range(WORDS)]
+    classes = materialise(profile.filter("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in signature]))
+    small = classes.count() <= 500_000
+
+    def verify(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs (probe, member) whose signatures and sizes leave room for a link, and the links among them."""
+        side = lambda name, x: classes.select(F.col("cls").alias(name), F.col("n").alias(f"{x}n"), *[F.col(c).alias(f"{x}{c}") for c in signature])
+        both = pairs
+        for name, x in (("probe", "p"), ("member", "m")):
+            both = both.join(F.broadcast(side(name, x)) if small else side(name, x), name)
+        apart = sum((F.bit_count(F.col(f"p{c}").bitwiseXOR(F.col(f"m{c}"))) for c in signature), F.lit(0))
+        sizes = F.col("pn") + F.col("mn")
+        close = materialise(both.filter(fits(F.col("pn"), F.col("mn")) & (apart <= sizes - 2 * F.ceil(sizes * percent / (100 + percent)))).select("probe", "member"))
+        used = close.select(F.col("probe").alias("cls")).unionAll(close.select("member")).distinct()
+        sets = _ordered_sets(docs, materialise(used.join(classes, "cls").select("doc_id", "cls")), k, shared)
+        return close, materialise(_verified(close, sets, percent))
+
+    ends = open_.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
     open_ = materialise(open_.join(ends, "token"))
-
-    first = [open_.filter((F.col("cls") != F.col(f"{e}.cls")) & fits(F.col("n"), F.col(f"{e}.n"))).select(F.least("cls", f"{e}.cls").alias("probe"), F.greatest("cls", f"{e}.cls").alias("member")) for e in ("lo", "hi")]
-    pairs = materialise(first[0].unionAll(first[1]).distinct())
-    done, links = pairs, materialise(_verified(pairs, sets, percent))
+    first = [open_.filter(F.col("cls") != F.col(e)).select(F.least("cls", e).alias("probe"), F.greatest("cls", e).alias("member")) for e in ("lo", "hi")]
+    done, links = verify(first[0].unionAll(first[1]).distinct())
     release(spark)
     component = connected_components(links)
     # all pairs with the two first probes are compared: they leave, and shingles with at most one class left are settled
-    left, probes = open_.filter("cls <> lo.cls and cls <> hi.cls").select("token", "cls", "n"), 2
+    left, probes = open_.filter("cls <> lo and cls <> hi").select("token", "cls", "n"), 2
     while True:
         placed = left.join(component, left["cls"] == component["node"], "left").select("token", "cls", "n", F.coalesce("component", "cls").alias("c"))
         mixed = placed.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("token")
@@ -294,13 +320,13 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
         ranked = materialise(left.withColumn("_turn", F.row_number().over(turn)))
         chosen = ranked.filter(F.col("_turn") <= probes).select("token", F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"))
         more = ranked.join(chosen, "token").filter((F.col("c") != F.col("pc")) & fits(F.col("n"), F.col("pn"))).select(F.least("cls", "p").alias("probe"), F.greatest("cls", "p").alias("member")).distinct()
-        more = materialise(more.join(done, ["probe", "member"], "left_anti"))
-        found = materialise(_verified(more, sets, percent))
+        close, found = verify(more.join(done, ["probe", "member"], "left_anti"))
         if found.take(1):
             links = links.unionAll(found)
             component = connected_components(links)
-        done = done.unionAll(more)
-        left, probes = ranked.filter(F.col("_turn") > probes).select("token", "cls", "n"), probes * 2
+        done = done.unionAll(close)
+        left, probes = ranked.filter(F.col("_turn") > probes).select("token", "cls", "n"), probes * 4
+        release(spark)
     placed = profile.join(component, profile["cls"] == component["node"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "cls")).alias("_c"))
     placed = materialise(placed)
     least = placed.filter("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("_least")).withColumnRenamed("_c", "_k")
