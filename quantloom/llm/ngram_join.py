@@ -5,12 +5,14 @@ are stored in one global order, rare shingles first, so that two similar sets sh
 (n - ceil(t n) + 1); the order needs document frequencies only roughly and takes them from a count-min sketch of fixed size
 that counts every shingle of every document. Classes that share such a shingle meet by that shingle:
 
-* the least and the greatest class of each shared shingle are joined with all its other classes, not all pairs of them;
+* shingles that hold exactly the same classes stand for one another: one of them stays;
+* first each class is compared with one partner, the class of least hash that it meets; this joins most groups of near copies
+  as stars. Then some probes of each shingle (the classes of least hash) are joined with its other classes, not all pairs;
 * the other sets of a probe form a prefix tree (sets sorted in the global order, each set beginning at the depth that it
   shares with the one before); the probe walks it once, shares the overlap counted on common paths and leaves a subtree as
   soon as the elements left on either side cannot reach the overlap that is needed;
-* pairs whose sizes or signatures (parities of elements over 512 cells) already rule a link out go before any set is moved;
-* links are contracted to components; a shingle whose classes then lie in one component is settled, any other gets four times
+* pairs whose sizes or signatures (parities of elements over 512 cells) already rule a link out never leave that join;
+* links are contracted to components; a shingle whose classes then lie in one component is settled, any other gets sixteen times
   as many probes in the next round, until every pair in different components has been compared. No link is lost, no candidate
   is capped, and a large group of near copies costs a star instead of all its pairs.
 
@@ -167,17 +169,23 @@ def _prefix_rows(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
     """(token, cls, n): the first elements of each set in the global order."""
 
     def run(batches):
-        sketch = shared.value
+        sketch, sent = shared.value, set()
         for batch in text_chunks(batches):
             h, n = shingle_sets(batch.column(0).to_pylist(), k)
             cls, rank = _class_ids(h, n), _estimate(sketch, h)
             take = n - -(-percent * n // 100) + 1
             ends = np.cumsum(n)
-            picked = [s + np.argsort(rank[s:e], kind="stable")[:t] for s, e, t in zip((ends - n).tolist(), ends.tolist(), take.tolist()) if e > s]
+            picked, own = [], []
+            for d, c in enumerate(cls.tolist()):
+                if n[d] and c not in sent:  # equal sets of one task go out once
+                    sent.add(c)
+                    picked.append(ends[d] - n[d] + np.argsort(rank[ends[d] - n[d] : ends[d]], kind="stable")[: take[d]])
+                    own.append(d)
             if picked:
-                at = np.concatenate(picked)
-                own = np.repeat(np.arange(len(n)), np.where(n > 0, take, 0))
+                at, own = np.concatenate(picked), np.repeat(own, take[own])
                 yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(cls[own]), pa.array(n[own], pa.int64())], ["token", "cls", "n"])
+            if len(sent) > 1_000_000:
+                sent.clear()
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, cls long, n long")
 
@@ -277,55 +285,62 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
     profile, sketch = _profile(docs, k)
     shared = spark.sparkContext.broadcast(sketch)
-    rows = materialise(_prefix_rows(docs, k, percent, shared))
-    met = rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("token")
-    shared_rows = rows.join(met, "token").distinct()
+    rows = _prefix_rows(docs, k, percent, shared).repartition("token").dropDuplicates(["token", "cls"])
     # a class stays with a shingle if the next smaller or next larger set there is near enough in size to be linked
     by_size = Window.partitionBy("token").orderBy("n", "cls")
-    near = lambda other: F.coalesce(fits(F.col("n"), other("n").over(by_size)), F.lit(False))
-    open_ = materialise(shared_rows.withColumn("_near", near(F.lag) | near(F.lead)).filter("_near").select("token", "cls", "n"))
+    near = lambda other: other("n").over(by_size).isNotNull() & fits(F.col("n"), other("n").over(by_size))  # noqa: E731  least() skips nulls
+    open_ = materialise(rows.withColumn("_near", near(F.lag) | near(F.lead)).filter("_near").select("token", "cls", "n"))
+    # shingles that hold the same classes lead to the same pairs: one of them stays
+    lists = open_.groupBy("token").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("cls")).alias("_x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("_y"))
+    open_ = materialise(open_.join(lists.groupBy("_n", "_x", "_y").agg(F.min("token").alias("token")).select("token"), "token"))
     release(spark)
     signature = [f"s{i}" for i in range(WORDS)]
     classes = materialise(profile.filter("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in signature]))
-    small = classes.count() <= 500_000
-
-    def verify(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The pairs (probe, member) whose signatures and sizes leave room for a link, and the links among them."""
-        side = lambda name, x: classes.select(F.col("cls").alias(name), F.col("n").alias(f"{x}n"), *[F.col(c).alias(f"{x}{c}") for c in signature])
-        both = pairs
-        for name, x in (("probe", "p"), ("member", "m")):
-            both = both.join(F.broadcast(side(name, x)) if small else side(name, x), name)
-        apart = sum((F.bit_count(F.col(f"p{c}").bitwiseXOR(F.col(f"m{c}"))) for c in signature), F.lit(0))
-        sizes = F.col("pn") + F.col("mn")
-        close = materialise(both.filter(fits(F.col("pn"), F.col("mn")) & (apart <= sizes - 2 * F.ceil(sizes * percent / (100 + percent)))).select("probe", "member"))
-        used = close.select(F.col("probe").alias("cls")).unionAll(close.select("member")).distinct()
-        sets = _ordered_sets(docs, materialise(used.join(classes, "cls").select("doc_id", "cls")), k, shared)
-        return close, materialise(_verified(close, sets, percent))
+    near_by = classes.select("cls", *signature)
+    open_ = materialise(open_.join(F.broadcast(near_by) if classes.count() <= 500_000 else near_by, "cls"))
+
+    def could_link():
+        """Sizes and signatures of a class and a probe (columns named p...) leave room for a link."""
+        apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p{c}"))) for c in signature), F.lit(0))
+        sizes = F.col("n") + F.col("pn")
+        return fits(F.col("n"), F.col("pn")) & (apart <= sizes - 2 * F.ceil(sizes * percent / (100 + percent)))
 
-    ends = open_.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
-    open_ = materialise(open_.join(ends, "token"))
-    first = [open_.filter(F.col("cls") != F.col(e)).select(F.least("cls", e).alias("probe"), F.greatest("cls", e).alias("member")) for e in ("lo", "hi")]
-    done, links = verify(first[0].unionAll(first[1]).distinct())
+    def as_probe(df, *more):
+        return df.select("token", *[F.col(c).alias(f"p{c}") for c in ("cls", "n", *signature, *more)])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """The links among the pairs (probe, member)."""
+        used = pairs.select(F.col("probe").alias("cls")).unionAll(pairs.select("member")).distinct()
+        sets = _ordered_sets(docs, materialise(used.join(classes, "cls").select("doc_id", "cls")), k, shared)
+        return materialise(_verified(pairs, sets, percent))
+
+    by_hash = Window.partitionBy("token").orderBy(F.xxhash64("cls"), "cls")
+    pair = (F.least("cls", "pcls").alias("probe"), F.greatest("cls", "pcls").alias("member"))
+    # each class and one partner: the class of least hash that it meets and could be linked with
+    first = as_probe(open_.withColumn("_turn", F.row_number().over(by_hash)).filter("_turn = 1"))
+    partner = open_.join(first, (open_["token"] == first["token"]) & (F.col("cls") != F.col("pcls")) & could_link())
+    partner = partner.groupBy("cls").agg(F.min(F.struct(F.xxhash64("pcls").alias("h"), "pcls"))["pcls"].alias("pcls"))
+    done = materialise(partner.select(*pair).distinct())
+    links = verify(done)
     release(spark)
     component = connected_components(links)
-    # all pairs with the two first probes are compared: they leave, and shingles with at most one class left are settled
-    left, probes = open_.filter("cls <> lo and cls <> hi").select("token", "cls", "n"), 2
+    left, probes = open_, 2
     while True:
-        placed = left.join(component, left["cls"] == component["node"], "left").select("token", "cls", "n", F.coalesce("component", "cls").alias("c"))
+        placed = left.join(component, left["cls"] == component["node"], "left").select(*left.columns, F.coalesce("component", "cls").alias("c"))
         mixed = placed.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("token")
-        left = materialise(placed.join(mixed, "token"))
-        if not left.take(1):
+        ranked = materialise(placed.join(mixed, "token").withColumn("_turn", F.row_number().over(by_hash)))
+        if not ranked.take(1):
             break
-        turn = Window.partitionBy("token").orderBy(F.xxhash64("cls", F.lit(probes)), "cls")
-        ranked = materialise(left.withColumn("_turn", F.row_number().over(turn)))
-        chosen = ranked.filter(F.col("_turn") <= probes).select("token", F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"))
-        more = ranked.join(chosen, "token").filter((F.col("c") != F.col("pc")) & fits(F.col("n"), F.col("pn"))).select(F.least("cls", "p").alias("probe"), F.greatest("cls", "p").alias("member")).distinct()
-        close, found = verify(more.join(done, ["probe", "member"], "left_anti"))
-        if found.take(1):
-            links = links.unionAll(found)
-            component = connected_components(links)
-        done = done.unionAll(close)
-        left, probes = ranked.filter(F.col("_turn") > probes).select("token", "cls", "n"), probes * 4
+        chosen = as_probe(ranked.filter(F.col("_turn") <= probes), "c")
+        more = ranked.join(chosen, (ranked["token"] == chosen["token"]) & (F.col("c") != F.col("pc")) & could_link()).select(*pair).distinct()
+        pairs = materialise(more.join(done, ["probe", "member"], "left_anti"))
+        if pairs.take(1):
+            found = verify(pairs)
+            done = done.unionAll(pairs)
+            if found.take(1):
+                links = links.unionAll(found)
+                component = connected_components(links)
+        left, probes = ranked.filter(F.col("_turn") > probes).select(*left.columns), probes * 16
         release(spark)
     placed = profile.join(component, profile["cls"] == component["node"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "cls")).alias("_c"))
     placed = materialise(placed)
