@@ -3,7 +3,7 @@
 Each language gets a codeword of bits. For each bit a binary n-gram classifier (log odds of hashed byte trigrams and bigrams
 between the languages with a one and those with a zero) reads the whole text. Counts for the classifiers cover all labelled
 rows given and are summed in Spark; the model has bins x languages numbers, whatever the corpus. A bounded sample of
-labelled rows (calibration_rows, the rows of least hash) measures how often each bit is right for each language; decoding
+labelled rows (at most calibration_rows, the rows of least hash) measures how often each bit is right for each language; decoding
 sums those weights times the logistic loss of the bit and takes the codeword of least loss. A text is ambiguous if its two
 best codewords lie closer than `margin`.
 
@@ -102,20 +102,25 @@ def train(labelled: DataFrame, calibration_rows: int = 2000) -> Model:
             for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by.setdefault(lang, []).append(t)
             for lang, texts in by.items():
-                sums[lang] = sums.get(lang, 0) + np.bincount(grams(_lower(texts))[0].ravel(), minlength=BINS)
+                sums[lang] = sums.get(lang, 0) + np.bincount(grams(_lower(texts))[0].ravel(), minlength=BINS + 1)
+                sums[lang][BINS] += len(texts)  # the rows themselves
         for lang, c in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * BINS), pa.array(np.arange(BINS), pa.int32()), pa.array(c, pa.int64())], ["lang", "bin", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (BINS + 1)), pa.array(np.arange(BINS + 1), pa.int32()), pa.array(c, pa.int64())], ["lang", "bin", "n"])
 
     # languages x bins rows, whatever the corpus
     summed = rows.mapInArrow(count, "lang string, bin int, n long").filter("n > 0").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
     names = summed.column("lang").to_pylist()
     languages = sorted(set(names))
-    counts = np.zeros((len(languages), BINS))
+    counts = np.zeros((len(languages), BINS + 1))
     at = {lang: i for i, lang in enumerate(languages)}
     counts[[at[x] for x in names], summed.column("bin").to_numpy()] = summed.column("n").to_numpy()
+    labelled_rows, counts = counts[:, BINS].sum(), counts[:, :BINS]
     model = Model(languages, counts)
     if len(languages) > 1 and calibration_rows:
-        sample = rows.orderBy(F.xxhash64("text", "lang"), "text", "lang").limit(calibration_rows)
+        # rows of a low hash, about four times as many as needed, so that tasks do not each send calibration_rows texts
+        low = (1 << 64) * min(1.0, 4 * calibration_rows / max(labelled_rows, 1)) - (1 << 63)
+        drawn = rows.withColumn("_h", F.xxhash64("text", "lang")).filter(F.col("_h") <= F.lit(low))
+        sample = drawn.orderBy("_h", "text", "lang").limit(calibration_rows).drop("_h")
         shared = spark.sparkContext.broadcast(model)
 
         def judge(batches):
