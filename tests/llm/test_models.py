@@ -82,6 +82,17 @@ def test_scores_are_brute_force(spark):
             assert got[i].base_score == pytest.approx(base) and got[i].score == pytest.approx(brute_ctw(seqs, body(t), 3), rel=1e-5)
 
 
+def test_default_depth_is_six_bytes(spark):
+    texts = ["xabcdef1 yabcdef2", "xabcdef1 yabcdef2 xabcdef1", "yabcdef2 xabcdef1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    body = lambda t: t.encode() + b" \n"
+    got = {r.doc_id: r.score for r in ctw.score(df, F.col("doc_id") == 2).collect()}
+    seqs = [body(t) for t in texts[:2]]
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(brute_ctw(seqs, body(t), 6), rel=1e-5)
+        assert got[i] != pytest.approx(brute_ctw(seqs, body(t), 5), rel=1e-5)
+
+
 def test_scores_of_odd_tables(spark, odd_docs, no_docs, docs):
     held = crc_mod(F.col("doc_id"), 5) == 1
     assert ctw.score(no_docs, held).count() == 0
