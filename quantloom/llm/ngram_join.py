@@ -349,6 +349,20 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the near copies: of each component the row of its smallest doc_id stays; rows without words stay."""
-    keep = materialise(ngram_join(docs, k, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct())
-    return docs.join(broadcast_if_small(keep), F.col("doc_id") == F.col("_keep"), "left_semi")
+    """docs without the near copies: of each component one row of its smallest doc_id stays.
+
+    Rows without words or without a doc_id are linked with nothing and all stay. Rows that share a doc_id are told apart by
+    their text; of rows that repeat both, one stays."""
+    text = F.col("text").cast("string")
+    key = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_hash")))
+    placed = materialise(ngram_join(docs.select(key.alias("doc_id"), text.alias("text")), k, percent).filter("n_shingles > 0 and doc_id is not null"))
+    dropped = materialise(placed.filter("doc_id <> component_id").select("doc_id.*").distinct())
+    repeated = materialise(placed.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id.*"))
+    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
+    left = docs.join(broadcast_if_small(dropped), same, "left_anti")
+    if not repeated.take(1):
+        return left
+    repeated = broadcast_if_small(repeated)
+    one = Window.partitionBy("doc_id", F.xxhash64(text)).orderBy(F.xxhash64(*docs.columns))
+    first = left.join(repeated, same, "left_semi").withColumn("_turn", F.row_number().over(one)).filter("_turn = 1").select(*docs.columns)
+    return left.join(repeated, same, "left_anti").unionByName(first)

@@ -75,6 +75,20 @@ def test_one_of_each_group_stays(copies):
     assert sorted(r.doc_id for r in nj.keep_one(copies).collect()) == sorted(i for i, c in brute_join(rows, 5, 80) if i == c)
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(spark, odd_docs, no_docs):
+    long = next(r.text for r in odd_docs.filter("doc_id = 104").collect())
+    more = [(None, None, "en", "s0", 0), (None, "no id here, only text", "en", "s0", 1), (101, "", "en", "s1", 0), (104, "an id that a near copy holds as well", "en", "s0", 1)]
+    more += [(200, "one and the same row, but for a column", "en", s, 1) for s in ("s0", "s1", "s2")] + [(201, long, "en", "s1", 1), (201, "unlike its namesake in every word", "en", "s1", 1)]
+    df = odd_docs.unionByName(spark.createDataFrame(more, odd_docs.schema))
+    rows = sorted(((r.doc_id, r.text) for r in df.collect()), key=lambda r: (r[0] is None, r[0] or 0))
+    alone = [r for r in rows if r[0] is None]
+    numbered = [(i, t) for i, (_, t) in enumerate(rows[: len(rows) - len(alone)])]
+    want = alone + [rows[i] for i, c in brute_join(numbered, 5, 80) if i == c]
+    got = nj.keep_one(df)
+    assert got.columns == df.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert nj.keep_one(no_docs).count() == 0
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sets(st.integers(1, 40), min_size=1, max_size=30), min_size=1, max_size=12), st.sets(st.integers(1, 40), min_size=1, max_size=30), st.integers(30, 95))
 def test_walk_finds_exactly_the_links(members, probe, percent):
