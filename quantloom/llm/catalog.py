@@ -17,7 +17,7 @@ from .line_dedup import line_dedup
 from .mixing import mix_plan
 from .ngram_join import ngram_join
 from .packing import best_fit_pack
-from .token_counts import RollupStore, count_tokens, count_words, upserts
+from .token_counts import RollupStore, count_tokens, count_words, entries
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     store = RollupStore(spark, f"{scratch(spark)}/rollups-{uuid.uuid4().hex}")
     for version, count in (("byte_bpe_50k", count_tokens), ("words_1", count_words)):
-        changes = upserts(count(docs))
+        changes = entries(count(docs), docs)
         for _ in range(2):
             store.commit(version, changes)
     return store.totals()

@@ -5,9 +5,10 @@ back what the log holds for the document, a revised count does both. Totals are
 the documents again. A batch is written to a folder of its own name in one commit of Spark's file committer: its _SUCCESS
 file is the commit record. A batch that is already committed changes nothing; one that failed half-way is written anew.
 
-Changes: op (upsert or delete), seq, doc_id, source, lang, tokenizer_version, n_tokens. Defined cases: within a batch the last
+Changes: op (upsert, delete or insert), seq, doc_id, source, lang, tokenizer_version, n_tokens. Defined cases: within a batch the last
 change (greatest seq, ties by op, source, lang and count) of a (doc_id, tokenizer_version) counts, so repeated rows count
-once; deleting what is not there changes nothing; null source, lang or doc_id are values like others; null counts are 0; an
+once; an insert adds its row whatever else the batch or the log holds, and a later change of its doc_id takes back all of
+them; deleting what is not there changes nothing; null source, lang or doc_id are values like others; null counts are 0; an
 empty batch commits and changes nothing; extra columns are ignored.
 """
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ship, text_chunks
+from .common import WORD, broadcast_if_small, materialise, ship, text_chunks
 from .tokens import rank_encoder
 
 KEY = ("doc_id", "tokenizer_version")
@@ -66,13 +67,15 @@ class RollupStore:
         target = f"{self.root}/batch={batch_id}"
         if any(f.rstrip("/").endswith(f"/batch={batch_id}") for f in self._batches()):
             return False
-        last = Window.partitionBy(*KEY).orderBy(F.desc("seq"), F.desc("op"), F.desc("source"), F.desc("lang"), F.desc("n_tokens"))
+        insert = F.col("op").eqNullSafe("insert")  # each insert is a group of its own
+        changes = changes.withColumn("_own", F.when(insert, F.monotonically_increasing_id()))
+        last = Window.partitionBy(*KEY, "_own").orderBy(F.desc("seq"), F.desc("op"), F.desc("source"), F.desc("lang"), F.desc("n_tokens"))
         final = changes.withColumn("_turn", F.row_number().over(last)).filter("_turn = 1")
         fresh = final.filter("op <> 'delete'").select("doc_id", "source", "lang", "tokenizer_version", F.lit(1).cast("long").alias("d_docs"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("d_tokens"))
         rows = fresh
         if self._batches():  # what the log holds for these documents is taken back
             now = self.log().groupBy("doc_id", "source", "lang", "tokenizer_version").agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).filter("d_docs <> 0 or d_tokens <> 0")
-            keys = final.select(*[F.col(c).alias(f"_{c}") for c in KEY])
+            keys = final.filter(~insert).select(*[F.col(c).alias(f"_{c}") for c in KEY])
             on = [now[c].eqNullSafe(keys[f"_{c}"]) for c in KEY]
             gone = now.join(keys, on, "left_semi").select("doc_id", "source", "lang", "tokenizer_version", (-F.col("d_docs")).alias("d_docs"), (-F.col("d_tokens")).alias("d_tokens"))
             rows = rows.unionByName(gone)
@@ -89,6 +92,15 @@ def upserts(counted: DataFrame, seq: int = 0) -> DataFrame:
     return counted.withColumns({"op": F.lit("upsert"), "seq": F.lit(seq)})
 
 
+def entries(counted: DataFrame, docs: DataFrame, seq: int = 0) -> DataFrame:
+    """Changes that count every row of docs: upserts, but inserts for rows whose doc_id is null or not theirs alone."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("_many")).filter("_many is not null")
+    many = broadcast_if_small(materialise(ids.groupBy("_many").count().filter("count > 1").select("_many")))
+    found = counted.join(many, counted["doc_id"] == F.col("_many"), "left")
+    op = F.when(F.col("doc_id").isNull() | F.col("_many").isNotNull(), "insert").otherwise("upsert")
+    return found.withColumns({"op": op, "seq": F.lit(seq)}).drop("_many")
+
+
 def deletes(keys: DataFrame, seq: int = 0) -> DataFrame:
     """Changes that delete the (doc_id, tokenizer_version) given."""
     return keys.select(F.lit("delete").alias("op"), F.lit(seq).alias("seq"), F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), "tokenizer_version", F.lit(0).cast("long").alias("n_tokens"))

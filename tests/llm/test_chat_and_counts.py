@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.llm import chat
-from quantloom.llm.token_counts import RollupStore, count_tokens, count_words, deletes, upserts
+from quantloom.llm.token_counts import RollupStore, count_tokens, count_words, deletes, entries, upserts
 
 from .conftest import clashing
 
@@ -137,3 +137,14 @@ def test_rollups_of_odd_rows(spark, odd_docs, no_docs, tmp_path):
     assert sum(v[0] for v in totals(store).values()) == len(ids)
     got = {(r.doc_id, r.source): r.n_tokens for r in count_tokens(odd_docs).collect()}
     assert got[100, None] == 0 and got[101, "s0"] == 0 and got[105, "s2"] == 1
+
+
+def test_every_row_counts(spark, odd_docs, tmp_path):
+    store = RollupStore(spark, str(tmp_path / "s"))
+    df = odd_docs.unionByName(odd_docs.filter("doc_id is null"))
+    rows = df.collect()
+    for batch in ("a", "a"):
+        store.commit(batch, entries(count_words(df), df))
+    assert [sum(v[i] for v in totals(store).values()) for i in (0, 1)] == [len(rows), sum(len((r.text or "").encode().split()) for r in rows)]
+    store.commit("b", deletes(count_words(df.filter("doc_id = 3"))))
+    assert sum(v[0] for v in totals(store).values()) == sum(r.doc_id != 3 for r in rows)
