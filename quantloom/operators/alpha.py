@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..windows import KEY, lag, last, prior, ratio, row, so_far, w
+from ..windows import KEY, corr, lag, last, prior, ratio, row, so_far, w
 from .recursive import per_symbol
 
 YEAR = math.sqrt(252)
@@ -135,7 +135,7 @@ def obv(df: DataFrame) -> DataFrame:
 def volume_price(df: DataFrame) -> DataFrame:
     df = df.withColumn("_r", F.coalesce(ratio(F.col("close") - lag("close"), lag("close")), F.lit(0.0)))
     paid = F.sum(F.col("close") * F.col("volume")).over(prior(20))
-    made = {"volume_price_correlation": F.when(row() <= 20, 0.0).otherwise(F.corr("volume", "_r").over(prior(20))), "volume_weighted_price": F.coalesce(ratio(paid, F.sum("volume").over(prior(20))), F.lit(0.0))}
+    made = {"volume_price_correlation": F.when(row() <= 20, 0.0).otherwise(corr("volume", "_r", prior(20))), "volume_weighted_price": F.coalesce(ratio(paid, F.sum("volume").over(prior(20))), F.lit(0.0))}
     return df.withColumns(made).drop("_r")
 
 
@@ -176,36 +176,73 @@ def next_return(df: DataFrame) -> DataFrame:
     return df.withColumn("target", ratio(F.lead("close").over(w()) - F.col("close"), "close"))
 
 
+def _ranged(df: DataFrame, group: str, value: str, pieces: int) -> DataFrame:
+    """df plus _b, the piece of the group's range of values that a row falls in (from approximate percentiles, equal values
+    together), and _before, the group's rows in lower pieces. Both extra tables have at most `pieces` rows a group."""
+    at = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    edges = df.groupBy(group).agg(F.percentile_approx(value, at, F.lit(10 * pieces)).alias("_e"))
+    placed = df.join(F.broadcast(edges), group).withColumn("_b", F.size(F.filter("_e", lambda e: e <= F.col(value)))).drop("_e")
+    below = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(group, "_b").agg(F.count("*").alias("_n")).select(group, "_b", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(sizes), [group, "_b"])
+
+
+def average_ranks(df: DataFrame, group: str, value: str, name: str, pieces: int = 64) -> DataFrame:
+    """df plus `name`: the rank of the value in its group, ties by their mean rank. Ranks are taken within pieces of the
+    range, so that a group of any size is sorted in many tasks."""
+    by = Window.partitionBy(group, "_b")
+    mean = F.col("_before") + F.rank().over(by.orderBy(value)) + (F.count("*").over(Window.partitionBy(group, "_b", value)) - 1) / 2
+    return _ranged(df, group, value, pieces).withColumn(name, mean).drop("_b", "_before")
+
+
+def exact_percentiles(df: DataFrame, value: str, at: list[float], pieces: int = 64) -> DataFrame:
+    """One row (n, e): the number of rows and the linear percentiles of the value, by its order statistics."""
+    placed = _ranged(df.select(F.lit(0).alias("_all"), F.col(value).alias("_v")), "_all", "_v", pieces)
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_all", "_b").orderBy("_v")) - 1
+    n = df.agg(F.count("*").alias("n"))  # one row
+    spots = F.flatten(F.array(*[F.array(F.floor((F.col("n") - 1) * p), F.ceil((F.col("n") - 1) * p)) for p in at]))
+    wanted = placed.withColumn("_p", place).join(F.broadcast(n)).filter(F.array_contains(spots, F.col("_p")))
+    picked = wanted.groupBy("n").agg(F.map_from_entries(F.collect_set(F.struct("_p", "_v"))).alias("_m"))  # two entries a percentile
+
+    def between(p: float) -> Column:
+        h = (F.col("n") - 1) * p
+        low, high = F.try_element_at("_m", F.floor(h)), F.try_element_at("_m", F.ceil(h))
+        return low + (high - low) * (h - F.floor(h))
+
+    return picked.select("n", F.array(*[between(p) for p in at]).alias("e"))
+
+
 def information_coefficients(df: DataFrame, factors: list[str], target: str = "target") -> DataFrame:
     """factor, ic (Pearson), rank_ic (Spearman on average ranks), n; 0 with fewer than two valid rows. Factors are stacked
     and ranked within each, all at once."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("x")) for f in factors]))
     long = df.select(pairs.alias("p"), F.col(target).alias("y")).select("p.factor", "p.x", "y").filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
 
-    def average_rank(c: str) -> Column:
-        by = Window.partitionBy("factor")
-        return F.rank().over(by.orderBy(c)) + (F.count("*").over(Window.partitionBy("factor", c)) - 1) / 2
-
-    ranked = long.withColumns({"rx": average_rank("x"), "ry": average_rank("y")})
+    ranked = average_ranks(average_ranks(long, "factor", "x", "rx"), "factor", "y", "ry")
     safe = lambda c: F.when(F.count("*") < 2, 0.0).otherwise(c)
-    return ranked.groupBy("factor").agg(safe(F.corr("x", "y")).alias("ic"), safe(F.corr("rx", "ry")).alias("rank_ic"), F.count("*").alias("n"))
+    return ranked.groupBy("factor").agg(safe(corr("x", "y")).alias("ic"), safe(corr("rx", "ry")).alias("rank_ic"), F.count("*").alias("n"))
 
 
 def quantile_test(df: DataFrame, factor: str, target: str = "target", buckets: int = 5, keep_maximum: bool = False) -> DataFrame:
-    """bucket, n, mean_return. Edges are linear percentiles, buckets [edge, next edge); the maximum lies in none of them
-    unless keep_maximum puts it into the last."""
-    df = df.select(F.col(factor).alias("x"), F.col(target).alias("y")).filter("x is not null and y is not null")
-    edges = df.agg(F.percentile("x", F.array(*[F.lit(i / buckets) for i in range(buckets + 1)])).alias("e"))  # one row
+    """bucket, n, mean_return (0 for an empty bucket) and long_short (last bucket less the first, on every row). Edges are
+    linear percentiles, buckets [edge, next edge); the maximum lies in none of them unless keep_maximum puts it into the
+    last. Fewer valid rows than buckets give no rows."""
+    df = df.select(F.col(factor).cast("double").alias("x"), F.col(target).alias("y")).filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    edges = exact_percentiles(df, "x", [i / buckets for i in range(buckets + 1)]).filter(F.col("n") >= buckets).select(F.col("e"))  # one row
     placed = df.join(F.broadcast(edges)).withColumn("bucket", F.size(F.filter("e", lambda e: e <= F.col("x"))))
     if keep_maximum:
         placed = placed.withColumn("bucket", F.least("bucket", F.lit(buckets)))
-    return placed.filter(F.col("bucket").between(1, buckets)).groupBy("bucket").agg(F.count("*").alias("n"), F.avg("y").alias("mean_return"))
+    found = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("y").alias("m"))
+    every = edges.select(F.explode(F.sequence(F.lit(1), F.lit(buckets))).alias("bucket"))
+    out = every.join(F.broadcast(found), "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0.0)).alias("mean_return"))
+    ends = out.agg(F.sum(F.when(F.col("bucket") == buckets, F.col("mean_return")) ).alias("top"), F.sum(F.when(F.col("bucket") == 1, F.col("mean_return"))).alias("low"))
+    return out.join(F.broadcast(ends)).select("bucket", "n", "mean_return", (F.col("top") - F.col("low")).alias("long_short"))
 
 
 def correlations(df: DataFrame, factors: list[str]) -> DataFrame:
     """a, b, r for each pair of factors, from one aggregation."""
     pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i:]]
-    one = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.agg(*[corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("p")).select("p.*")
 
 

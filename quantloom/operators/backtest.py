@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..windows import KEY, TIME
+from ..windows import KEY, TIME, corr
 from .costs import MARKETS
 
 
@@ -85,7 +85,7 @@ def grid(bars: DataFrame, strategy: Callable[..., DataFrame], params: dict[str,
 def sensitivity(metrics: DataFrame, params: list[str]) -> DataFrame:
     """param, metric, r (Pearson) and deviation (population) of each metric over a grid's results."""
     pairs = [(p, m) for p in params for m in ("total_return", "sharpe_ratio", "max_drawdown")]
-    one = metrics.agg(*[F.struct(F.corr(p, m).alias("r"), F.stddev_pop(m).alias("deviation")).alias(f"c{i}") for i, (p, m) in enumerate(pairs)])
+    one = metrics.agg(*[F.struct(corr(p, m).alias("r"), F.stddev_pop(m).alias("deviation")).alias(f"c{i}") for i, (p, m) in enumerate(pairs)])
     return one.select(F.explode(F.array(*[F.struct(F.lit(p).alias("param"), F.lit(m).alias("metric"), F.col(f"c{i}.r").alias("r"), F.col(f"c{i}.deviation").alias("deviation")) for i, (p, m) in enumerate(pairs)])).alias("p")).select("p.*")
 
 

@@ -1,4 +1,4 @@
-"""Signals as columns: signal is buy, sell or hold; position carries the last one forward (1, -1, from 0)."""
+"""Signals as columns: signal is buy, sell or hold; position is 1 after a buy and 0 after a sale or before."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from ..windows import lag, last, prior, ratio, row, so_far
 
 def _emit(df: DataFrame, buy: Column, sell: Column) -> DataFrame:
     df = df.withColumn("signal", F.when(buy, "buy").when(sell, "sell").otherwise("hold"))
-    held = F.when(F.col("signal") == "buy", 1).when(F.col("signal") == "sell", -1)
+    held = F.when(F.col("signal") == "buy", 1).when(F.col("signal") == "sell", 0)
     return df.withColumn("position", F.coalesce(F.last(held, True).over(so_far()), F.lit(0)))
 
 
@@ -57,10 +57,10 @@ def _window_ema(column: str, n: int) -> Column:
 
 
 def macd_state(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """Crosses of a MACD whose means are seeded anew at each bar."""
+    """Crosses of a MACD whose means are seeded anew at each bar; lines that touched at the bar before do not cross."""
     df = df.withColumn("_d", _window_ema("close", fast) - _window_ema("close", slow))
     df = df.withColumn("_g", F.when(F.count("_d").over(last(signal)) == signal, _window_ema("_d", signal)))
-    up, down = (F.col("_d") > F.col("_g")) & (lag("_d") <= lag("_g")), (F.col("_d") < F.col("_g")) & (lag("_d") >= lag("_g"))
+    up, down = (F.col("_d") > F.col("_g")) & (lag("_d") < lag("_g")), (F.col("_d") < F.col("_g")) & (lag("_d") > lag("_g"))
     return _emit(df, up, down).drop("_d", "_g")
 
 

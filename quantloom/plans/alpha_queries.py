@@ -49,7 +49,7 @@ _add("alpha_gk", alpha.garman_klass, "gk_volatility_20 gk_volatility_60", [{"t":
 _add("alpha_vol_trend", alpha.volatility_trend, "volatility_trend", [{"r": LOG_RET}, {"a": prior("stddev_pop(r)", 20), "b": prior("stddev_pop(r)", 60, 21)}, {"volatility_trend": _from(60, "CASE WHEN b > 0 THEN (a - b) / b END")}])
 _add("alpha_volume", lambda df: alpha.volume_momentum(alpha.volume_change(df)), "volume_change volume_change_5 volume_change_20 volume_momentum_10 volume_momentum_20", [{"volume_change": f"CASE WHEN {lag('volume')} > 0 THEN (volume - {lag('volume')}) / {lag('volume')} ELSE 0 END"}, {f"volume_change_{n}": _from(n, prior("avg(volume_change)", n)) for n in (5, 20)} | {f"volume_momentum_{n}": _change("volume", n) for n in (10, 20)}])
 _add("alpha_obv", alpha.obv, "obv obv_ma10 obv_ma20", [{"s": f"coalesce(sign(close - {lag('close')}) * volume, 0)"}, {"obv": so_far("sum(s)")}, {f"obv_ma{n}": _from(n, prior("avg(obv)", n)) for n in (10, 20)}])
-_add("alpha_vp_corr", alpha.volume_price, "volume_price_correlation volume_weighted_price", [{"r": RET}, {"volume_price_correlation": f"CASE WHEN i <= 20 THEN 0 ELSE {prior('corr(volume, r)', 20)} END", "volume_weighted_price": f"coalesce({prior('sum(close * volume)', 20)} / nullif({prior('sum(volume)', 20)}, 0), 0)"}])
+_add("alpha_vp_corr", alpha.volume_price, "volume_price_correlation volume_weighted_price", [{"r": RET}, {"volume_price_correlation": f"CASE WHEN i <= 20 THEN 0 ELSE {prior('covar_pop(volume, r)', 20)} / nullif({prior('stddev_pop(volume)', 20)} * {prior('stddev_pop(r)', 20)}, 0) END", "volume_weighted_price": f"coalesce({prior('sum(close * volume)', 20)} / nullif({prior('sum(volume)', 20)}, 0), 0)"}])
 _add("alpha_boll", alpha.bollinger, "bollinger_ma20 bollinger_upper bollinger_lower bollinger_width bollinger_position", [{"m": prior("avg(close)", 20), "s": prior("stddev_pop(close)", 20)}, {"bollinger_ma20": _from(20, "m"), "bollinger_upper": _from(20, "m + 2 * s"), "bollinger_lower": _from(20, "m - 2 * s"), "bollinger_width": _from(20, "4 * s / nullif(m, 0)"), "bollinger_position": _from(20, "(close - m) / nullif(4 * s, 0)")}])
 _add("alpha_ma_cross", alpha.ma_crossover, "ma5 ma60 ma_crossover_5_20 ma_crossover_10_60", [{f"ma{n}": _from(60, prior("avg(close)", n)) for n in (5, 10, 20, 60)}, {"ma_crossover_5_20": f"CASE WHEN i > 60 THEN {_cross('ma5', 'ma20')} ELSE 0 END", "ma_crossover_10_60": f"CASE WHEN i > 60 THEN {_cross('ma10', 'ma60')} ELSE 0 END"}])
 _add("alpha_risk", alpha.risk, "beta max_drawdown_20 sharpe_ratio_20 downside_risk_20", [{"r": RET}, {"v": prior("var_pop(r)", 20), "sd": prior("stddev_pop(r)", 20), "hi": prior("max(close)", 20), "lo": prior("min(close)", 20)}, {"beta": _from(20, f"CASE WHEN v > 0 THEN {prior('covar_samp(r, r)', 20)} / v END"), "max_drawdown_20": _from(20, "CASE WHEN hi > 0 THEN (lo - hi) / hi END"), "sharpe_ratio_20": _from(20, f"CASE WHEN sd > 0 THEN {prior('avg(r)', 20)} / sd * {YEAR} END"), "downside_risk_20": _from(20, f"{prior('stddev_pop(CASE WHEN r < 0 THEN r END)', 20)} * {YEAR}")}])
@@ -87,6 +87,11 @@ SELECT symbol, date, round(kdj_k + {NUDGE}, 6) AS kdj_k, round(kdj_d + {NUDGE},
 
 # ---- evaluation
 
+
+def _corr(a: str, b: str) -> str:
+    return f"covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0)"
+
+
 FACTORS = ["momentum_1m", "atr_14", "obv"]
 
 
@@ -99,11 +104,13 @@ _LONG = _PANEL + ",\nlong AS (" + " UNION ALL ".join(f"SELECT '{f}' AS factor, {
 QUERIES["ic_rank_ic"] = lambda spark, sf_dir: rounded(alpha.information_coefficients(_panel(spark, sf_dir), FACTORS), "ic", "rank_ic", keys=("factor", "n"))
 SQL["ic_rank_ic"] = f"""{_LONG},
 ranked AS (SELECT *, rank() OVER (PARTITION BY factor ORDER BY x) + (count(*) OVER (PARTITION BY factor, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY factor ORDER BY y) + (count(*) OVER (PARTITION BY factor, y) - 1) / 2.0 AS ry FROM long)
-SELECT factor, count(*) AS n, round(corr(x, y) + {NUDGE}, 6) AS ic, round(corr(rx, ry) + {NUDGE}, 6) AS rank_ic FROM ranked GROUP BY factor"""
+SELECT factor, count(*) AS n, round({_corr('x', 'y')} + {NUDGE}, 6) AS ic, round({_corr('rx', 'ry')} + {NUDGE}, 6) AS rank_ic FROM ranked GROUP BY factor"""
 QUERIES["factor_weights"] = lambda spark, sf_dir: rounded(alpha.factor_weights(_panel(spark, sf_dir), FACTORS), "weight", keys=("factor",))
-SQL["factor_weights"] = f"{_LONG}, c AS (SELECT factor, abs(corr(x, y)) AS a FROM long GROUP BY factor) SELECT factor, round(a / sum(a) OVER () + {NUDGE}, 6) AS weight FROM c"
+SQL["factor_weights"] = f"{_LONG}, c AS (SELECT factor, abs({_corr('x', 'y')}) AS a FROM long GROUP BY factor) SELECT factor, round(a / sum(a) OVER () + {NUDGE}, 6) AS weight FROM c"
 QUERIES["factor_corr"] = lambda spark, sf_dir: rounded(alpha.correlations(_panel(spark, sf_dir), FACTORS), "r", keys=("a", "b"))
-SQL["factor_corr"] = _PANEL + " " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}) + {NUDGE}, 6) AS r FROM s3" for i, a in enumerate(FACTORS) for b in FACTORS[i:])
-QUERIES["quantile_test"] = lambda spark, sf_dir: rounded(alpha.quantile_test(_panel(spark, sf_dir), "atr_14"), "mean_return", keys=("bucket", "n"))
+SQL["factor_corr"] = _PANEL + " " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round({_corr(a, b)} + {NUDGE}, 6) AS r FROM s3" for i, a in enumerate(FACTORS) for b in FACTORS[i:])
+QUERIES["quantile_test"] = lambda spark, sf_dir: rounded(alpha.quantile_test(_panel(spark, sf_dir), "atr_14"), "mean_return", "long_short", keys=("bucket", "n"))
 SQL["quantile_test"] = f"""{_PANEL}, e AS (SELECT quantile_cont(atr_14, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS e FROM s3 WHERE target IS NOT NULL)
-SELECT * FROM (SELECT len(list_filter(e, lambda v: v <= atr_14))::INTEGER AS bucket, count(*) AS n, round(avg(target) + {NUDGE}, 6) AS mean_return FROM s3, e WHERE target IS NOT NULL GROUP BY 1) WHERE bucket BETWEEN 1 AND 5"""
+, q AS (SELECT b AS bucket, count(target) AS n, coalesce(avg(target), 0) AS m
+  FROM (SELECT unnest(generate_series(1, 5)) AS b) CROSS JOIN e LEFT JOIN s3 ON target IS NOT NULL AND atr_14 >= e[b] AND atr_14 < e[b + 1] GROUP BY b)
+SELECT CAST(bucket AS INTEGER) AS bucket, n, round(m + {NUDGE}, 6) AS mean_return, round((SELECT m FROM q WHERE bucket = 5) - (SELECT m FROM q WHERE bucket = 1) + {NUDGE}, 6) AS long_short FROM q"""

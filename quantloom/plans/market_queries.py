@@ -134,12 +134,12 @@ SELECT symbol, date, round(close + {NUDGE}, 6) AS close, round(close - p + {NUDG
 
 
 def _universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = stock_basic(spark, sf_dir).filter("symbol % 3 <> 0").select("symbol", "name", "industry")
-    other = stock_basic(spark, sf_dir).filter("symbol % 2 = 0").select("symbol", F.when(F.col("symbol") % 4 == 0, "  ").otherwise(F.upper("name")).alias("name"), "industry")
+    base = stock_basic(spark, sf_dir).select("symbol", "name", "industry")
+    other = base.select((F.col("symbol") + 3).alias("symbol"), F.when(F.length("name") % 2 == F.col("symbol") % 2, "  ").otherwise(F.upper("name")).alias("name"), "industry")
     return market.merge_universe(base, other)
 
 
-_add("universe_merge", _universe, f"""WITH a AS (SELECT * FROM ({_BASIC}) WHERE symbol % 3 <> 0), b AS (SELECT symbol, CASE WHEN symbol % 4 = 0 THEN '  ' ELSE upper(name) END AS name, industry FROM ({_BASIC}) WHERE symbol % 2 = 0)
+_add("universe_merge", _universe, f"""WITH a AS (SELECT * FROM ({_BASIC})), b AS (SELECT symbol + 3 AS symbol, CASE WHEN length(name) % 2 = symbol % 2 THEN '  ' ELSE upper(name) END AS name, industry FROM a)
 SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(nullif(trim(b.name), ''), a.name) AS name, coalesce(nullif(trim(b.industry), ''), a.industry) AS industry FROM a FULL JOIN b USING (symbol)""")
 _add("symbol_search", lambda s, d: market.search(stock_basic(s, d), "01").select("symbol", "name"), f"SELECT symbol, name FROM ({_BASIC}) WHERE contains(lower(CAST(symbol AS VARCHAR)), '01') OR contains(lower(name), '01') ORDER BY symbol LIMIT 50")
 _add("frame_compare", lambda s, d: rounded(market.compare(bars_hour(s, d), bars_hour(s, d).withColumn("close", F.col("close") + F.when(F.hour("date") == 0, 0.5).otherwise(0.0)), ["close", "open"]), "max_diff", "mean_diff", keys=("column", "n", "n_over")), f"WITH b AS ({BARS_HOUR}), d AS (SELECT 'close' AS \"column\", CASE WHEN hour(date) = 0 THEN abs(close - (close + 0.5)) ELSE 0 END AS v FROM b UNION ALL SELECT 'open', 0.0 FROM b) SELECT \"column\", count(*) AS n, count(*) FILTER (WHERE v > 0.000001) AS n_over, round(max(v) + {NUDGE}, 6) AS max_diff, round(avg(v) + {NUDGE}, 6) AS mean_diff FROM d GROUP BY 1")
@@ -149,16 +149,16 @@ _add("duplicate_keys", lambda s, d: market.duplicates(table(s, d, "lineitem"), [
 
 def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = stock_basic(spark, sf_dir)
-    return market.upsert(base.filter("symbol % 3 <> 0"), base.filter("symbol % 2 = 0").withColumn("name", F.lower("name")), ("symbol",))
+    return market.upsert(base, base.withColumns({"symbol": F.col("symbol") + 3, "name": F.lower("name")}), ("symbol",))
 
 
-_add("upsert", _upserted, f"WITH n AS (SELECT symbol, lower(name) AS name, industry, area FROM ({_BASIC}) WHERE symbol % 2 = 0) SELECT * FROM n UNION ALL SELECT * FROM ({_BASIC}) o WHERE symbol % 3 <> 0 AND symbol NOT IN (SELECT symbol FROM n)")
+_add("upsert", _upserted, f"WITH n AS (SELECT symbol + 3 AS symbol, lower(name) AS name, industry, area FROM ({_BASIC})) SELECT * FROM n UNION ALL SELECT * FROM ({_BASIC}) o WHERE symbol NOT IN (SELECT symbol FROM n)")
 
 # ---- signals
 
 
 def _emit(buy: str, sell: str) -> list[dict[str, str]]:
-    return [{"signal": f"CASE WHEN {buy} THEN 'buy' WHEN {sell} THEN 'sell' ELSE 'hold' END"}, {"held": "CASE signal WHEN 'buy' THEN 1 WHEN 'sell' THEN -1 END"}, {"position": f"coalesce({so_far('last_value(held IGNORE NULLS)')}, 0)"}]
+    return [{"signal": f"CASE WHEN {buy} THEN 'buy' WHEN {sell} THEN 'sell' ELSE 'hold' END"}, {"held": "CASE signal WHEN 'buy' THEN 1 WHEN 'sell' THEN 0 END"}, {"position": f"coalesce({so_far('last_value(held IGNORE NULLS)')}, 0)"}]
 
 
 def _signal(name: str, run, stages: list[dict[str, str]], buy: str, sell: str) -> None:
@@ -184,7 +184,7 @@ def _refit(c: str, n: int) -> str:
     return f"CASE WHEN i >= {n} THEN {terms} END"
 
 
-_MACD = [{"fast": _refit("close", 12), "slow": _refit("close", 26)}, {"dd": "fast - slow"}, {"gg": f"CASE WHEN {last('count(dd)', 9)} = 9 THEN {_refit('dd', 9)} END"}, _crossing("dd", "gg")]
+_MACD = [{"fast": _refit("close", 12), "slow": _refit("close", 26)}, {"dd": "fast - slow"}, {"gg": f"CASE WHEN {last('count(dd)', 9)} = 9 THEN {_refit('dd', 9)} END"}, {"up": f"dd > gg AND {lag('dd')} < {lag('gg')}", "down": f"dd < gg AND {lag('dd')} > {lag('gg')}"}]
 _signal("signal_macd", signals.macd_state, _MACD, "up", "down")
 _GL = [{"ch": f"coalesce(close - {lag('close')}, 0)"}, {"gn": "greatest(ch, 0)", "ls": "greatest(-ch, 0)"}, {"rsi": f"CASE WHEN i > 14 THEN CASE WHEN {last('avg(ls)', 14)} = 0 THEN 100 ELSE 100 - 100 / (1 + {last('avg(gn)', 14)} / nullif({last('avg(ls)', 14)}, 0)) END ELSE 0 END"}]
 _signal("signal_multi", signals.multi_factor, _MA + _MACD + _GL + [{"sc": "round(0.3 * CASE WHEN i >= 20 AND s > l THEN 1 WHEN i >= 20 AND s < l THEN -1 ELSE 0 END + 0.4 * CASE WHEN up THEN 1 WHEN down THEN -1 ELSE 0 END + 0.3 * CASE WHEN i > 14 AND rsi < 30 THEN 1 WHEN i > 14 AND rsi > 70 THEN -1 ELSE 0 END, 6)"}], "sc > 0.3", "sc < -0.3")

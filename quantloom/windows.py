@@ -52,6 +52,14 @@ def ewm(c: Column | str, span: int) -> Column:
     return InternalFunction.ewm(F.col(c) if isinstance(c, str) else c, 2.0 / (span + 1.0), False).over(w())
 
 
+def corr(a: Column | str, b: Column | str, over: WindowSpec | None = None) -> Column:
+    """Pearson correlation of the rows that have both; null where either is constant (F.corr raises there under ANSI)."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    at = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    return F.try_divide(at(F.covar_pop(x, y)), at(F.stddev_pop(x)) * at(F.stddev_pop(y)))
+
+
 def ratio(a: Column | str, b: Column | str, otherwise: float | None = None) -> Column:
     """a / b; null, or `otherwise`, where b is 0."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))

@@ -172,13 +172,81 @@ def test_pipeline_steps(spark):
         run_steps(df, [{"op": "explode"}])
 
 
-def test_entry_stands_without_the_training_data_part(tmp_path):
-    """A copy of the repository without that subpackage, its tests and corpus_pipeline.py still imports."""
+@pytest.mark.parametrize("with_pipeline", [True, False])
+def test_entry_stands_without_the_training_data_part(tmp_path, with_pipeline):
+    """A copy of the repository without that subpackage and its tests still imports, with corpus_pipeline.py or without."""
     import shutil
 
     root = Path(__file__).resolve().parent.parent
-    shutil.copytree(root / "quantloom", tmp_path / "quantloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    shutil.copytree(root, tmp_path, dirs_exist_ok=True, ignore=shutil.ignore_patterns("llm", "__pycache__", ".git"))
+    if not with_pipeline:
+        (tmp_path / "corpus_pipeline.py").unlink()
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
     assert done.returncode == 0, done.stderr
     assert int(done.stdout.split()[0]) > 90
+
+
+def test_signals_by_hand(spark):
+    """Closes chosen so that each rule fires at a known bar; a sale leaves no position."""
+    from quantloom.operators import signals
+
+    def run(rule, closes, **options):
+        rows = rule(series(spark, closes), **options).orderBy("date").collect()
+        return [(r.signal, r.position) for r in rows]
+
+    held = ("hold", 0)
+    # means of 1 and 2 bars: above at the third bar, below at the fifth
+    assert run(signals.trend_following, [2.0, 2.0, 3.0, 3.0, 1.0], short=1, long=2) == [held, held, ("buy", 1), ("hold", 1), ("sell", 0)]
+    assert run(signals.momentum, [4.0, 5.0, 6.5, 6.0, 3.0], n=1) == [held, ("buy", 1), ("buy", 1), ("sell", 0), ("sell", 0)]
+    frame = spark.createDataFrame([("a", i, v) for i, v in enumerate([50.0, 20.0, 50.0, 80.0, 50.0])], "symbol string, date int, rsi double")
+    got = [(r.signal, r.position) for r in signals.mean_reversion(frame).orderBy("date").collect()]
+    assert got == [held, ("buy", 1), ("hold", 1), ("sell", 0), ("hold", 0)]
+
+
+def test_lines_that_touched_do_not_cross(spark):
+    from quantloom.operators import signals
+
+    flat = [5.0] * 40
+    assert {r.signal for r in signals.macd_state(series(spark, flat + [9.0])).collect()} == {"hold"}  # equal at the bar before
+    crossed = signals.macd_state(series(spark, [float(40 - i) for i in range(45)] + [20.0, 40.0])).collect()
+    assert "buy" in {r.signal for r in crossed}
+
+
+def test_constant_columns_have_no_correlation(spark):
+    from quantloom.operators import alpha
+    from quantloom.operators.backtest import sensitivity
+
+    df = spark.createDataFrame([("a", i, 1.0, float(i), float(i % 3)) for i in range(6)], "symbol string, date int, f double, g double, target double")
+    got = {r.factor: (r.ic, r.rank_ic, r.n) for r in alpha.information_coefficients(df, ["f", "g"]).collect()}
+    assert got["f"] == (None, None, 6) and got["g"][0] is not None
+    assert {(r.a, r.b): r.r is None for r in alpha.correlations(df, ["f", "g"]).collect()} == {("f", "f"): True, ("f", "g"): True, ("g", "g"): False}
+    assert {r.factor: r.weight for r in alpha.factor_weights(df, ["f", "g"]).collect()}["g"] == 1.0
+    flat = alpha.volume_price(series(spark, [5.0] * 25)).orderBy("date").collect()
+    assert flat[-1].volume_price_correlation is None and flat[0].volume_price_correlation == 0.0
+    metrics = spark.createDataFrame([(1, 0.5, 1.0, 0.1), (2, 0.5, 2.0, 0.2)], "p int, total_return double, sharpe_ratio double, max_drawdown double")
+    assert {r.metric: r.r for r in sensitivity(metrics, ["p"]).collect()} == {"total_return": None, "sharpe_ratio": pytest.approx(1.0), "max_drawdown": pytest.approx(1.0)}
+
+
+def test_quantiles_and_ranks_by_hand(spark):
+    import numpy as np
+    from quantloom.operators import alpha
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=400), np.zeros(300)])
+    df = spark.createDataFrame([(float(v), float(i % 7)) for i, v in enumerate(x)], "x double, target double")
+    at = [0.0, 0.2, 0.4, 0.5, 1.0]
+    one = alpha.exact_percentiles(df, "x", at, pieces=8).first()
+    assert one.n == 700 and one.e == pytest.approx(np.percentile(x, [100 * p for p in at]).tolist())
+    ranked = alpha.average_ranks(df.withColumn("g", F.lit("a")), "g", "x", "rank", pieces=8).collect()
+    order = np.sort(x)
+    assert all(r["rank"] == (np.searchsorted(order, r.x) + np.searchsorted(order, r.x, "right") + 1) / 2 for r in ranked)
+    # more than 40 % zeros: an edge repeats, so a bucket is empty and counts as 0
+    rows = {r.bucket: r for r in alpha.quantile_test(df, "x").collect()}
+    edges = np.percentile(x, [0, 20, 40, 60, 80, 100])
+    y = np.arange(700) % 7
+    for b in range(1, 6):
+        inside = (x >= edges[b - 1]) & (x < edges[b])
+        assert rows[b].n == inside.sum() and rows[b].mean_return == pytest.approx(y[inside].mean() if inside.any() else 0.0)
+        assert rows[b].long_short == pytest.approx(rows[5].mean_return - rows[1].mean_return)
+    assert any(r.n == 0 for r in rows.values())
+    assert alpha.quantile_test(df.limit(3), "x").count() == 0
