@@ -4,16 +4,18 @@ Legal conversations: an optional system turn, then user and assistant in turn, u
 dynamic program may keep its role, relabel it, or merge it into the turn before, each after inserting the empty turns that
 the automaton needs; the cheapest sequence of choices wins, ties by the order of the choices below.
 
-Turns are range-partitioned by conversation and turn, so a conversation that holds a third of all turns spans many tasks.
+Turns are range-partitioned by conversation and turn, so a conversation that holds a third of all turns spans many tasks; the
+number of ranges follows the bytes of text (range_bytes), so a task's memory does not grow with the table.
 Costs over a run of turns are a small min-plus matrix over the automaton's states. Each task reports the matrices of its first
 and last conversation only; the driver multiplies those (two per task) and tells each task the state and cost in which its
 first conversation begins and the state in which its last one must end. Tasks then repair and render on their own.
 
-Output, one row for each input turn: what it became and its piece of the rendering; pieces of a conversation joined in order
-of (turn, role, text) are the rendered conversation, so no row holds more than a turn and the turns inserted around it.
+Output, one row for each input turn: its position in its conversation (from 0), what it became and its piece of the rendering;
+pieces of a conversation joined in order of position are the rendered conversation, so no row holds more than a turn and the
+turns inserted around it.
 
 Defined cases: null text is empty; a null or unknown role costs `unknown` to label and cannot be kept; turn order is turn
-(nulls last), then role, then text; repeated rows are turns each; rows with a null conv_id form one conversation; extra
+(nulls last), then role, then a hash of the text (ties by the text); repeated rows are turns each; rows with a null conv_id form one conversation; extra
 columns are dropped; an empty table gives no rows.
 """
 
@@ -139,21 +141,24 @@ def _sorted(table: pa.Table, *columns: str) -> pa.Table:
     return table.sort_by([(c, "ascending") for c in columns])  # nulls last, bytes in order, as the range partitions have it
 
 
-def format_chats(turns: DataFrame, costs: dict | None = None) -> DataFrame:
-    """conv_id, turn, role, new_role, action, inserted_before, closing, segment for each turn."""
+def format_chats(turns: DataFrame, costs: dict | None = None, range_bytes: int = 16 << 20) -> DataFrame:
+    """conv_id, turn, role, position, new_role, action, inserted_before, closing, segment for each turn."""
     spark = turns.sparkSession
     ship(spark)
     costs = costs or COSTS
     code = F.coalesce(F.array_position(F.array(*map(F.lit, ROLES)), F.lower(F.trim("role"))), F.lit(0)).cast("int")
     rows = turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = [F.col(c).asc_nulls_last() for c in ("conv_id", "turn", "role", "text")]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    order = [F.col(c).asc_nulls_last() for c in ("conv_id", "turn", "role", "hash")]
+    total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-total // range_bytes))
     # written once, so that the borders of the ranges stay as they are from here on
-    dealt = materialise(rows.withColumn("code", code).repartitionByRange(n, *order).withColumn("task", F.spark_partition_id()))
+    rows = rows.withColumns({"code": code, "hash": F.xxhash64("text")})
+    dealt = materialise(rows.repartitionByRange(n, *order).withColumn("task", F.spark_partition_id()))
     types = {f.name: f.dataType.simpleString() for f in dealt.schema.fields}
 
     def matrices(key, table):
-        """Min-plus matrices of the first and the last conversation of a task; rows of equal role may stand in any order."""
+        """Min-plus matrices and numbers of turns of the first and the last conversation of a task; rows of equal role may
+        stand in any order."""
         step, table = _tables(costs)[0], _sorted(table, "conv_id", "turn", "role")
         cuts, (convs, codes) = _cut(table, "conv_id", "code")
         out = []
@@ -161,23 +166,25 @@ def format_chats(turns: DataFrame, costs: dict | None = None) -> DataFrame:
             m = IDENTITY
             for c in codes[cuts[j] : cuts[j + 1]]:
                 m = min_plus(m, step[c])
-            out.append((key[0].as_py(), j == 0, j == len(cuts) - 2, convs[cuts[j]], m.ravel().tolist()))
-        kinds = [pa.int32(), pa.bool_(), pa.bool_(), table.schema.field("conv_id").type, pa.list_(pa.float64())]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["task", "first", "last", "conv_id", "m"])
+            out.append((key[0].as_py(), j == 0, j == len(cuts) - 2, convs[cuts[j]], m.ravel().tolist(), cuts[j + 1] - cuts[j]))
+        kinds = [pa.int32(), pa.bool_(), pa.bool_(), table.schema.field("conv_id").type, pa.list_(pa.float64()), pa.int64()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["task", "first", "last", "conv_id", "m", "n"])
 
-    ends = dealt.select("task", "conv_id", "turn", "role", "code").groupBy("task").applyInArrow(matrices, f"task int, first boolean, last boolean, conv_id {types['conv_id']}, m array<double>").collect()
-    borders = _borders([(r["task"], r["first"], r["last"], r["conv_id"], np.array(r["m"]).reshape(4, 4)) for r in ends], costs)
+    ends = dealt.select("task", "conv_id", "turn", "role", "code").groupBy("task").applyInArrow(matrices, f"task int, first boolean, last boolean, conv_id {types['conv_id']}, m array<double>, n long").collect()
+    borders = _borders([(r["task"], r["first"], r["last"], r["conv_id"], np.array(r["m"]).reshape(4, 4), r["n"]) for r in ends], costs)
     shared = spark.sparkContext.broadcast(borders)  # two entries for each task
 
     def apply(key, table):
-        begins, stops = shared.value
-        task, table, tail = key[0].as_py(), _sorted(table, "conv_id", "turn", "role", "text"), _tables(costs)[2]
+        begins, stops, offsets = shared.value
+        task, table, tail = key[0].as_py(), _sorted(table, "conv_id", "turn", "role", "hash", "text"), _tables(costs)[2]
         cuts, (_, codes, texts) = _cut(table, "conv_id", "code", "text")
-        new, action, inserted, closing, segment = [], [], [], [], []
+        new, action, inserted, closing, segment, position = [], [], [], [], [], []
         for j in range(len(cuts) - 1):
             lo, hi = cuts[j], cuts[j + 1]
             begin = begins.get(task) if j == 0 else None
             stop = stops.get(task) if j == len(cuts) - 2 else None
+            ahead = offsets.get(task, 0) if j == 0 else 0
+            position += range(ahead, ahead + hi - lo)
             for i, (what, role, extra) in zip(range(lo, hi), repair(codes[lo:hi], costs, begin, stop)):
                 after = tail[role] if i == hi - 1 and stop is None else ()
                 new.append(ROLES[role - 1])
@@ -187,9 +194,9 @@ def format_chats(turns: DataFrame, costs: dict | None = None) -> DataFrame:
                 begun = i > lo or begin is not None
                 segment.append(render(what, role, extra, after, texts[i], begun, i == hi - 1 and stop is None))
         strings = pa.list_(pa.string())
-        return pa.table([table.column("conv_id"), table.column("turn"), table.column("role"), pa.array(new, pa.string()), pa.array(action, pa.string()), pa.array(inserted, strings), pa.array(closing, strings), pa.array(segment, pa.string())], names=["conv_id", "turn", "role", "new_role", "action", "inserted_before", "closing", "segment"])
+        return pa.table([table.column("conv_id"), table.column("turn"), table.column("role"), pa.array(position, pa.int64()), pa.array(new, pa.string()), pa.array(action, pa.string()), pa.array(inserted, strings), pa.array(closing, strings), pa.array(segment, pa.string())], names=["conv_id", "turn", "role", "position", "new_role", "action", "inserted_before", "closing", "segment"])
 
-    return dealt.groupBy("task").applyInArrow(apply, f"conv_id {types['conv_id']}, turn {types['turn']}, role string, new_role string, action string, inserted_before array<string>, closing array<string>, segment string")
+    return dealt.groupBy("task").applyInArrow(apply, f"conv_id {types['conv_id']}, turn {types['turn']}, role string, position long, new_role string, action string, inserted_before array<string>, closing array<string>, segment string")
 
 
 def render(action: str, role: int, inserted: tuple[int, ...], closing: tuple[int, ...], text: str, begun: bool, ends: bool) -> str:
@@ -202,34 +209,39 @@ def render(action: str, role: int, inserted: tuple[int, ...], closing: tuple[int
     return piece + "".join(f"\n<|{ROLES[r - 1]}|>\n" for r in closing) + ("\n<|end|>\n" if ends else "")
 
 
-def _borders(ends: list[tuple], costs: dict) -> tuple[dict[int, np.ndarray], dict[int, int]]:
-    """Costs of the states with which each task's first conversation goes on, and the state in which its last one must end."""
+def _borders(ends: list[tuple], costs: dict) -> tuple[dict[int, np.ndarray], dict[int, int], dict[int, int]]:
+    """Costs of the states with which each task's first conversation goes on, the state in which its last one must end, and
+    the number of turns of the first one that lie in tasks before."""
     ends = sorted(ends, key=lambda e: (e[0], not e[1]))
     begins: dict[int, np.ndarray] = {}
     stops: dict[int, int] = {}
-    chain: list[tuple[int, np.ndarray]] = []  # runs of one conversation that goes over task borders
+    offsets: dict[int, int] = {}
+    chain: list[tuple[int, np.ndarray, int]] = []  # runs of one conversation that goes over task borders
 
     def close() -> None:
         if len(chain) > 1:
             v, before = IDENTITY[0], []
-            for _, m in chain:
+            ahead = 0
+            for task, m, n in chain:
+                offsets[task], ahead = ahead, ahead + n
                 before.append(v)
                 v = (v[:, None] + m).min(0)
             state = best_end(v, costs)
             for i in reversed(range(len(chain))):
-                task, m = chain[i]
+                task, m, _ = chain[i]
                 if i < len(chain) - 1:
                     stops[task] = state
                 state = int((before[i] + m[:, state]).argmin())
                 begins[task] = IDENTITY[state]  # exactly the state in which the task before ends
             begins.pop(chain[0][0])
+            offsets.pop(chain[0][0])
         chain.clear()
 
     at: tuple | None = None
-    for task, first, last, conv, m in ends:
+    for task, first, last, conv, m, n in ends:
         if not (first and at == ("open", conv)):
             close()
-        chain.append((task, m))
+        chain.append((task, m, n))
         at = ("open", conv) if last else None
     close()
-    return begins, stops
+    return begins, stops, offsets

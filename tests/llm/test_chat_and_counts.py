@@ -76,7 +76,7 @@ def test_conversations_across_tasks(spark):
     """One conversation holds most turns and spans tasks; the whole is repaired as if it were one list."""
     rng = random.Random(5)
     rows = [(7, i, rng.choice(["user", "assistant", "system", "tool", None, " User"]), f"t{i}") for i in range(400)]
-    rows += [(c, i, rng.choice(["user", "assistant"]), None if i % 3 else "x") for c in (1, 2, 9, None) for i in range(4)] + [(3, None, "user", "z"), (3, 0, "user", "z"), (3, 0, "user", "z")]
+    rows += [(c, i, rng.choice(["user", "assistant"]), None if i % 3 else "x") for c in (1, 2, 9, None) for i in range(4)] + [(3, None, "user", "z"), (3, 0, "user", "z"), (3, 0, "user", "z"), (4, 1, "user", "b"), (4, 1, "user", "a"), (4, 1, "user", "a")]
     df = clashing(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), "task", "code")
     got = chat.format_chats(df).collect()
     assert len(got) == len(rows)
@@ -85,7 +85,16 @@ def test_conversations_across_tasks(spark):
     for r in got:
         by[r.conv_id].append(r)
     for conv, turns in by.items():
-        turns.sort(key=lambda r: (r.turn is None, r.turn, r.role is None, (r.role or "").encode(), r.segment.encode()) if r.turn is not None else (True, 0, True, b"", b""))
+        turns.sort(key=lambda r: r.position)
+        assert [r.position for r in turns] == list(range(len(turns)))
+        order = [(r.turn is None, r.turn or 0, r.role is None, (r.role or "").encode()) for r in turns]
+        assert order == sorted(order)
+        whole = ""
+        for r in turns:  # the rendering is what the moves say, turn by turn
+            heads = "" if r.action == "merge" else ("\n" if whole else "") + "".join(f"<|{x}|>\n" + ("\n" if i < len(r.inserted_before) else "") for i, x in enumerate([*r.inserted_before, r.new_role]))
+            assert r.segment.startswith("\n\n" if r.action == "merge" else heads)
+            whole += r.segment
+        assert whole.startswith("<|") and whole.endswith("\n<|end|>\n")
         roles = [code.get((r.role or "").strip().lower(), 0) for r in turns]
         moves = [(r.action, code[r.new_role], tuple(code[x] for x in r.inserted_before)) for r in turns]
         assert all(not r.closing for r in turns[:-1])
