@@ -14,8 +14,6 @@ very long texts are read whole; rows that repeat are predicted alike.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +22,11 @@ from pyspark.sql import functions as F
 from .common import ship, text_chunks
 
 BINS = 1 << 15
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """A character of Unicode category L*; digits, signs and numerals such as "½" or "Ⅷ" are none."""
+    return any(map(str.isalpha, text))
 
 
 def codewords(n: int) -> np.ndarray:
@@ -152,7 +154,7 @@ def predict(docs: DataFrame, model: Model, margin: float = 0.02) -> DataFrame:
         m = shared.value
         for batch in text_chunks(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            read = np.array([bool(m.languages) and t is not None and LETTER.search(t) is not None for t in texts])
+            read = np.array([bool(m.languages) and t is not None and has_letter(t) for t in texts])
             lang, score, unclear = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts), bool)
             if read.any():
                 best, s, lead = m.decode(m.margins(_lower([t for t, r in zip(texts, read) if r])))

@@ -112,3 +112,36 @@ def test_probabilities_add_up_to_one():
     tree = ctw.Subtrees(every, n, 2)
     p = 10 ** tree.log10(ctw.Top(*tree.roots()))
     assert np.allclose(np.bincount(np.unique(every >> 8, return_inverse=True)[1], p), 1)
+
+
+def test_texts_without_letters_are_undetermined(spark, docs):
+    """Signs, digits and numerals of any script are no letters; one letter anywhere in the text is enough."""
+    model = train(docs.select("text", "lang"))
+    rows = ["²", "½ ½", "①", "Ⅷ", "12 345 !!", "_", "\u0301", "ª", "5" * 5000 + "a", "語", "é"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    got = {r.doc_id: r for r in predict(df, model).collect()}
+    assert [got[i].lang_pred == "und" for i in range(len(rows))] == [True] * 7 + [False] * 4
+    assert all(got[i].score == 0 for i in range(7))
+
+
+def test_decoding_is_brute_force(spark, docs):
+    """Each prediction again, gram by gram and bit by bit, from the model's tables."""
+    model = train(docs.select("text", "lang"))
+    rows = predict(docs.limit(40), model).collect()
+    for r in rows:
+        b = r.text.encode().lower() + b"\0\0\0"
+        sums = [0.0] * model.code.shape[1]
+        n = len(b) - 2
+        for i in range(n):
+            two = b[i] << 8 | b[i + 1]
+            three = two << 8 | b[i + 2]
+            for x, m in ((two, 2654435761), (three, 2246822519)):
+                odds = model.odds[((x * m) & 0xFFFFFFFF) >> 17]
+                sums = [s + float(o) for s, o in zip(sums, odds)]
+        margins = [s / (2 * n) * min(n, 40.0) for s in sums]
+        losses = []
+        for code, trust in zip(model.code, model.trust):
+            losses.append(sum(t * math.log1p(math.exp(-m * c)) for m, c, t in zip(margins, code, trust)) / sum(trust))
+        best = min(range(len(losses)), key=losses.__getitem__)
+        assert r.lang_pred == model.languages[best]
+        assert r.score == pytest.approx(1 / sum(math.exp(min(losses) - x) for x in losses), abs=1e-4)
