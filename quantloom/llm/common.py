@@ -88,6 +88,18 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(target)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of the names that df has not got (in any case of its letters): the name itself or with
+    underscores before it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def text_chunks(batches, column: str = "text", max_bytes: int = 2 << 20):
     """Cut Arrow batches into slices of about max_bytes of text, so that memory follows the bound, not the rows."""
     for batch in batches:

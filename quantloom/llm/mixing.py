@@ -4,7 +4,8 @@ Native: DataFrame functions only. Sizes are summed per source with partial aggre
 source. It is broadcast only after a count proves it small, otherwise joined by a shuffle that adaptive execution splits.
 
 Defined cases: null text has size 0; the null source is a source of its own, last in order; a source without words has
-target 0 and rate 0; repeated rows with one doc_id share one decision; a null doc_id draws by its text "null".
+target 0 and rate 0; repeated rows with one doc_id share one decision; a null doc_id draws by its text "null"; an empty
+table gives no rows; extra columns pass through whatever their names, but mix_plan() replaces the four that it adds.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, materialise
+from .common import WORD, broadcast_if_small, fresh, materialise
 
 #: Weights dealt to the sources in their order, again and again.
 WEIGHTS = (3, 1, 2)
@@ -48,24 +49,26 @@ def source_rates(sized: DataFrame, share: float = 1.5, most: float = 2.0, weight
     return out.select("source", "source_size", "target", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("rate"))
 
 
-def _planned(docs: DataFrame, share: float, most: float, weights: tuple[int, ...], seed: str) -> DataFrame:
-    sized = docs.withColumn("_size", size_of(F.col("text")))
-    rates = source_rates(sized.select("source", F.col("_size").alias("size")), share, most, weights)
-    rates = materialise(rates.select(*[F.col(c).alias(f"_{c}") for c in rates.columns]))
-    joined = sized.join(broadcast_if_small(rates, 100_000), sized["source"].eqNullSafe(rates["_source"]))
-    whole = F.floor("_rate")
-    extra = (uniform(F.col("doc_id"), seed) < F.col("_rate") - whole).cast("long")
-    return joined.withColumn("_copies", whole + extra)
+def _planned(docs: DataFrame, share: float, most: float, weights: tuple[int, ...], seed: str) -> tuple[DataFrame, dict[str, Column]]:
+    """docs with a rate joined to each row, and the columns of the plan by name."""
+    rates = source_rates(docs.select("source", size_of(F.col("text")).alias("size")), share, most, weights)
+    names = fresh(docs, *[f"_{c}" for c in rates.columns])
+    rates = materialise(rates.toDF(*names))
+    source, total, target, rate = names
+    joined = docs.join(broadcast_if_small(rates, 100_000), docs["source"].eqNullSafe(rates[source]))
+    whole = F.floor(rate)
+    extra = (uniform(F.col("doc_id"), seed) < F.col(rate) - whole).cast("long")
+    return joined, {"size": size_of(F.col("text")), "source_size": F.col(total), "target": F.col(target), "copies": whole + extra}
 
 
 def mix_plan(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix-1:") -> DataFrame:
     """docs plus size, source_size, target and copies (how often the mix takes the document); like-named columns go."""
-    added = ("size", "source_size", "target", "copies")
-    plan = _planned(docs, share, most, weights, seed)
-    return plan.select(*[c for c in docs.columns if c not in added], *[F.col(f"_{c}").alias(c) for c in added])
+    plan, added = _planned(docs, share, most, weights, seed)
+    return plan.select(*[docs[c] for c in docs.columns if c not in added], *[c.alias(name) for name, c in added.items()])
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix-1:") -> DataFrame:
     """The mixed corpus: each row as often as the plan takes it, with the columns of docs."""
-    plan = _planned(docs, share, most, weights, seed)
-    return plan.withColumn("_copy", F.explode(F.expr("array_repeat(1, cast(_copies as int))"))).select(*docs.columns)
+    plan, added = _planned(docs, share, most, weights, seed)
+    (copy,) = fresh(docs, "_copy")
+    return plan.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), added["copies"].cast("int"))).alias(copy)).drop(copy)

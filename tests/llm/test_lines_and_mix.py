@@ -46,9 +46,16 @@ def test_line_keys_fold_ascii_case_only(spark):
 
 
 def test_clashing_columns_pass(odd_docs):
-    out = line_dedup(clashing(odd_docs, "_key", "_keys", "_pos", "_text_hash0", "keeper"))
-    assert out.filter("keeper <> 'mine' or _pos <> 'mine'").count() == 0 and out.count() == odd_docs.count()
-    assert mix(clashing(odd_docs, "size", "target", "copies", "rate")).filter("size <> 'mine' or rate <> 'mine'").count() == 0
+    names = ("_key", "_keys", "_pos", "_text_hash", "_id", "_drop", "__drop", "keeper")
+    out = line_dedup(clashing(odd_docs, *names))
+    assert out.columns == [*odd_docs.columns, *names, "n_lines", "n_dropped"] and out.count() == odd_docs.count()
+    assert all(out.filter(f"{c} <> 'mine'").count() == 0 for c in names)
+    assert sorted(out.select("doc_id", "text").collect(), key=str) == sorted(line_dedup(odd_docs).select("doc_id", "text").collect(), key=str)
+    names = ("size", "_size", "target", "copies", "rate", "_rate", "_source", "_copies", "_copy", "col")
+    out = mix(clashing(odd_docs, *names))
+    assert out.columns == [*odd_docs.columns, *names] and out.count() == mix(odd_docs).count()
+    assert all(out.filter(f"{c} <> 'mine'").count() == 0 for c in names)
+    assert mix_plan(clashing(odd_docs, "_size", "size", "_rate")).filter("_size = 'mine' and size >= 0").count() == odd_docs.count()
 
 
 def fill(sizes, share=1.5, most=2.0):
