@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise, release, ship, text_chunks
+from .common import broadcast_if_small, fresh, materialise, release, ship, text_chunks
 from .components import connected_components
 
 #: The sketch: two rows of counters, cut into parts that are summed each in its own task. Its size is fixed.
@@ -344,7 +344,8 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
         release(spark)
     placed = profile.join(component, profile["cls"] == component["node"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "cls")).alias("_c"))
     placed = materialise(placed)
-    least = placed.filter("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("_least")).withColumnRenamed("_c", "_k")
+    # a table of its own, so that adaptive execution may split the join where one component holds many rows
+    least = broadcast_if_small(materialise(placed.filter("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("_least")).withColumnRenamed("_c", "_k")), 200_000)
     return placed.join(least, placed["_c"] == least["_k"], "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
 
 
@@ -352,17 +353,19 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without the near copies: of each component one row of its smallest doc_id stays.
 
     Rows without words or without a doc_id are linked with nothing and all stay. Rows that share a doc_id are told apart by
-    their text; of rows that repeat both, one stays."""
+    their text; of rows that repeat both, one stays. Extra columns pass through whatever their names; an empty table gives no
+    rows."""
     text = F.col("text").cast("string")
-    key = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_hash")))
+    i, h, turn = fresh(docs, "_id", "_hash", "_turn")
+    key = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias(i), F.xxhash64(text).alias(h)))
     placed = materialise(ngram_join(docs.select(key.alias("doc_id"), text.alias("text")), k, percent).filter("n_shingles > 0 and doc_id is not null"))
     dropped = materialise(placed.filter("doc_id <> component_id").select("doc_id.*").distinct())
     repeated = materialise(placed.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id.*"))
-    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
+    same = (F.col("doc_id") == F.col(i)) & (F.xxhash64(text) == F.col(h))
     left = docs.join(broadcast_if_small(dropped), same, "left_anti")
     if not repeated.take(1):
         return left
     repeated = broadcast_if_small(repeated)
     one = Window.partitionBy("doc_id", F.xxhash64(text)).orderBy(F.xxhash64(*docs.columns))
-    first = left.join(repeated, same, "left_semi").withColumn("_turn", F.row_number().over(one)).filter("_turn = 1").select(*docs.columns)
+    first = left.join(repeated, same, "left_semi").withColumn(turn, F.row_number().over(one)).filter(F.col(turn) == 1).select(*docs.columns)
     return left.join(repeated, same, "left_anti").unionByName(first)

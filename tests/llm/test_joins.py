@@ -10,6 +10,9 @@ from quantloom.llm.components import connected_components
 from quantloom.llm.embed_dedup import multi_sequence, near_dedup
 
 
+from .conftest import clashing
+
+
 def components(nodes, links):
     root = {n: n for n in nodes}
 
@@ -87,6 +90,9 @@ def test_one_row_of_each_group_stays_whatever_the_ids(spark, odd_docs, no_docs):
     got = nj.keep_one(df)
     assert got.columns == df.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
     assert nj.keep_one(no_docs).count() == 0
+    names = ("_keep", "_id", "_hash", "_turn", "cls", "component_id", "n_shingles")
+    clash = nj.keep_one(clashing(df, *names))
+    assert clash.columns == [*df.columns, *names] and clash.filter("_keep = 'mine' and _id = 'mine' and cls = 'mine'").count() == len(want)
 
 
 @settings(max_examples=80, deadline=None)
