@@ -205,9 +205,14 @@ def _sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys[start], np.add.reduceat(counts[order], start)
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[_steps(keys)] if len(keys) else keys
+
+
 def _counted(keys: np.ndarray, trained: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Distinct keys of trained texts with their counts, and those of the others with 0."""
-    other = np.unique(keys[~trained])
+    other = _distinct(keys[~trained])
     return [np.unique(keys[trained], return_counts=True), (other, np.zeros(len(other), np.int64))]
 
 
@@ -289,6 +294,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = 6, bucket_bytes: int =
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     shards = max(4, -(-total // shard_bytes))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), shards)
+    bucket_bytes = min(bucket_bytes, max(1 << 20, total // (2 * spark.sparkContext.defaultParallelism)))  # work for all cores
     split = spark.sparkContext.broadcast(_crowded(rows, total, depth, 4 * shard_bytes, sample_bytes))  # at most 4,096 a depth
 
     def buckets(batches):
@@ -375,7 +381,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = 6, bucket_bytes: int =
         for batch in pa.ipc.open_stream(packed):
             w, nw, g, ng = read(batch.column(1).to_pylist(), depth)
             chunks.append((batch, *np.unique(w, return_inverse=True), nw, *np.unique(g, return_inverse=True), ng))
-        wk, gk = (np.unique(np.concatenate([c[i] for c in chunks])) for i in (1, 4))
+        wk, gk = (_distinct(np.concatenate([c[i] for c in chunks])) for i in (1, 4))
         count, log10 = np.zeros(len(wk), np.int64), np.zeros(len(gk))
         for kind, shard, at in _dealt(wk, gk, shards, split.value):
             data = found.pop((kind, shard))
