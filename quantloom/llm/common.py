@@ -69,8 +69,10 @@ def release(spark: SparkSession) -> None:
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, wherever the driver got it from, and keep Arrow batches of whole
-    texts small: Spark's default of 10,000 rows a batch bounds rows, not bytes."""
+    texts small: Spark's default of 10,000 rows a batch bounds rows, not bytes. A session that sets these itself keeps them."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, str((1 << 63) - 1), str((1 << 31) - 1)):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if sc.applicationId in _shipped:

@@ -210,6 +210,12 @@ def _distinct(keys: np.ndarray) -> np.ndarray:
     return keys[_steps(keys)] if len(keys) else keys
 
 
+def _indexed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the place of each key among them, in half the memory of np.unique's."""
+    ids, at = np.unique(keys, return_inverse=True)
+    return ids, at.astype(np.int32)
+
+
 def _counted(keys: np.ndarray, trained: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Distinct keys of trained texts with their counts, and those of the others with 0."""
     other = _distinct(keys[~trained])
@@ -220,13 +226,15 @@ def _counted(keys: np.ndarray, trained: np.ndarray) -> list[tuple[np.ndarray, np
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight side by side, so that the shuffle's and the table's compression sees the zeros."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    """Bytes of equal weight side by side, compressed, after their number: small in the JVM as well as on disk."""
+    flat = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+    return flat.nbytes.to_bytes(8, "little") + pa.compress(flat, codec="zstd", asbytes=True)
 
 
 def _whole(data: bytes, dtype) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
+    flat = pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -281,7 +289,7 @@ def _crowded(rows: DataFrame, total: int, depth: int, most_bytes: int, sample_by
     return {int(x): np.sort(context[d == x]) for x in np.unique(d)}
 
 
-def score(docs: DataFrame, held_out: Column, depth: int = 6, bucket_bytes: int = 16 << 20, shard_bytes: int = 4 << 20, sample_bytes: int = 8 << 20) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, depth: int = 6, bucket_bytes: int = 8 << 20, shard_bytes: int = 4 << 20, sample_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), n_bytes and bits_per_byte of each row.
 
     Texts with held_out true are scored by a model that never saw them. depth: 3 to 7 bytes."""
@@ -295,11 +303,11 @@ def score(docs: DataFrame, held_out: Column, depth: int = 6, bucket_bytes: int =
     shards = max(4, -(-total // shard_bytes))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), shards)
     bucket_bytes = min(bucket_bytes, max(1 << 20, total // (2 * spark.sparkContext.defaultParallelism)))  # work for all cores
-    split = spark.sparkContext.broadcast(_crowded(rows, total, depth, 4 * shard_bytes, sample_bytes))  # at most 4,096 a depth
+    split = spark.sparkContext.broadcast(_crowded(rows, total, depth, shard_bytes, sample_bytes))  # at most 4,096 a depth
 
     def buckets(batches):
         held, size = [], 0
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches, max_bytes=1 << 20):
             held.append(batch)
             size += batch.nbytes
             if size >= bucket_bytes:
@@ -317,7 +325,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = 6, bucket_bytes: int =
                 trained = ~np.array(batch.column(2).to_pylist(), bool)
                 words += _counted(w, np.repeat(trained, nw))
                 grams += _counted(g, np.repeat(trained, ng))
-                if len(grams) > 16:  # fold in what has been read, so that memory follows the distinct keys
+                if len(grams) > 8:  # fold in what has been read, so that memory follows the distinct keys
                     words, grams = [_sums(words)], [_sums(grams)]
             (wk, wn), (gk, gn) = _sums(words), _sums(grams)
             sink = pa.BufferOutputStream()
@@ -327,7 +335,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = 6, bucket_bytes: int =
             out = [(TEXTS, 0, sink.getvalue().to_pybytes(), b"")]
             for kind, shard, at in _dealt(wk, gk, shards, split.value):
                 keys, n = (gk[at], gn[at]) if kind else (wk[at], wn[at])
-                out.append((kind, shard, _pack_keys(keys), _planes(n)))
+                out.append((kind, shard, _pack_keys(keys), _planes(n.astype(np.uint32))))  # a bucket's counts are small
             bucket = [task << 32 | number] * len(out)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((bucket, *zip(*out)), [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])], ["bucket", "kind", "shard", "data", "counts"])
 
@@ -346,7 +354,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = 6, bucket_bytes: int =
                     if parts:
                         yield *now, [(b, k) for b, k, _ in parts], *_sums([(k, c) for _, k, c in parts])
                     now, parts = (kind, shard), []
-                parts.append((b, _unpack_keys(keys), _whole(counts, np.int64)))
+                parts.append((b, _unpack_keys(keys), _whole(counts, np.uint32).astype(np.int64)))
         if parts:
             yield *now, [(b, k) for b, k, _ in parts], *_sums([(k, c) for _, k, c in parts])
 
@@ -367,6 +375,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = 6, bucket_bytes: int =
     # nodes above the shards: 256 x 255, and 255 for each context that is split
     top = by_shard().mapInArrow(roots, "d long, key long, logs double, n0 double, n1 double").groupBy("d", "key").agg(*[F.sum(c).alias(c) for c in ("logs", "n0", "n1")]).toArrow()
     d, key, logs, n0, n1 = (top.column(c).to_numpy() for c in ("d", "key", "logs", "n0", "n1"))
+    release(spark)
     node = d >= 0
     train_tokens, distinct = int(logs[~node].sum()), int(n0[~node].sum())
     shared = spark.sparkContext.broadcast(Top(d[node], key[node].astype(np.uint64), logs[node], n0[node], n1[node]))
@@ -380,7 +389,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = 6, bucket_bytes: int =
         chunks = []
         for batch in pa.ipc.open_stream(packed):
             w, nw, g, ng = read(batch.column(1).to_pylist(), depth)
-            chunks.append((batch, *np.unique(w, return_inverse=True), nw, *np.unique(g, return_inverse=True), ng))
+            chunks.append((batch, *_indexed(w), nw, *_indexed(g), ng))
         wk, gk = (_distinct(np.concatenate([c[i] for c in chunks])) for i in (1, 4))
         count, log10 = np.zeros(len(wk), np.int64), np.zeros(len(gk))
         for kind, shard, at in _dealt(wk, gk, shards, split.value):
