@@ -13,7 +13,7 @@ Training gathers every (context, byte) of every training text:
    more than its part of all grams (found on a sample, which moves work and no result) is dealt by its last three bytes, and
    so on, so that no pair of bytes is one task's work. Shards sum the counts and compute their nodes on their own, one shard
    in memory at a time; the nodes above them (depths 0 and 1 and those split contexts, at most 4,096 a depth) are sums of
-   theirs.
+   theirs. A summed shard is written as one row, with the places of each bucket's keys in it.
 3. Each shard answers each bucket with the log probabilities of its grams and the counts of its words, in the order in which
    the bucket will find them again in its texts, and each bucket scores its texts.
 
@@ -342,9 +342,6 @@ def score(docs: DataFrame, held_out: Column, depth: int = 6, bucket_bytes: int =
     seen = materialise(rows.mapInArrow(gather, "bucket long, kind int, shard int, data binary, counts binary"))
     release(spark)
 
-    def by_shard():
-        return seen.filter(F.col("kind") != TEXTS).repartition(tasks, "kind", "shard").sortWithinPartitions("kind", "shard", "bucket")
-
     def shards_of(batches):
         """Per shard: kind, shard, its buckets with their keys, all keys and their total counts."""
         now, parts = None, []
@@ -358,28 +355,42 @@ def score(docs: DataFrame, held_out: Column, depth: int = 6, bucket_bytes: int =
         if parts:
             yield *now, [(b, k) for b, k, _ in parts], *_sums([(k, c) for _, k, c in parts])
 
+    above = pa.schema([("d", pa.int64()), ("key", pa.int64()), ("logs", pa.float64()), ("n0", pa.float64()), ("n1", pa.float64())])
+    merged = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("buckets", pa.list_(pa.int64())), ("places", pa.list_(pa.binary()))])
+
     def roots(batches):
-        for kind, _, _, keys, counts in shards_of(batches):
+        """Each shard as one row, and rows of what it adds to the nodes above it."""
+        for kind, shard, parts, keys, counts in shards_of(batches):
             if kind:
                 d, key, *values = Subtrees(keys, counts, depth, kind).roots()
             else:  # training tokens and distinct ones, in a row of their own
                 d, key, *values = (np.array([v]) for v in (-1, 0, float(counts.sum()), float((counts > 0).sum()), 0.0))
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(key.astype(np.int64)), *map(pa.array, values)], ["d", "key", "logs", "n0", "n1"])
+            sums = [d.astype(np.int64), key.astype(np.int64), *(v.astype(float) for v in values)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, sums), *(pa.nulls(len(d), f.type) for f in merged)], schema=pa.schema([*above, *merged]))
+            places = [_planes(np.diff(np.searchsorted(keys, k), prepend=0).astype(np.uint32)) for _, k in parts]
+            row = [kind, shard, _pack_keys(keys), _planes(counts), [b for b, _ in parts], places]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in above), *(pa.array([v], f.type) for v, f in zip(row, merged))], schema=pa.schema([*above, *merged]))
 
     def values(batches):
-        for kind, shard, parts, keys, counts in shards_of(batches):
-            v = Subtrees(keys, counts, depth, kind).log10(shared.value).astype(np.float32) if kind else counts
-            n = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([shard] * n, pa.int32()), pa.array([_planes(v[np.searchsorted(keys, k)]) for _, k in parts], pa.binary())], ["bucket", "kind", "shard", "data"])
-
+        for batch in batches:
+            for row in range(batch.num_rows):
+                kind, shard, keys, counts, owners, places = (c[row].as_py() for c in batch.columns)
+                keys, counts = _unpack_keys(keys), _whole(counts, np.int64)
+                v = Subtrees(keys, counts, depth, kind).log10(shared.value).astype(np.float32) if kind else counts
+                n, data = len(owners), [_planes(v[np.cumsum(_whole(p, np.uint32))]) for p in places]
+                yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([shard] * n, pa.int32()), pa.array(data, pa.binary())], ["bucket", "kind", "shard", "data"])
+
+    by_shard = seen.filter(F.col("kind") != TEXTS).repartition(tasks, "kind", "shard").sortWithinPartitions("kind", "shard", "bucket")
+    whole = materialise(by_shard.mapInArrow(roots, "d long, key long, logs double, n0 double, n1 double, kind int, shard int, keys binary, counts binary, buckets array<long>, places array<binary>"))
+    del by_shard
+    release(spark)
     # nodes above the shards: 256 x 255, and 255 for each context that is split
-    top = by_shard().mapInArrow(roots, "d long, key long, logs double, n0 double, n1 double").groupBy("d", "key").agg(*[F.sum(c).alias(c) for c in ("logs", "n0", "n1")]).toArrow()
+    top = whole.filter("d is not null").groupBy("d", "key").agg(*[F.sum(c).alias(c) for c in ("logs", "n0", "n1")]).toArrow()
     d, key, logs, n0, n1 = (top.column(c).to_numpy() for c in ("d", "key", "logs", "n0", "n1"))
-    release(spark)
     node = d >= 0
     train_tokens, distinct = int(logs[~node].sum()), int(n0[~node].sum())
     shared = spark.sparkContext.broadcast(Top(d[node], key[node].astype(np.uint64), logs[node], n0[node], n1[node]))
-    answers = by_shard().mapInArrow(values, "bucket long, kind int, shard int, data binary")
+    answers = whole.filter("kind is not null").select(*merged.names).mapInArrow(values, "bucket long, kind int, shard int, data binary")
     texts = seen.filter(F.col("kind") == TEXTS).select("bucket", "kind", "shard", "data")
     dealt = texts.unionAll(answers).repartition(max(tasks, 2 * -(-total // bucket_bytes)), "bucket").sortWithinPartitions("bucket", "kind", "shard")
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
