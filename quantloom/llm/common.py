@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import os
 import string
 import tempfile
@@ -53,18 +53,48 @@ def scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextlib.contextmanager
+def _shuffle_files_go(spark: SparkSession):
+    """Queries begun inside drop their shuffle files as they end; the session's setting is put back afterwards."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffle_files_go(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished jobs now; it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def materialise_parts(df: DataFrame, column: str) -> dict[bool, tuple[DataFrame, str]]:
+    """materialise() for two tables from one pass, told apart by a boolean column, which they lose: for each value the table
+    and its folder, to be discarded by itself."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/table-{uuid.uuid4().hex}"
+    with _shuffle_files_go(spark):
+        df.write.partitionBy(column).option("compression", "zstd").parquet(path)
+    schema = df.drop(column).schema
+    out = {}
+    for value in (True, False):
+        folder = f"{path}/{column}={str(value).lower()}"
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        there = jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(jvm_path)
+        out[value] = (spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema), folder)
+    return out
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

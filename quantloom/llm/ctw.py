@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release, ship, text_chunks, word_list
+from .common import discard, materialise, materialise_parts, ship, text_chunks, word_list
 from .ngram_join import mix, word_hashes
 
 END_WORD = np.uint64(0x5EED_0E4D)
@@ -339,8 +339,9 @@ def score(docs: DataFrame, held_out: Column, depth: int = 6, bucket_bytes: int =
             bucket = [task << 32 | number] * len(out)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((bucket, *zip(*out)), [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])], ["bucket", "kind", "shard", "data", "counts"])
 
-    seen = materialise(rows.mapInArrow(gather, "bucket long, kind int, shard int, data binary, counts binary"))
-    release(spark)
+    seen = rows.mapInArrow(gather, "bucket long, kind int, shard int, data binary, counts binary").withColumn("is_text", F.col("kind") == TEXTS)
+    parts = materialise_parts(seen, "is_text")
+    (texts, _), (gathered, folder) = parts[True], parts[False]
 
     def shards_of(batches):
         """Per shard: kind, shard, its buckets with their keys, all keys and their total counts."""
@@ -380,10 +381,10 @@ def score(docs: DataFrame, held_out: Column, depth: int = 6, bucket_bytes: int =
                 n, data = len(owners), [_planes(v[np.cumsum(_whole(p, np.uint32))]) for p in places]
                 yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([shard] * n, pa.int32()), pa.array(data, pa.binary())], ["bucket", "kind", "shard", "data"])
 
-    by_shard = seen.filter(F.col("kind") != TEXTS).repartition(tasks, "kind", "shard").sortWithinPartitions("kind", "shard", "bucket")
+    by_shard = gathered.repartition(tasks, "kind", "shard").sortWithinPartitions("kind", "shard", "bucket")
     whole = materialise(by_shard.mapInArrow(roots, "d long, key long, logs double, n0 double, n1 double, kind int, shard int, keys binary, counts binary, buckets array<long>, places array<binary>"))
     del by_shard
-    release(spark)
+    discard(spark, folder)  # the shards hold it all now
     # nodes above the shards: 256 x 255, and 255 for each context that is split
     top = whole.filter("d is not null").groupBy("d", "key").agg(*[F.sum(c).alias(c) for c in ("logs", "n0", "n1")]).toArrow()
     d, key, logs, n0, n1 = (top.column(c).to_numpy() for c in ("d", "key", "logs", "n0", "n1"))
@@ -391,8 +392,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = 6, bucket_bytes: int =
     train_tokens, distinct = int(logs[~node].sum()), int(n0[~node].sum())
     shared = spark.sparkContext.broadcast(Top(d[node], key[node].astype(np.uint64), logs[node], n0[node], n1[node]))
     answers = whole.filter("kind is not null").select(*merged.names).mapInArrow(values, "bucket long, kind int, shard int, data binary")
-    texts = seen.filter(F.col("kind") == TEXTS).select("bucket", "kind", "shard", "data")
-    dealt = texts.unionAll(answers).repartition(max(tasks, 2 * -(-total // bucket_bytes)), "bucket").sortWithinPartitions("bucket", "kind", "shard")
+    dealt = texts.select("bucket", "kind", "shard", "data").unionAll(answers).repartition(max(tasks, 2 * -(-total // bucket_bytes)), "bucket").sortWithinPartitions("bucket", "kind", "shard")
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
 
     def scored(packed: bytes, found: dict):

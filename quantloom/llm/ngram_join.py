@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, fresh, materialise, release, ship, text_chunks
+from .common import broadcast_if_small, fresh, materialise, ship, text_chunks
 from .components import connected_components
 
 #: The sketch: two rows of counters, cut into parts that are summed each in its own task. Its size is fixed.
@@ -293,7 +293,6 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     # shingles that hold the same classes lead to the same pairs: one of them stays
     lists = open_.groupBy("token").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("cls")).alias("_x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("_y"))
     open_ = materialise(open_.join(lists.groupBy("_n", "_x", "_y").agg(F.min("token").alias("token")).select("token"), "token"))
-    release(spark)
     signature = [f"s{i}" for i in range(WORDS)]
     classes = materialise(profile.filter("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in signature]))
     near_by = classes.select("cls", *signature)
@@ -322,7 +321,6 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     partner = partner.groupBy("cls").agg(F.min(F.struct(F.xxhash64("pcls").alias("h"), "pcls"))["pcls"].alias("pcls"))
     done = materialise(partner.select(*pair).distinct())
     links = verify(done)
-    release(spark)
     component = connected_components(links)
     left, probes = open_, 2
     while True:
@@ -341,7 +339,6 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
                 links = links.unionAll(found)
                 component = connected_components(links)
         left, probes = ranked.filter(F.col("_turn") > probes).select(*left.columns), probes * 16
-        release(spark)
     placed = profile.join(component, profile["cls"] == component["node"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "cls")).alias("_c"))
     placed = materialise(placed)
     # a table of its own, so that adaptive execution may split the join where one component holds many rows
