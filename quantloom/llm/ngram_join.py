@@ -5,13 +5,16 @@ are stored in one global order, rare shingles first, so that two similar sets sh
 (n - ceil(t n) + 1); the order needs document frequencies only roughly and takes them from a count-min sketch of fixed size
 that counts every shingle of every document. Classes that share such a shingle meet by that shingle:
 
-* shingles that hold exactly the same classes stand for one another: one of them stays;
+* the first shingle that two sets share is late in one of them only if little is left to share: a class leaves a shingle where
+  no other class is near enough in size and place, so that a passage shared by many unlinked texts, whose places are all late,
+  gives no candidates at all;
+* shingles that hold exactly the same classes stand for one another: the first of them stays;
 * first each class is compared with one partner, the class of least hash that it meets; this joins most groups of near copies
   as stars. Then some probes of each shingle (the classes of least hash) are joined with its other classes, not all pairs;
 * the other sets of a probe form a prefix tree (sets sorted in the global order, each set beginning at the depth that it
   shares with the one before); the probe walks it once, shares the overlap counted on common paths and leaves a subtree as
   soon as the elements left on either side cannot reach the overlap that is needed;
-* pairs whose sizes or signatures (parities of elements over 512 cells) already rule a link out never leave that join;
+* pairs whose sizes, places or signatures (parities of elements over 512 cells) already rule a link out never leave that join;
 * links are contracted to components; a shingle whose classes then lie in one component is settled, any other gets sixteen times
   as many probes in the next round, until every pair in different components has been compared. No link is lost, no candidate
   is capped, and a large group of near copies costs a star instead of all its pairs.
@@ -166,7 +169,7 @@ def _profile(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def _prefix_rows(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
-    """(token, cls, n): the first elements of each set in the global order."""
+    """(token, cls, n, pos): the first elements of each set in the global order and their places from 0."""
 
     def run(batches):
         sketch, sent = shared.value, set()
@@ -175,19 +178,43 @@ def _prefix_rows(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
             cls, rank = _class_ids(h, n), _estimate(sketch, h)
             take = n - -(-percent * n // 100) + 1
             ends = np.cumsum(n)
-            picked, own = [], []
+            picked, own, places = [], [], []
             for d, c in enumerate(cls.tolist()):
                 if n[d] and c not in sent:  # equal sets of one task go out once
                     sent.add(c)
                     picked.append(ends[d] - n[d] + np.argsort(rank[ends[d] - n[d] : ends[d]], kind="stable")[: take[d]])
                     own.append(d)
+                    places.append(np.arange(take[d], dtype=np.int32))
             if picked:
                 at, own = np.concatenate(picked), np.repeat(own, take[own])
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(cls[own]), pa.array(n[own], pa.int64())], ["token", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(cls[own]), pa.array(n[own], pa.int64()), pa.array(np.concatenate(places))], ["token", "cls", "n", "pos"])
             if len(sent) > 1_000_000:
                 sent.clear()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, cls long, n long")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, cls long, n long, pos int")
+
+
+def _fits(x, y, percent: int):
+    """Sizes of sets that may be linked."""
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
+def _meeting(rows: DataFrame, percent: int) -> DataFrame:
+    """(token, cls, n, pos) of the classes that meet another one at a shingle which may be the first that they share and leave
+    room for a link. Of two linked classes both stay at the first shingle they share: the smaller one comes before the larger
+    one by size, and each place leaves room for the size of the other."""
+    rows = rows.repartition("token").dropDuplicates(["token", "cls"])
+    by_size = Window.partitionBy("token").orderBy("n", "cls")
+    n, least = F.col("n"), F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n")  # largest partner
+    before, after = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    room = F.max("room").over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    smaller = before.isNotNull() & _fits(n, before, percent) & (room >= n)  # least() skips nulls
+    larger = after.isNotNull() & _fits(n, after, percent) & (after <= F.col("room"))
+    met = materialise(rows.withColumn("room", least).withColumn("_met", smaller | larger).filter("_met").select("token", "cls", "n", "pos"))
+    # shingles that hold the same classes lead to the same pairs; all sets have them in one order, so the first has the least sum
+    lists = met.groupBy("token").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("cls")).alias("_x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("_y"), F.sum("pos").alias("_s"))
+    first = lists.groupBy("_n", "_x", "_y").agg(F.min(F.struct("_s", "token"))["token"].alias("token"))
+    return met.join(first.select("token"), "token")
 
 
 def _ordered_sets(docs: DataFrame, wanted: DataFrame, k: int, shared) -> DataFrame:
@@ -280,32 +307,23 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
 
-    def fits(x, y):
-        return F.least(x, y) * 100 >= F.greatest(x, y) * percent
-
     profile, sketch = _profile(docs, k)
     shared = spark.sparkContext.broadcast(sketch)
-    rows = _prefix_rows(docs, k, percent, shared).repartition("token").dropDuplicates(["token", "cls"])
-    # a class stays with a shingle if the next smaller or next larger set there is near enough in size to be linked
-    by_size = Window.partitionBy("token").orderBy("n", "cls")
-    near = lambda other: other("n").over(by_size).isNotNull() & fits(F.col("n"), other("n").over(by_size))  # noqa: E731  least() skips nulls
-    open_ = materialise(rows.withColumn("_near", near(F.lag) | near(F.lead)).filter("_near").select("token", "cls", "n"))
-    # shingles that hold the same classes lead to the same pairs: one of them stays
-    lists = open_.groupBy("token").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("cls")).alias("_x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("_y"))
-    open_ = materialise(open_.join(lists.groupBy("_n", "_x", "_y").agg(F.min("token").alias("token")).select("token"), "token"))
+    open_ = materialise(_meeting(_prefix_rows(docs, k, percent, shared), percent))
     signature = [f"s{i}" for i in range(WORDS)]
     classes = materialise(profile.filter("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in signature]))
     near_by = classes.select("cls", *signature)
     open_ = materialise(open_.join(F.broadcast(near_by) if classes.count() <= 500_000 else near_by, "cls"))
 
     def could_link():
-        """Sizes and signatures of a class and a probe (columns named p...) leave room for a link."""
+        """Sizes, places and signatures of a class and a probe (columns named p...) leave room for a link."""
         apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p{c}"))) for c in signature), F.lit(0))
         sizes = F.col("n") + F.col("pn")
-        return fits(F.col("n"), F.col("pn")) & (apart <= sizes - 2 * F.ceil(sizes * percent / (100 + percent)))
+        rest = F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("ppos"))
+        return _fits(F.col("n"), F.col("pn"), percent) & (rest * (100 + percent) >= sizes * percent) & (apart <= sizes - 2 * F.ceil(sizes * percent / (100 + percent)))
 
     def as_probe(df, *more):
-        return df.select("token", *[F.col(c).alias(f"p{c}") for c in ("cls", "n", *signature, *more)])
+        return df.select("token", *[F.col(c).alias(f"p{c}") for c in ("cls", "n", "pos", *signature, *more)])
 
     def verify(pairs: DataFrame) -> DataFrame:
         """The links among the pairs (probe, member)."""

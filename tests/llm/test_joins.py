@@ -73,6 +73,18 @@ def test_join_is_brute_force(which, k, percent, request):
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(brute_join(rows, k, percent), key=str)
 
 
+@pytest.mark.parametrize("own", [10, 13, 30])
+def test_a_shared_passage_gives_no_pairs(spark, own):
+    """Two thousand unlinked texts with one passage: what meets stays far below their number, let alone its square."""
+    passage = " ".join(f"p{i}" for i in range(100))
+    rows = [(i, " ".join(f"u{i}_{j}" for j in range(own)) + " " + passage) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shared = spark.sparkContext.broadcast(nj._profile(df, 4)[1])
+    assert nj._meeting(nj._prefix_rows(df, 4, 85, shared), 85).count() < 200
+    got = nj.ngram_join(df).collect()
+    assert all(r.component_id == r.doc_id and r.n_shingles == own + 97 for r in got) and len(got) == 2000
+
+
 def test_one_of_each_group_stays(copies):
     rows = [(r.doc_id, r.text) for r in copies.collect()]
     assert sorted(r.doc_id for r in nj.keep_one(copies).collect()) == sorted(i for i, c in brute_join(rows, 5, 80) if i == c)
