@@ -7,9 +7,9 @@ the order of their summed distances to the query's halves. How many cells are vi
 vectors are turned until their cosine is exactly the threshold, and the number is the one that finds that share of them.
 Every vector found is verified by its cosine, so no link below the threshold is returned.
 
-Queries travel once for each first-half code that they visit. The residents of a code are split into blocks of bounded size
-and so are its queries, so that one cell may hold a third of all vectors. Each block sends back counts and a spanning forest
-of its links, never the pairs.
+Queries travel once for each first-half code that they visit and are multiplied with the residents of the cells that they
+visit only. The residents of a code are split into blocks of bounded size and so are its queries, so that one cell may hold a
+third of all vectors. Each block sends back counts and a spanning forest of its links, never the pairs.
 
 Defined cases: null vectors, zero vectors and vectors with null or non-finite components link with nothing; vectors link only
 with vectors of their own dimension; repeated rows link with one another; extra columns are not used; an empty table gives
@@ -46,12 +46,20 @@ def distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    return distances(x, centers).argmin(1)
+    return np.concatenate([distances(x[i : i + 4096], centers).argmin(1) for i in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
+
+
+def _first(d: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n least values in order, ties by place."""
+    if n >= len(d):
+        return np.argsort(d, kind="stable")
+    near = np.flatnonzero(d <= np.partition(d, n - 1)[n - 1])
+    return near[np.argsort(d[near], kind="stable")][:n]
 
 
 def multi_sequence(d1: np.ndarray, d2: np.ndarray, cells: int) -> list[tuple[int, int]]:
     """The `cells` pairs (i, j) of least d1[i] + d2[j], nearest first."""
-    o1, o2 = np.argsort(d1, kind="stable").tolist(), np.argsort(d2, kind="stable").tolist()
+    o1, o2 = _first(d1, cells).tolist(), _first(d2, cells).tolist()  # a cell of place (i, j) has i * j before it
     a, b = d1[o1].tolist(), d2[o2].tolist()
     heap, reached, out = [(a[0] + b[0], 0, 0)], {(0, 0)}, []
     while heap and len(out) < cells:
@@ -65,9 +73,11 @@ def multi_sequence(d1: np.ndarray, d2: np.ndarray, cells: int) -> list[tuple[int
 
 
 class MultiIndex:
-    """Codebooks of the two halves and the number of cells a query visits."""
+    """Codebooks of the two halves and the number of cells a query visits. A codebook has the square root of an eighth of the
+    vectors, so that a cell holds about eight, up to `most` (2,048: four million cells, 33 million vectors; beyond that the
+    cells hold more each, and their blocks are more)."""
 
-    def __init__(self, sample: np.ndarray, vectors: int, threshold: float, target_recall: float, probes: int = 400, most: int = 512):
+    def __init__(self, sample: np.ndarray, vectors: int, threshold: float, target_recall: float, probes: int = 400, most: int = 2048):
         self.cut = sample.shape[1] // 2
         k = int(np.clip(round((vectors / 8) ** 0.5), 1, most))
         k = min(k, len(sample))
@@ -135,6 +145,7 @@ def _links(classes: DataFrame, width: int, threshold: float, target_recall: floa
     placed = materialise(classes.select("id", "m", "embedding").mapInArrow(assign, f"id long, m long, embedding {kind}, cell int, visited array<int>"))
     code = F.floor(F.col("cell") / k).cast("int").alias("code")
     visits = placed.withColumn("code", F.explode(F.array_distinct(F.transform("visited", lambda c: F.floor(c / k).cast("int")))))
+    visits = visits.withColumn("visited", F.filter("visited", lambda c: F.floor(c / k) == F.col("code")))
     # numbers of residents and of queries for each first-half code: at most as many rows as the codebook has
     sizes = placed.groupBy(code).agg(F.ceil(F.count("*") / block).cast("int").alias("rb")).join(visits.groupBy("code").agg(F.ceil(F.count("*") / (4 * block)).cast("int").alias("qb")), "code")
     sizes = F.broadcast(materialise(sizes))
@@ -146,38 +157,45 @@ def _links(classes: DataFrame, width: int, threshold: float, target_recall: floa
     names = ["id", "n", "a", "b"]
 
     def compare(residents: list[pa.RecordBatch], queries: pa.RecordBatch) -> pa.RecordBatch:
+        """Links between a block's residents and the queries that visit their cells; only those are multiplied."""
         r = pa.Table.from_batches(residents).combine_chunks()
         x, y = _matrix(r.column("embedding"), width), _matrix(queries.column(6), width)
         rid, rm, rcell = (r.column(c).to_numpy() for c in ("id", "m", "cell"))
         qid, qm, qcell = (queries.column(i).to_numpy() for i in (4, 5, 7))
         rvis = np.array(r.column("visited").to_pylist(), np.int32).reshape(len(rid), -1)
-        qvis = np.array(queries.column(8).to_pylist(), np.int32).reshape(len(qid), -1)
-        allowed = np.zeros((len(qid), k * k), bool) if k * k <= 4096 else None
-        out_id, out_n, out_a, out_b = [], [], [], []
-        for lo in range(0, len(qid), 256):
-            part = slice(lo, lo + 256)
-            near = y[part] @ x.T >= threshold
-            near &= qid[part][:, None] != rid[None, :]
-            i, j = np.nonzero(near)
-            if not len(i):
-                continue
-            keep = np.concatenate([(qvis[part][i[s : s + 65536]] == rcell[j[s : s + 65536], None]).any(1) for s in range(0, len(i), 65536)])
-            i, j = i[keep], j[keep]
-            back = np.concatenate([(rvis[j[s : s + 65536]] == qcell[part][i[s : s + 65536], None]).any(1) for s in range(0, len(i), 65536)] or [np.zeros(0, bool)])
-            # a query counts what it finds; a resident that would not find the query by itself counts it here
-            for ids, n in ((qid[part], np.bincount(i, rm[j], len(qid[part]))), (rid, np.bincount(j[~back], qm[part][i[~back]], len(rid)))):
-                some = np.flatnonzero(n)
-                out_id.append(ids[some])
-                out_n.append(n[some].astype(np.int64))
-            every = np.concatenate([qid[part], rid])
-            root = _forest(i, j + len(qid[part]), len(every))
-            child = np.flatnonzero(root != np.arange(len(root)))
-            out_a.append(every[child])
-            out_b.append(every[root[child]])
-        del allowed
-        ids, n, a, b = (np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in (out_id, out_n, out_a, out_b))
+        cells = queries.column(8)  # of each query, those of this code
+        visitor = np.repeat(np.arange(len(qid)), np.diff(cells.offsets.to_numpy()))
+        visit = cells.flatten().to_numpy()
+        order = np.argsort(visit, kind="stable")
+        visitor, visit = visitor[order], visit[order]
+        home = np.argsort(rcell, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(rcell[home]) != 0]))
+        lows, highs = (np.searchsorted(visit, rcell[home[cuts]], side) for side in ("left", "right"))
+        found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start, stop, lo, hi in zip(cuts, [*cuts[1:], len(home)], lows, highs):
+            mine = home[start:stop]
+            for at in range(lo, hi, 512):
+                some = visitor[at : min(at + 512, hi)]
+                i, j = np.nonzero(y[some] @ x[mine].T >= threshold)
+                found_i.append(some[i])
+                found_j.append(mine[j])
+        i, j = np.concatenate(found_i), np.concatenate(found_j)
+        other = qid[i] != rid[j]
+        i, j = i[other], j[other]
+        # a query counts what it finds; a resident that would not find the query by itself counts it here
+        back = np.concatenate([(rvis[j[s : s + 65536]] == qcell[i[s : s + 65536], None]).any(1) for s in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+        ids, n = [], []
+        for who, counts in ((qid, np.bincount(i, rm[j], len(qid))), (rid, np.bincount(j[~back], qm[i[~back]], len(rid)))):
+            some = np.flatnonzero(counts)
+            ids.append(who[some])
+            n.append(counts[some].astype(np.int64))
+        every = np.concatenate([qid, rid])
+        root = _forest(i, j + len(qid), len(every))
+        child = np.flatnonzero(root != np.arange(len(root)))
+        ids, n, a, b = np.concatenate(ids), np.concatenate(n), every[child], every[root[child]]
         nothing = lambda m: pa.nulls(m, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.chunked_array([pa.array(ids), nothing(len(a))]).combine_chunks(), pa.chunked_array([pa.array(n), nothing(len(a))]).combine_chunks(), pa.chunked_array([nothing(len(ids)), pa.array(a)]).combine_chunks(), pa.chunked_array([nothing(len(ids)), pa.array(b)]).combine_chunks()], names)
+        columns = ((pa.array(ids), nothing(len(a))), (pa.array(n), nothing(len(a))), (nothing(len(ids)), pa.array(a)), (nothing(len(ids)), pa.array(b)))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names)
 
     def search(batches):
         key, held = None, []

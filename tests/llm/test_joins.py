@@ -158,3 +158,29 @@ def test_embeddings_are_brute_force(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (near[i].sum(), root[i], root[i] == i)
     assert [got[i].n_links for i in range(900, 908)] == [0, 0, 0, 0, 1, 1, 0, 0] and got[905].component_id == 904
     assert near_dedup(spark.createDataFrame([], df.schema)).count() == 0
+
+
+def test_default_recall_on_planted_pairs(spark):
+    """Partners turned to a cosine just above the threshold, the hardest to find: at least 0.99 of the links at the default."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 32)) * np.linspace(1, 3, 32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    u = rng.normal(size=x.shape)
+    u -= (u * x).sum(1)[:, None] * x
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    c = rng.uniform(0.951, 0.96, 3000)[:, None]
+    every = np.concatenate([x, c * x + np.sqrt(1 - c**2) * u])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<double>")
+    y = every / np.linalg.norm(every, axis=1)[:, None]
+    near = y @ y.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = near_dedup(df).collect()
+    assert all(r.n_links <= near[r.vec_id].sum() for r in got)
+    assert sum(r.n_links for r in got) >= 0.99 * near.sum()
+
+
+def test_vectors_with_clashing_columns(spark):
+    rows = [(i, [float(i % 3), 1.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = near_dedup(clashing(df, "id", "h", "ok", "cell", "n_links", "code")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, near_dedup(df).collect())) and {r.n_links for r in got} == {9}
