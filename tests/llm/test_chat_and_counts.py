@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.llm import chat
-from quantloom.llm.token_counts import RollupStore, count_tokens, count_words, deletes, entries, upserts
+from quantloom.llm.token_counts import RollupStore, count_tokens, count_words, deletes, entries, revisions, upserts
 
 from .conftest import clashing
 
@@ -157,3 +157,42 @@ def test_every_row_counts(spark, odd_docs, tmp_path):
     assert [sum(v[i] for v in totals(store).values()) for i in (0, 1)] == [len(rows), sum(len((r.text or "").encode().split()) for r in rows)]
     store.commit("b", deletes(count_words(df.filter("doc_id = 3"))))
     assert sum(v[0] for v in totals(store).values()) == sum(r.doc_id != 3 for r in rows)
+
+
+def test_revisions_and_snapshots(spark, odd_docs, tmp_path):
+    """Estimates, deletions and revised counts of rows without ids, with shared ids and repeated rows; then a snapshot."""
+    store = RollupStore(spark, str(tmp_path / "s"))
+    df = odd_docs.unionByName(odd_docs.filter("doc_id is null"))
+    rows, counted = df.collect(), count_words(df)
+    whole = [len(rows), sum(len((r.text or "").encode().split()) for r in rows)]
+    sums = lambda: [sum(v[i] for v in totals(store).values()) for i in (0, 1)]
+    store.compact()
+    store.commit("load", entries(counted.withColumn("n_tokens", F.lit(7).cast("long")), df))
+    assert sums() == [len(rows), 7 * len(rows)]
+    store.commit("gone", deletes(counted.filter("n_tokens = 0")))
+    empty = {r.doc_id for r in rows if not (r.text or "").split()}
+    assert sums()[0] == sum(r.doc_id not in empty for r in rows)
+    for batch in ("count", "count"):
+        store.commit(batch, revisions(counted, df))
+        assert sums() == whole
+    before = totals(store)
+    store.compact()
+    assert totals(store) == before and not store.commit("count", revisions(counted, df))
+    store.commit("out", deletes(counted.filter("doc_id = 3")))
+    store.compact()
+    assert sums()[0] == sum(r.doc_id != 3 for r in rows)
+    log = store.log().collect()
+    assert len(log) == len({(r.doc_id, r.source, r.lang) for r in log}) and all(r.d_docs > 0 for r in log)
+
+
+def test_query_counts_every_row(spark, sf_dir):
+    from quantloom.llm.catalog import QUERIES
+    from quantloom.llm.tokens import rank_encoder
+
+    encoder, want = rank_encoder(None), defaultdict(lambda: [0, 0])
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        for version, n in (("words_1", len((r.text or "").encode().split())), ("byte_bpe_50k", len(encoder.encode_ordinary(r.text or "")))):
+            want[r.source, r.lang, version][0] += 1
+            want[r.source, r.lang, version][1] += n
+    got = {(r.source, r.lang, r.tokenizer_version): [r.n_docs, r.n_tokens] for r in QUERIES["op3_token_counts"](spark, sf_dir).collect()}
+    assert got == dict(want)
