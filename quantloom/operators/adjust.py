@@ -69,12 +69,75 @@ def swap_prices(df: DataFrame, adjust: str = "none") -> DataFrame:
     return df if adjust == "none" else df.withColumns({p: F.coalesce(f"{adjust}_{p}", p) for p in PRICES})
 
 
+def adjusted_price(daily: DataFrame, factors: DataFrame, adjust: str = "qfq", start=None, end=None) -> DataFrame:
+    """symbol, date, open, high, low, close, factor, source of each symbol between the dates, by the first source that has it:
+    the factor table, else adjusted columns of the daily table (if any of the symbol's closes is there), else raw prices.
+    adjust: none, qfq or hfq. One shuffle by symbol."""
+    between = (F.lit(True) if start is None else F.col(TIME) >= start) & (F.lit(True) if end is None else F.col(TIME) <= end)
+    daily = daily.filter(between)
+    raw = [*[F.col(p) for p in PRICES], F.lit(None).cast("double").alias("factor"), F.lit("raw").alias("source")]
+    if adjust == "none":
+        return daily.select(KEY, TIME, *raw)
+    if adjust not in ("qfq", "hfq"):
+        raise ValueError(f"unknown adjustment {adjust}")
+    names = [f"{adjust}_{p}" for p in (*PRICES, "factor")]
+    own = lambda df, source: df.select(KEY, TIME, *[F.col(n).alias(p) for n, p in zip(names, (*PRICES, "factor"))], F.lit(source).alias("source"))
+    every = own(factors.filter(between), "factor").withColumn("_rank", F.lit(1))
+    here = daily.columns
+    if set(names) <= set(here):
+        every = every.unionByName(own(daily, "daily").withColumn("_rank", F.lit(2)))
+    every = every.unionByName(daily.select(KEY, TIME, *raw).withColumn("_rank", F.lit(3)))
+    usable = (F.col("source") != "daily") | F.col("close").isNotNull()  # a symbol's daily rows count if one close is there
+    best = F.min(F.when(usable, F.col("_rank"))).over(Window.partitionBy(KEY))
+    return every.withColumn("_best", best).filter("_rank = _best").drop("_rank", "_best")
+
+
+def latest_price(prices: DataFrame) -> DataFrame:
+    """Each symbol's last row."""
+    last = F.max_by(F.struct(*[c for c in prices.columns if c != KEY]), TIME).alias("_r")
+    return prices.groupBy(KEY).agg(last).select(KEY, "_r.*")
+
+
+def price_change(prices: DataFrame, days: int = 20) -> DataFrame:
+    """symbol, latest_close, past_close (the days-th close from the end), change, pct_change (0 for a past close of 0); symbols
+    with fewer bars are absent."""
+    k = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc(TIME)))
+    at = lambda n: F.max(F.when(F.col("_k") == n, F.col("close")))
+    two = prices.withColumn("_k", k).filter(F.col("_k") <= days).groupBy(KEY).agg(at(1).alias("latest_close"), at(days).alias("past_close"), F.count("*").alias("_n")).filter(F.col("_n") == days)
+    change = F.col("latest_close") - F.col("past_close")
+    return two.select(KEY, "latest_close", "past_close", change.alias("change"), F.when(F.col("past_close") == 0, 0.0).otherwise(F.try_divide(change * 100, "past_close")).alias("pct_change"))
+
+
+# Names under which a source gives amounts for ten shares (the first three) or as they are.
+PER_TEN = {
+    "cash_div": ("现金分红-现金分红比例", "每10股派息(税前)", "每10股派息"),
+    "share_div": ("送转股份-送转总比例", "每10股送转", "每10股送股", "每10股转增"),
+    "rights_issue_ratio": ("配股比例", "每10股配股比例", "10配股"),
+}
+AS_GIVEN = {"rights_issue_price": ("配股价格", "配股价"), "total_div": ("总派现金额(含税)", "派现总额", "分红总额")}
+
+
+def parse_per_ten(df: DataFrame) -> DataFrame:
+    """Dividend columns a share from a source's own columns: the first name that has a number; nothing found is 0."""
+    def pick(names: tuple[str, ...]) -> Column:
+        found = [F.col(f"`{n}`").try_cast("double") for n in names if n in df.columns]
+        return F.coalesce(*found, F.lit(0.0))
+
+    rest = [F.col(f"`{c}`") for c in df.columns if not any(c in names for names in (*PER_TEN.values(), *AS_GIVEN.values()))]
+    return df.select(*rest, *[(pick(n) / 10).alias(c) for c, n in PER_TEN.items()], *[pick(n).alias(c) for c, n in AS_GIVEN.items()])
+
+
+#: What makes two dividends without an ex-date the same one, besides the symbol.
+UNDATED = ("dividend_year", "report_date", "record_date", "cash_div", "share_div", "total_div", "rights_issue_price", "rights_issue_ratio")
+
+
 def clean_dividends(df: DataFrame) -> DataFrame:
-    """Negative amounts become 0, negative rights terms null; one row a (symbol, ex_date), the latest by updated_at and id;
-    the dividend year follows the ex-date where it is missing."""
+    """Negative amounts become 0, negative rights terms null; one row a (symbol, ex_date), the latest by updated_at and id, and
+    of rows without an ex-date one for each set of the other terms; the dividend year follows the ex-date where it is missing."""
     df = df.withColumns({**{c: F.greatest(F.col(c), F.lit(0.0)) for c in ("cash_div", "share_div")}, **{c: F.when(F.col(c) >= 0, F.col(c)) for c in ("rights_issue_price", "rights_issue_ratio")}})
-    newest = Window.partitionBy(KEY, "ex_date").orderBy(F.desc("updated_at"), F.desc("id"))
-    dated = df.withColumn("_n", F.row_number().over(newest)).filter("ex_date is null or _n = 1").drop("_n")
+    terms = F.when(F.col("ex_date").isNull(), F.struct(*[c for c in UNDATED if c in df.columns]))
+    newest = Window.partitionBy(KEY, "ex_date", "_terms").orderBy(F.desc("updated_at"), F.desc("id"))
+    dated = df.withColumn("_terms", terms).withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n", "_terms")
     return dated.withColumn("dividend_year", F.coalesce("dividend_year", F.year("ex_date")))
 
 

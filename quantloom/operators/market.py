@@ -53,6 +53,39 @@ def board(code: Column) -> Column:
     )
 
 
+# What a code's suffix and words in an index's name stand for, the first match in order.
+PUBLISHERS = {"SH": "上交所", "SZ": "深交所", "BJ": "北交所"}
+INDEX_KINDS = (
+    (("行业",), "行业指数", "行业"), (("主题",), "主题指数", "主题"), (("红利",), "策略指数", "红利"), (("创业板",), "板块指数", "创业板"),
+    (("科创",), "板块指数", "科创板"), (("北证",), "板块指数", "北交所"), (("中证", "沪深", "上证", "深证"), "综合指数", "宽基"),
+)
+FUND_CODES = {"SH": ("50", "51", "52", "56", "58"), "SZ": ("15", "16", "18")}
+FUND, WEIGHTS, OTHER = "基金", "市值加权", ("交易所", "综合指数", "通用")
+
+
+def index_meta(code: Column, name: Column) -> Column:
+    """publisher, index_type, category and weight_rule of an index by its code (number.suffix) and name."""
+    suffix, text = F.upper(F.element_at(F.split(code, r"\."), -1)), F.coalesce(F.trim(name), F.lit(""))
+    publisher, kind, category = (F.lit(x) for x in OTHER)
+    for s, p in PUBLISHERS.items():
+        publisher = F.when(F.contains(code, F.lit(".")) & (suffix == s), p).otherwise(publisher)
+    for words, k, c in reversed(INDEX_KINDS):
+        hit = text.rlike("|".join(words))
+        kind, category = F.when(hit, k).otherwise(kind), F.when(hit, c).otherwise(category)
+    return F.struct(publisher.alias("publisher"), kind.alias("index_type"), category.alias("category"), F.lit(WEIGHTS).alias("weight_rule"))
+
+
+def fund_type(code: Column, name: Column, market: Column | None = None) -> Column:
+    """ETF, LOF or the plain word for a fund; null for codes that are no funds."""
+    number, suffix = F.split_part(code, F.lit("."), F.lit(1)), F.upper(F.regexp_extract(code, r"\.(.*)$", 1))
+    text, place = F.upper(F.coalesce(F.trim(name), F.lit(""))), F.coalesce(F.trim(market), F.lit("")) if market is not None else F.lit("")
+    coded = F.lit(False)
+    for s, starts in FUND_CODES.items():
+        coded = coded | ((suffix == s) & number.rlike(f"^({'|'.join(starts)})"))
+    fund = F.contains(code, F.lit(".")) & (coded | F.contains(place, F.lit(FUND)) | text.rlike(f"ETF|LOF|{FUND}"))
+    return F.when(fund, F.when(F.contains(text, F.lit("ETF")), "ETF").when(F.contains(text, F.lit("LOF")) | number.rlike("^(16|18)"), "LOF").otherwise(FUND))
+
+
 def normalise_text(c: Column, most: int = 100) -> Column:
     """Trimmed and cut text; blanks and place-holders are null."""
     t = F.trim(c)

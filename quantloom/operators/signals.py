@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..windows import lag, last, prior, ratio, row, so_far
+from ..windows import KEY, TIME, lag, last, prior, ratio, row, so_far
 
 
 def _emit(df: DataFrame, buy: Column, sell: Column) -> DataFrame:
@@ -76,4 +76,16 @@ def multi_factor(df: DataFrame) -> DataFrame:
     return _emit(df.withColumn("score", score), F.col("score") > 0.3, F.col("score") < -0.3).drop("_a", "_b", "rsi_14")
 
 
+def multi_indicator(df: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """symbol, score, signal at each symbol's last bar from the indicator columns rsi, wr, macd, k and d: (value - 50) / 50 for
+    rsi and wr, macd over its greatest absolute value, (k - d) / 100 for kdj, weighted (equally by default); beyond 0.3 either
+    way. A missing value gives no score and hold."""
+    weights = weights or {name: 0.25 for name in ("rsi", "wr", "macd", "kdj")}
+    at_end = {c: F.max_by(c, TIME) for c in ("rsi", "wr", "macd", "k", "d") if c in df.columns}
+    ends = df.groupBy(KEY).agg(*[c.alias(n) for n, c in at_end.items()], *([F.max(F.abs("macd")).alias("_most")] if "macd" in at_end else []))
+    parts = {"rsi": (F.col("rsi") - 50) / 50, "wr": (F.col("wr") - 50) / 50, "macd": ratio("macd", "_most"), "kdj": (F.col("k") - F.col("d")) / 100}
+    score = sum((parts[name] * weight for name, weight in weights.items()), F.lit(0.0))
+    return ends.withColumn("score", score).select(KEY, "score", F.when(F.col("score") > 0.3, "buy").when(F.col("score") < -0.3, "sell").otherwise("hold").alias("signal"))
+
+
 STRATEGIES = {"trend": trend_following, "momentum": momentum, "breakout": breakout, "ma": ma_state, "macd": macd_state, "multi_factor": multi_factor}

@@ -189,6 +189,30 @@ _signal("signal_macd", signals.macd_state, _MACD, "up", "down")
 _GL = [{"ch": f"coalesce(close - {lag('close')}, 0)"}, {"gn": "greatest(ch, 0)", "ls": "greatest(-ch, 0)"}, {"rsi": f"CASE WHEN i > 14 THEN CASE WHEN {last('avg(ls)', 14)} = 0 THEN 100 ELSE 100 - 100 / (1 + {last('avg(gn)', 14)} / nullif({last('avg(ls)', 14)}, 0)) END ELSE 0 END"}]
 _signal("signal_multi", signals.multi_factor, _MA + _MACD + _GL + [{"sc": "round(0.3 * CASE WHEN i >= 20 AND s > l THEN 1 WHEN i >= 20 AND s < l THEN -1 ELSE 0 END + 0.4 * CASE WHEN up THEN 1 WHEN down THEN -1 ELSE 0 END + 0.3 * CASE WHEN i > 14 AND rsi < 30 THEN 1 WHEN i > 14 AND rsi > 70 THEN -1 ELSE 0 END, 6)"}], "sc > 0.3", "sc < -0.3")
 
+_STATE = [{"e": f"{ewm('close', 12)} - {ewm('close', 26)}", "ch": f"coalesce(close - {lag('close')}, 0)", "h10": last("max(high)", 10), "l10": last("min(low)", 10), "h14": last("max(high)", 14), "l14": last("min(low)", 14)}, {"g": "greatest(ch, 0)", "l": "greatest(-ch, 0)", "wr": "(h10 - close) * 100 / nullif(h10 - l10, 0)", "rsv": "(close - l14) * 100 / nullif(h14 - l14, 0)"}, {"eg": ewm("g", 14), "el": ewm("l", 14), "k": last("avg(rsv)", 3)}, {"rsi": "CASE WHEN el = 0 THEN 100 ELSE 100 - 100 / (1 + eg / nullif(el, 0)) END", "d": last("avg(k)", 3)}]
+_add("signal_score", lambda s, d: rounded(signals.multi_indicator(with_indicators(bars_hour(s, d), ["rsi", "wr", "macd", "kdj"])), "score", keys=("symbol", "signal")), staged(_STATE, ["close"]).split("\nSELECT symbol")[0] + f""",
+ends AS (SELECT symbol, arg_max(rsi, date) AS rsi, arg_max(wr, date) AS wr, arg_max(e, date) AS e, max(abs(e)) AS most, arg_max(k, date) AS k, arg_max(d, date) AS d FROM s4 GROUP BY symbol),
+scored AS (SELECT symbol, ((rsi - 50) / 50 + (wr - 50) / 50 + e / nullif(most, 0) + (k - d) / 100) * 0.25 AS score FROM ends)
+SELECT symbol, CASE WHEN score > 0.3 THEN 'buy' WHEN score < -0.3 THEN 'sell' ELSE 'hold' END AS signal, round(score + {NUDGE}, 6) AS score FROM scored""")
+
+
+def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols up to d have factor rows, those up to m adjusted columns in the daily table, the others raw prices."""
+    daily = bars_hour(spark, sf_dir)
+    made = {"qfq_factor": F.lit(0.5)} | {f"qfq_{p}": F.col(p) * 0.5 for p in _OHLC}
+    factors = daily.filter("symbol < 'd'").select("symbol", "date", *[(c / 2).alias(n) for n, c in made.items()])
+    daily = daily.withColumns({n: F.when(F.col("symbol") < "m", c) for n, c in made.items()})
+    return adjust.adjusted_price(daily, factors)
+
+
+_FORK = "CASE WHEN symbol < 'd' THEN {0} * 0.25 WHEN symbol < 'm' THEN {0} * 0.5 ELSE {0} END"
+_FORKED = f"SELECT symbol, date, {', '.join(f'{_FORK.format(c)} AS {c}' for c in _OHLC)}, CASE WHEN symbol < 'd' THEN 0.25::DOUBLE WHEN symbol < 'm' THEN 0.5::DOUBLE END AS factor, CASE WHEN symbol < 'd' THEN 'factor' WHEN symbol < 'm' THEN 'daily' ELSE 'raw' END AS source FROM ({BARS_HOUR})"
+_add("adj_price_query", lambda s, d: rounded(_priced(s, d), *_OHLC, "factor", keys=("symbol", "date", "source")), f"SELECT symbol, date, source, {_r(*_OHLC, 'factor')} FROM ({_FORKED})")
+_add("adj_latest_price", lambda s, d: rounded(adjust.latest_price(_priced(s, d)), "close", keys=("symbol", "date", "source")), f"SELECT symbol, max(date) AS date, arg_max(source, date) AS source, round(arg_max(close, date) + {NUDGE}, 6) AS close FROM ({_FORKED}) GROUP BY symbol")
+_add("adj_price_change", lambda s, d: rounded(adjust.price_change(_priced(s, d)), "latest_close", "past_close", "change", "pct_change", keys=("symbol",)), f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM ({_FORKED})), two AS (SELECT symbol, max(CASE WHEN k = 1 THEN close END) AS latest_close, max(CASE WHEN k = 20 THEN close END) AS past_close FROM p GROUP BY symbol HAVING count(*) >= 20)
+SELECT symbol, {_r('latest_close', 'past_close')}, round(latest_close - past_close + {NUDGE}, 6) AS change, round(coalesce((latest_close - past_close) * 100 / nullif(past_close, 0), 0) + {NUDGE}, 6) AS pct_change FROM two""")
+_add("dividend_per_ten", lambda s, d: rounded(adjust.parse_per_ten(bars_hour(s, d).select("symbol", "date", F.col("close").alias("每10股派息"), F.when(F.hour("date") > 5, F.col("volume")).alias("每10股送转"), F.lit(3.0).alias("每10股送股"), F.col("open").cast("string").alias("配股价"))), "cash_div", "share_div", "rights_issue_ratio", "rights_issue_price", "total_div"), f"SELECT symbol, date, round(close / 10 + {NUDGE}, 6) AS cash_div, round(CASE WHEN hour(date) > 5 THEN volume ELSE 3 END / 10 + {NUDGE}, 6) AS share_div, round({NUDGE}, 6) AS rights_issue_ratio, round(open + {NUDGE}, 6) AS rights_issue_price, round({NUDGE}, 6) AS total_div FROM ({BARS_HOUR})")
+
 # ---- costs, backtests, performance
 
 

@@ -250,3 +250,41 @@ def test_quantiles_and_ranks_by_hand(spark):
         assert rows[b].long_short == pytest.approx(rows[5].mean_return - rows[1].mean_return)
     assert any(r.n == 0 for r in rows.values())
     assert alpha.quantile_test(df.limit(3), "x").count() == 0
+
+
+def test_index_and_fund_kinds(spark):
+    rows = [("000300.SH", "沪深300"), ("399006.SZ", "创业板指"), ("899050.BJ", "北证50"), ("000001", None), ("000015.sh", "红利指数"), ("x.XX", "全行业主题")]
+    df = spark.createDataFrame(rows, "code string, name string")
+    got = {r.code: tuple(r.m) for r in df.select("code", market.index_meta(F.col("code"), F.col("name")).alias("m")).collect()}
+    assert got["000300.SH"] == ("上交所", "综合指数", "宽基", "市值加权") and got["399006.SZ"][1:3] == ("板块指数", "创业板")
+    assert got["899050.BJ"][:3] == ("北交所", "板块指数", "北交所") and got["000001"][:3] == ("交易所", "综合指数", "通用")
+    assert got["000015.sh"][:3] == ("上交所", "策略指数", "红利") and got["x.XX"][1:3] == ("行业指数", "行业")
+    funds = [("510300.SH", "300ETF", "ETF"), ("161005.SZ", "x", "LOF"), ("600000.SH", "bank", None), ("159915", "ETF", None), ("000001.OF", "某基金", "基金"), ("500001.sh", None, "基金")]
+    df = spark.createDataFrame(funds, "code string, name string, want string")
+    assert all(r.want == r.got for r in df.select("want", market.fund_type(F.col("code"), F.col("name")).alias("got")).collect())
+
+
+def test_undated_dividends_and_momentum_period(spark):
+    from quantloom.operators import ranking
+
+    rows = [("a", None, 2020, 1.0, 0.0, None, None, 1, 1), ("a", None, 2020, 1.0, 0.0, None, None, 2, 2), ("a", None, 2020, 2.0, 0.0, None, None, 1, 3), ("b", None, 2020, 1.0, 0.0, None, None, 1, 4)]
+    df = spark.createDataFrame(rows, "symbol string, ex_date date, dividend_year int, cash_div double, share_div double, rights_issue_price double, rights_issue_ratio double, updated_at int, id int")
+    assert sorted(r.id for r in adjust.clean_dividends(df).collect()) == [2, 3, 4]
+    bars = series(spark, [float(i) for i in range(1, 31)])
+    for period, past in ((5, 26.0), (20, 11.0), (99, 1.0)):
+        r = ranking.score(bars, "momentum", period=period).first()
+        assert r.score == pytest.approx(min(1.0, (30.0 - past) / past * 2))
+
+
+def test_indicator_csv(spark, tmp_path):
+    from quantloom.sources.indicator_csv import read_indicator_csv, write_csv
+
+    (tmp_path / "a.csv").write_text("日期,MA5,DIF,MACD,other\n2024/1/2,1.5,0.1,x,9\n2024-01-03,,0.2,0.4,9\nnever,1,1,1,1\n", encoding="utf-8")
+    df = read_indicator_csv(spark, str(tmp_path / "a.csv"))
+    assert df.columns == ["date", "ma5", "macd", "macd_hist"]
+    assert sorted(map(tuple, df.collect()), key=str) == sorted([(dt.date(2024, 1, 2), 1.5, 0.1, None), (dt.date(2024, 1, 3), None, 0.2, 0.4), (None, 1.0, 1.0, 1.0)], key=str)
+    (tmp_path / "b.csv").write_text("x,MA5\n1,2\n")
+    with pytest.raises(ValueError):
+        read_indicator_csv(spark, str(tmp_path / "b.csv"))
+    write_csv(df, str(tmp_path / "out"))
+    assert read_indicator_csv(spark, str(tmp_path / "out")).filter("ma5 = 1.5").count() == 1
