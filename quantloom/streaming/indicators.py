@@ -1,7 +1,9 @@
 """Indicators on a stream of bars, one state a symbol, equal to the batch results of the same bars.
 
-State is bounded: the last `keep` bars for window indicators, and for each exponential mean its weighted sum and weight (two
-numbers), so long streams cost no more than short ones. Bars of a batch are taken in time order; a bar not later than the
+State is bounded: the last `keep` bars for window indicators, short tails of values that are averaged again, the four numbers of
+the parabolic stop, and for each exponential mean its weighted sum and weight (two numbers), so long streams cost no more than
+short ones. The stop takes its direction from the second bar, so a symbol's first bar has none. Which outputs are wanted is a
+parameter; to change it, start the query anew with the same checkpoint (the state holds what all of them need). Bars of a batch are taken in time order; a bar not later than the
 symbol's last one is dropped as late. With a watermark on the bar time, Spark drops what is older still.
 """
 
@@ -15,8 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUTPUTS = ("ma5", "ma20", "vol_ma5", "macd", "macd_signal", "macd_hist", "rsi14", "expma12", "mb20", "up20", "dn20", "wr10", "obv", "dma", "swl", "bbi")
-SCHEMA = "symbol string, date timestamp, close double, " + ", ".join(f"{c} double" for c in OUTPUTS)
+OUTPUTS = (
+    "ma5", "ma20", "vol_ma5", "macd", "macd_signal", "macd_hist", "rsi14", "expma12", "mb20", "up20", "dn20", "wr10", "obv", "dma", "swl", "sws", "bbi",
+    "k14", "d14", "j14", "pdi_14", "ndi_14", "adx_14", "adxr_14", "trix12", "trma12", "sar",
+)
 
 
 class Accumulator:
@@ -24,7 +28,35 @@ class Accumulator:
 
     def __init__(self, keep: int = 60, state: dict | None = None):
         self.keep = keep
-        self.s = state or {"last": None, "bars": [], "ewm": {}, "obv": 0.0}
+        self.s = state or {"last": None, "bars": [], "ewm": {}, "obv": 0.0, "tails": {}, "stop": None}
+
+    def _tail(self, name: str, x: float, keep: int) -> list[float]:
+        """The last values of a series, the new one included; nan stands for null."""
+        tail = self.s["tails"].setdefault(name, [])
+        tail.append(x)
+        del tail[:-keep]
+        return tail
+
+    def _stop(self, bars: list, step: float = 0.02, most: float = 0.2) -> float:
+        """The parabolic stop after the newest bar, as the batch recursion has it; prices of a fall are mirrored."""
+        if len(bars) < 2:
+            return math.nan
+        new, highs, lows = bars[-1], [b[0] for b in bars[-3:-1]], [b[1] for b in bars[-3:-1]]
+        if self.s["stop"] is None:
+            side = 1 if new[2] > bars[-2][2] else -1
+            near, far = (lows[-1], highs[-1]) if side > 0 else (-highs[-1], -lows[-1])
+            self.s["stop"] = [side, near, far, step]
+        side, stop, extreme, pace = self.s["stop"]
+        sides = lambda s: (lows, new[1], new[0]) if s > 0 else ([-h for h in highs], -new[0], -new[1])
+        before, near, far = sides(side)
+        stop = max(stop + pace * (extreme - stop), *before)
+        if near < stop:
+            side, stop = -side, -extreme
+            extreme, pace = sides(side)[2], step
+        elif far > extreme:
+            extreme, pace = far, min(pace + step, most)
+        self.s["stop"] = [side, stop, extreme, pace]
+        return side * stop
 
     def _ewm(self, name: str, x: float, span: int) -> float:
         num, den = self.s["ewm"].get(name, (0.0, 0.0))
@@ -40,6 +72,7 @@ class Accumulator:
         bars = self.s["bars"]
         before = bars[-1][2] if bars else None
         self.s["last"] = bar["date"]
+        last_bar = bars[-1] if bars else None
         bars.append((bar["high"], bar["low"], bar["close"], bar["volume"]))
         del bars[: -self.keep]
         closes = [b[2] for b in bars]
@@ -54,15 +87,43 @@ class Accumulator:
         dev = math.sqrt(sum((c - m20) ** 2 for c in recent) / (len(recent) - 1)) if len(recent) > 1 else math.nan
         high, low = max(b[0] for b in bars[-10:]), min(b[1] for b in bars[-10:])
         num, den = self.s["ewm"]["e12"]
+
+        def known(x: list[float]) -> float:
+            there = [v for v in x if not math.isnan(v)]
+            return sum(there) / len(there) if there else math.nan
+
+        high14, low14 = max(b[0] for b in bars[-14:]), min(b[1] for b in bars[-14:])
+        k = known(self._tail("rsv", (bar["close"] - low14) * 100 / (high14 - low14) if high14 != low14 else math.nan, 3))
+        d = known(self._tail("k", k, 3))
+        tops, bottoms = [bar["high"]], [bar["low"]]
+        plus = minus = 0.0
+        if last_bar:
+            tops.append(last_bar[2])
+            bottoms.append(last_bar[2])
+            up, down = bar["high"] - last_bar[0], last_bar[1] - bar["low"]
+            plus, minus = (up if up > down and up > 0 else 0.0), (down if down > up and down > 0 else 0.0)
+        span, p, m = (sum(self._tail(n, v, 14)) for n, v in (("tr", max(tops) - min(bottoms)), ("plus", plus), ("minus", minus)))
+        pdi, ndi = (v * 100 / span if span else math.nan for v in (p, m))
+        dx = math.nan if math.isnan(pdi) else 0.0 if pdi + ndi == 0 else abs(pdi - ndi) * 100 / (pdi + ndi)
+        adxs = self._tail("adx", known(self._tail("dx", dx, 14)), 15)
+        e = self._ewm("t3", self._ewm("t2", self._ewm("t1", bar["close"], 12), 12), 12)
+        thrice = self._tail("t", e, 2)
+        trix = (e - thrice[0]) / thrice[0] * 100 if len(thrice) > 1 and thrice[0] else math.nan
+        trma = self._ewm("trma", trix, 9) if not math.isnan(trix) else math.nan
         return {
             "ma5": mean(5), "ma20": m20, "vol_ma5": mean(5, [b[3] for b in bars]), "macd": macd, "macd_signal": signal, "macd_hist": macd - signal,
             "rsi14": 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss), "expma12": num / den, "mb20": m20, "up20": m20 + 2 * dev, "dn20": m20 - 2 * dev,
             "wr10": (high - bar["close"]) * 100 / (high - low) if high != low else math.nan, "obv": self.s["obv"], "dma": mean(10) - mean(50),
-            "swl": (bar["high"] + bar["low"] + bar["close"]) / 3, "bbi": (mean(3) + mean(6) + mean(12) + mean(24)) / 4,
+            "swl": (bar["high"] + bar["low"] + bar["close"]) / 3, "sws": (bar["high"] + bar["low"] + bar["close"] + bar["open"]) / 4,
+            "k14": k, "d14": d, "j14": 3 * k - 2 * d, "pdi_14": pdi, "ndi_14": ndi, "adx_14": adxs[-1], "adxr_14": (adxs[-1] + adxs[0]) / 2 if len(adxs) == 15 else math.nan,
+            "trix12": trix, "trma12": trma, "sar": self._stop(bars), "bbi": (mean(3) + mean(6) + mean(12) + mean(24)) / 4,
         }
 
 
 class IndicatorProcessor(StatefulProcessor):
+    def __init__(self, outputs: tuple[str, ...] = OUTPUTS):
+        self.outputs = outputs
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("accumulator", "json string")
 
@@ -77,15 +138,19 @@ class IndicatorProcessor(StatefulProcessor):
                 out.append({"symbol": key[0], "date": bar["date"], "close": bar["close"], **values})
         self.state.update((json.dumps(acc.s),))
         if out:
-            yield pd.DataFrame(out)[["symbol", "date", "close", *OUTPUTS]]
+            yield pd.DataFrame(out)[["symbol", "date", "close", *self.outputs]]
 
     def close(self) -> None:
         pass
 
 
-def stream_indicators(bars: DataFrame, watermark: str | None = None) -> DataFrame:
-    """A streaming frame of indicators from a streaming frame of bars (symbol string, date timestamp, high, low, close,
-    volume). Needs the RocksDB state store provider."""
+def stream_indicators(bars: DataFrame, watermark: str | None = None, outputs: tuple[str, ...] = OUTPUTS) -> DataFrame:
+    """A streaming frame of the outputs wanted from a streaming frame of bars (symbol string, date timestamp, open, high, low,
+    close, volume). Needs the RocksDB state store provider."""
+    unknown = set(outputs) - set(OUTPUTS)
+    if unknown:
+        raise ValueError(f"unknown outputs {sorted(unknown)}")
+    schema = "symbol string, date timestamp, close double, " + ", ".join(f"{c} double" for c in outputs)
     if watermark:
         bars = bars.withWatermark("date", watermark)
-    return bars.groupBy("symbol").transformWithStateInPandas(statefulProcessor=IndicatorProcessor(), outputStructType=SCHEMA, outputMode="Append", timeMode="None")
+    return bars.groupBy("symbol").transformWithStateInPandas(statefulProcessor=IndicatorProcessor(tuple(outputs)), outputStructType=schema, outputMode="Append", timeMode="None")
