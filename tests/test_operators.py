@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions.registry import indicators, register_indicator, with_indicators
-from quantloom.operators import adjust, backtest, costs, market, performance, prep, signals
+from quantloom.operators import adjust, backtest, costs, factor_analysis, market, performance, prep, signals
 from quantloom.plans.pipeline import compose, run_steps
 from quantloom.sources.bars import bars_hour
 from quantloom.sources.day_file import pack_day, read_day_binary, read_day_files
+from quantloom.sources.kline import kline, universe
 
 SCHEMA = "symbol string, date date, open double, high double, low double, close double, volume double, amount double"
 
@@ -311,3 +312,49 @@ def test_streaming_values_equal_the_batch(spark, sf_dir):
     assert Accumulator(state=state).update({"date": 0}) is None  # late
     with pytest.raises(ValueError):
         stream_indicators(bars, outputs=("nothing",))
+
+
+def test_plain_factors_wait_for_full_windows(spark):
+    bars = spark.createDataFrame([("a", i, 9.0 + i, 11.0 + i, 8.0 + i, 10.0 + i, 1.0, 1.0) for i in range(30)], "symbol string, date long, open double, high double, low double, close double, volume double, amount double")
+    rows = factor_analysis.with_factors(bars).orderBy("date").collect()
+    first = {c: next((r["date"] for r in rows if r[c] is not None), None) for c in ("macd", "rsi", "boll_mid", "kdj_k", "ma5", "atr", "wr", "cci", "mom1m", "mom3m")}
+    assert first == {"macd": 0, "rsi": 14, "boll_mid": 19, "kdj_k": 8, "ma5": 4, "atr": 13, "wr": 13, "cci": 26, "mom1m": 20, "mom3m": None}
+    end = rows[-1]
+    assert end["ma5"] == pytest.approx(37.0) and end["rsi"] == pytest.approx(100.0) and end["atr"] == pytest.approx(3.0)
+    assert end["wr"] == pytest.approx(100 / 16) and end["kdj_k"] == pytest.approx(10 / 11 * 100) and end["cci"] == pytest.approx(6.5 / (0.015 * 6.5))
+    assert end["mom1m"] == pytest.approx(20 / 19)
+
+
+def test_factor_validity_by_hand(spark):
+    """Closes 100, 110, 99, 108.9, 98.01, ...: returns of 0.1 and -0.1 in turn; x follows them."""
+    closes, rows = [100.0], []
+    for i in range(10):
+        closes.append(closes[-1] * (1.1 if i % 2 == 0 else 0.9))
+    for i, c in enumerate(closes):
+        rows.append(("a", i, c, None if i == 0 else float(i) if i % 2 else -float(i), 5.0))
+    df = spark.createDataFrame(rows, "symbol string, date int, close double, x double, flat double")
+    got = {r["factor"]: r for r in factor_analysis.validity(df, ["x", "flat"]).collect()}
+    x, flat = got["x"], got["flat"]
+    assert x["n"] == 10 and x["ic"] > 0.8 and x["long_return"] == pytest.approx(0.1) and x["short_return"] == pytest.approx(-0.1) and x["long_short_return"] == pytest.approx(0.2)
+    assert flat["n"] == 10 and flat["ic"] is None and flat["long_short_return"] == 0
+    both = factor_analysis.combine(df, ["x", "flat"]).orderBy("date").collect()
+    assert both[0]["factor_combination"] == 5.0 and both[3]["factor_combination"] == 8.0
+    assert factor_analysis.validity(df.filter("date < 0"), ["x"]).count() == 0
+
+
+def test_kline_reader(spark):
+    daily = spark.createDataFrame([("a", d, 10.0, 10.0, 10.0, 10.0) for d in range(1, 6)] + [("b", 3, 4.0, 4.0, 4.0, 4.0)], "symbol string, date int, open double, high double, low double, close double")
+    factors = spark.createDataFrame([("a", 1, 0.5, 2.0), ("a", 3, 0.25, 4.0)], "symbol string, date int, qfq_factor double, hfq_factor double")
+    got = kline(daily, factors, start=2, end=4, adjust="qfq").orderBy("symbol", "date").select("symbol", "date", "close", "hfq_close").collect()
+    assert [tuple(r) for r in got] == [("a", 2, 10.0, 10.0), ("a", 3, 2.5, 40.0), ("a", 4, 2.5, 40.0), ("b", 3, 4.0, 4.0)]
+    assert kline(daily, None, ["b"]).collect()[0]["qfq_close"] == 4.0
+    assert kline(daily, factors, []).count() == 0
+    with pytest.raises(ValueError):
+        kline(daily, factors, adjust="both")
+
+
+def test_valid_codes(spark):
+    codes = ["600000", "603999", "604000", "688999", "689000", "900001", "200001", "000999", "399001", "002999", "003000", "300999", "301000", "830000", "920999", "921000", "510300", "588000", "159915", "160000", "180000", "60000", "60000a", "", None]
+    df = spark.createDataFrame([(c,) for c in codes], "code string")
+    valid = {r["code"] for r in universe(df.unionAll(df)).collect()}
+    assert valid == {"600000", "603999", "688999", "000999", "399001", "002999", "300999", "830000", "920999", "510300", "588000", "159915", "160000"}
