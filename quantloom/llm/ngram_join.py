@@ -19,7 +19,9 @@ that counts every shingle of every document. Classes that share such a shingle m
   as many probes in the next round, until every pair in different components has been compared. No link is lost, no candidate
   is capped, and a large group of near copies costs a star instead of all its pairs.
 
-Sets travel only for pairs that are left then. A probe with very many partners is dealt out in blocks.
+Sets travel only for pairs that are left then. A probe with very many partners is dealt out in blocks. The classes of a
+shingle that the sketch shows in far more than `hot` documents are dealt out in pieces as well, and meet by counts of their
+sizes; the least hashes of a shingle are picked within each task before they are shuffled. Neither changes what meets.
 
 Defined cases: a text without words has the empty set and is linked with nothing; fewer than k words are one shingle; null
 text is no words; a null doc_id is linked with nothing; rows that repeat a doc_id are compared each by their own text; an empty table gives no rows.
@@ -37,6 +39,8 @@ from .components import connected_components
 
 #: The sketch: two rows of counters, cut into parts that are summed each in its own task. Its size is fixed.
 SKETCH_BITS, PART = 20, 1 << 16
+#: Classes that one task takes of a shingle; more are dealt out in pieces.
+HOT = 1000
 #: Longs in a set's signature.
 WORDS = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -168,11 +172,13 @@ def _profile(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     return both.filter("part is null").select("doc_id", "n_shingles", "cls", *signature), sketch
 
 
-def _prefix_rows(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
-    """(token, cls, n, pos): the first elements of each set in the global order and their places from 0."""
+def _prefix_rows(docs: DataFrame, k: int, percent: int, shared, hot: int = HOT) -> DataFrame:
+    """(token, cls, n, pos, pieces): the first elements of each set in the global order, their places from 0, and the number of
+    pieces (of about `hot` classes) for an element that is frequent beyond what collisions in the sketch make of it, else 1."""
 
     def run(batches):
         sketch, sent = shared.value, set()
+        noise = float(sketch.mean())
         for batch in text_chunks(batches):
             h, n = shingle_sets(batch.column(0).to_pylist(), k)
             cls, rank = _class_ids(h, n), _estimate(sketch, h)
@@ -187,11 +193,12 @@ def _prefix_rows(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
                     places.append(np.arange(take[d], dtype=np.int32))
             if picked:
                 at, own = np.concatenate(picked), np.repeat(own, take[own])
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(cls[own]), pa.array(n[own], pa.int64()), pa.array(np.concatenate(places))], ["token", "cls", "n", "pos"])
+                pieces = np.where(rank[at] > hot + 2 * noise, np.ceil((rank[at] - noise) / hot), 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(cls[own]), pa.array(n[own], pa.int64()), pa.array(np.concatenate(places)), pa.array(pieces)], ["token", "cls", "n", "pos", "pieces"])
             if len(sent) > 1_000_000:
                 sent.clear()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, cls long, n long, pos int")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, cls long, n long, pos int, pieces int")
 
 
 def _fits(x, y, percent: int):
@@ -199,18 +206,38 @@ def _fits(x, y, percent: int):
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
+def _met_by_size(rows: DataFrame, percent: int) -> DataFrame:
+    """The same for shingles in pieces: classes of a shingle and size are counted first, and a class is held against the
+    counts. That keeps a few more than a look at each class would, where a class alone has room for its own size."""
+    sizes = rows.groupBy("token", "n").agg(F.count("*").alias("_c"), F.max("room").alias("_best"))
+    by_size = Window.partitionBy("token").orderBy("n")  # as many rows as the shingle's sets have sizes
+    n, before = F.col("n"), F.lag("n").over(by_size)
+    room = F.max("_best").over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    below = before.isNotNull() & _fits(n, before, percent) & (room >= n)
+    after = F.lead("n").over(by_size)
+    sizes = sizes.select(F.col("token").alias("_token"), F.col("n").alias("_n"), "_c", (below | ((F.col("_c") > 1) & (F.col("_best") >= n))).alias("_below"), F.when(_fits(n, after, percent), after).alias("_after"))
+    joined = rows.join(broadcast_if_small(materialise(sizes)), (F.col("token") == F.col("_token")) & (F.col("n") == F.col("_n")))
+    larger = F.coalesce(F.col("_after") <= F.col("room"), F.lit(False)) | ((F.col("_c") > 1) & (F.col("n") <= F.col("room")))
+    return joined.filter(F.col("_below") | larger).select("token", "cls", "n", "pos")
+
+
 def _meeting(rows: DataFrame, percent: int) -> DataFrame:
     """(token, cls, n, pos) of the classes that meet another one at a shingle which may be the first that they share and leave
     room for a link. Of two linked classes both stay at the first shingle they share: the smaller one comes before the larger
     one by size, and each place leaves room for the size of the other."""
-    rows = rows.repartition("token").dropDuplicates(["token", "cls"])
-    by_size = Window.partitionBy("token").orderBy("n", "cls")
+    rows = rows.withColumn("piece", F.pmod(F.xxhash64("cls"), "pieces")).repartition("token", "piece").dropDuplicates(["token", "piece", "cls"])
+    by_size = Window.partitionBy("token", "piece").orderBy("n", "cls")
     n, least = F.col("n"), F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n")  # largest partner
     before, after = F.lag("n").over(by_size), F.lead("n").over(by_size)
     room = F.max("room").over(by_size.rowsBetween(Window.unboundedPreceding, -1))
     smaller = before.isNotNull() & _fits(n, before, percent) & (room >= n)  # least() skips nulls
     larger = after.isNotNull() & _fits(n, after, percent) & (after <= F.col("room"))
-    met = materialise(rows.withColumn("room", least).withColumn("_met", smaller | larger).filter("_met").select("token", "cls", "n", "pos"))
+    split = F.col("pieces") > 1
+    kept = materialise(rows.withColumn("room", least).withColumn("_met", smaller | larger).filter(F.col("_met") | split).select("token", "cls", "n", "pos", "room", "pieces"))
+    met = kept.filter(~split).select("token", "cls", "n", "pos")
+    hot = kept.filter(split)
+    if hot.take(1):
+        met = materialise(met.unionByName(_met_by_size(hot, percent)))
     # shingles that hold the same classes lead to the same pairs; all sets have them in one order, so the first has the least sum
     lists = met.groupBy("token").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("cls")).alias("_x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("_y"), F.sum("pos").alias("_s"))
     first = lists.groupBy("_n", "_x", "_y").agg(F.min(F.struct("_s", "token"))["token"].alias("token"))
@@ -302,14 +329,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, block: int = 256,
     return rows.mapInArrow(run, "a long, b long")
 
 
-def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links reach), one row for each row of docs."""
+def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, hot: int = HOT) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id that links reach), one row for each row of docs. `hot` changes which
+    tasks do the work, not the result."""
     spark = docs.sparkSession
     ship(spark)
 
     profile, sketch = _profile(docs, k)
     shared = spark.sparkContext.broadcast(sketch)
-    open_ = materialise(_meeting(_prefix_rows(docs, k, percent, shared), percent))
+    open_ = materialise(_meeting(_prefix_rows(docs, k, percent, shared, hot), percent))
     signature = [f"s{i}" for i in range(WORDS)]
     classes = materialise(profile.filter("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in signature]))
     near_by = classes.select("cls", *signature)
@@ -344,11 +372,12 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     while True:
         placed = left.join(component, left["cls"] == component["node"], "left").select(*left.columns, F.coalesce("component", "cls").alias("c"))
         mixed = placed.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("token")
-        ranked = materialise(placed.join(mixed, "token").withColumn("_turn", F.row_number().over(by_hash)))
-        if not ranked.take(1):
+        unsettled = materialise(placed.join(mixed, "token"))
+        if not unsettled.take(1):
             break
-        chosen = as_probe(ranked.filter(F.col("_turn") <= probes), "c")
-        more = ranked.join(chosen, (ranked["token"] == chosen["token"]) & (F.col("c") != F.col("pc")) & could_link()).select(*pair).distinct()
+        turns = materialise(unsettled.withColumn("_turn", F.row_number().over(by_hash)).filter(F.col("_turn") <= probes).drop("_turn"))
+        chosen = as_probe(turns, "c")
+        more = unsettled.join(chosen, (unsettled["token"] == chosen["token"]) & (F.col("c") != F.col("pc")) & could_link()).select(*pair).distinct()
         pairs = materialise(more.join(done, ["probe", "member"], "left_anti"))
         if pairs.take(1):
             found = verify(pairs)
@@ -356,7 +385,7 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
             if found.take(1):
                 links = links.unionAll(found)
                 component = connected_components(links)
-        left, probes = ranked.filter(F.col("_turn") > probes).select(*left.columns), probes * 16
+        left, probes = unsettled.select(*left.columns).join(turns.select("token", "cls"), ["token", "cls"], "left_anti").select(*left.columns), probes * 16
     placed = profile.join(component, profile["cls"] == component["node"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "cls")).alias("_c"))
     placed = materialise(placed)
     # a table of its own, so that adaptive execution may split the join where one component holds many rows

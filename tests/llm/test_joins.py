@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quantloom.llm import ngram_join as nj
 from quantloom.llm.components import connected_components
@@ -65,11 +66,11 @@ def copies(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("which,k,percent", [("odd_docs", 4, 85), ("no_docs", 4, 85), ("copies", 4, 85), ("copies", 5, 80)])
-def test_join_is_brute_force(which, k, percent, request):
+@pytest.mark.parametrize("which,k,percent,hot", [("odd_docs", 4, 85, nj.HOT), ("no_docs", 4, 85, nj.HOT), ("copies", 4, 85, nj.HOT), ("copies", 5, 80, 7)])
+def test_join_is_brute_force(which, k, percent, hot, request):
     df = request.getfixturevalue(which)
     rows = [(r.doc_id, r.text) for r in df.collect()]
-    got = nj.ngram_join(df, k, percent).collect()
+    got = nj.ngram_join(df, k, percent, hot).collect()
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(brute_join(rows, k, percent), key=str)
 
 
@@ -85,6 +86,19 @@ def test_a_shared_passage_gives_no_pairs(spark, own):
     assert all(r.component_id == r.doc_id and r.n_shingles == own + 97 for r in got) and len(got) == 2000
 
 
+def test_pieces_lose_no_meeting(spark, copies):
+    """Dealing a frequent shingle's classes out in pieces keeps every meeting that one task would find."""
+    shared = spark.sparkContext.broadcast(nj._profile(copies, 4)[1])
+    rows = nj._prefix_rows(copies, 4, 85, shared, hot=10).cache()
+    assert rows.filter("pieces > 1").count() > 100
+    whole = nj._meeting(rows.withColumn("pieces", F.lit(1)), 85)
+    cls = lambda df: {r.cls for r in df.select("cls").distinct().collect()}
+    assert cls(whole) <= cls(nj._meeting(rows, 85))
+    met = nj._met_by_size(rows.dropDuplicates(["token", "cls"]).withColumn("room", F.floor((F.col("n") - F.col("pos")) * 185 / 85) - F.col("n")), 85)
+    one = nj._met_by_size(rows.limit(0).withColumn("room", F.lit(0)), 85)
+    assert cls(whole) <= cls(met) and one.count() == 0
+
+
 def test_one_of_each_group_stays(copies):
     rows = [(r.doc_id, r.text) for r in copies.collect()]
     assert sorted(r.doc_id for r in nj.keep_one(copies).collect()) == sorted(i for i, c in brute_join(rows, 5, 80) if i == c)
