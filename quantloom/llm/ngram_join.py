@@ -216,7 +216,7 @@ def _met_by_size(rows: DataFrame, percent: int) -> DataFrame:
     below = before.isNotNull() & _fits(n, before, percent) & (room >= n)
     after = F.lead("n").over(by_size)
     sizes = sizes.select(F.col("token").alias("_token"), F.col("n").alias("_n"), "_c", (below | ((F.col("_c") > 1) & (F.col("_best") >= n))).alias("_below"), F.when(_fits(n, after, percent), after).alias("_after"))
-    joined = rows.join(broadcast_if_small(materialise(sizes)), (F.col("token") == F.col("_token")) & (F.col("n") == F.col("_n")))
+    joined = rows.join(broadcast_if_small(materialise(sizes), 100_000), (F.col("token") == F.col("_token")) & (F.col("n") == F.col("_n")))
     larger = F.coalesce(F.col("_after") <= F.col("room"), F.lit(False)) | ((F.col("_c") > 1) & (F.col("n") <= F.col("room")))
     return joined.filter(F.col("_below") | larger).select("token", "cls", "n", "pos")
 
