@@ -241,7 +241,8 @@ def _meeting(rows: DataFrame, percent: int) -> DataFrame:
     # shingles that hold the same classes lead to the same pairs; all sets have them in one order, so the first has the least sum
     lists = met.groupBy("token").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("cls")).alias("_x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("_y"), F.sum("pos").alias("_s"))
     first = lists.groupBy("_n", "_x", "_y").agg(F.min(F.struct("_s", "token"))["token"].alias("token"))
-    return met.join(first.select("token"), "token")
+    # a table of its own: a frequent shingle's classes are read where they lie, or split by adaptive execution
+    return met.join(broadcast_if_small(materialise(first.select("token"))), "token")
 
 
 def _ordered_sets(docs: DataFrame, wanted: DataFrame, k: int, shared) -> DataFrame:
@@ -371,8 +372,8 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, hot: int = HOT) -
     left, probes = open_, 2
     while True:
         placed = left.join(component, left["cls"] == component["node"], "left").select(*left.columns, F.coalesce("component", "cls").alias("c"))
-        mixed = placed.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("token")
-        unsettled = materialise(placed.join(mixed, "token"))
+        mixed = materialise(placed.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("token"))
+        unsettled = materialise(placed.join(broadcast_if_small(mixed), "token"))
         if not unsettled.take(1):
             break
         turns = materialise(unsettled.withColumn("_turn", F.row_number().over(by_hash)).filter(F.col("_turn") <= probes).drop("_turn"))
