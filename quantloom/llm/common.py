@@ -35,6 +35,12 @@ def ascii_lower_key(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.lower(F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once a row. Inside a lambda any expression but a lambda variable is computed anew
+    for each element, so a split of the whole text would be done again for every line."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def crc_mod(c: Column, n: int) -> Column:
     """crc32 of the value written as text, modulo n; null ids fall in fold 0."""
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % n, F.lit(0))

@@ -8,7 +8,7 @@ splits where a key is hot. The positions to drop go back to the documents by a j
 broadcast when a sum proves them few, shuffled otherwise.
 
 Defined cases: null or empty text is one empty line; a null doc_id is never counted and loses no line; rows that repeat a
-doc_id count once and are each treated by their own text; extra columns pass through whatever their names, but n_lines and
+doc_id count once and are each treated by their own text; a text of any number of lines takes time in proportion; extra columns pass through whatever their names, but n_lines and
 n_dropped are replaced; an empty table gives an empty table.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower_key, broadcast_if_small, fresh, materialise, shuffle_free
+from .common import SPACES, ascii_lower_key, broadcast_if_small, fresh, let, materialise, shuffle_free
 
 
 def _lines(text: Column) -> Column:
@@ -49,10 +49,13 @@ def line_dedup(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataF
     keyed = docs
     joined = keyed.join(drop, (keyed["doc_id"] == drop[i]) & (F.xxhash64(keyed["text"]) == drop[h]), "left")
     lines = _lines(keyed["text"])
-    n = F.size(lines)
-    # array_except of positions hashes, so a text with many dropped lines stays linear
-    kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col(lost))
-    rebuilt = F.when(F.col(lost).isNull(), F.coalesce(keyed["text"], F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+
+    def without(split: Column) -> Column:
+        # array_except of positions hashes and the text is split once, so a text of many lines stays linear
+        kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(lost))
+        return F.array_join(F.transform(kept, lambda at: F.get(split, at)), "\n")
+
+    rebuilt = F.when(F.col(lost).isNull(), F.coalesce(keyed["text"], F.lit(""))).otherwise(let(lines, without))
     other = [keyed[c] for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    out = joined.select(*other, rebuilt.alias("text"), n.cast("long").alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("n_dropped"))
+    out = joined.select(*other, rebuilt.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("n_dropped"))
     return out.select(*docs.columns, *[c for c in ("n_lines", "n_dropped") if c not in docs.columns])

@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import defaultdict
 
 import pytest
@@ -102,3 +103,15 @@ def test_query_hashes_texts(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     for i, n, dropped, text in brute_lines(docs):
         assert (rows[i].n_lines, rows[i].n_dropped, rows[i].kept_sha256) == (n, dropped, hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_very_many_lines_take_linear_time(spark):
+    """One document of 200,000 lines loses one of them."""
+    line = "This line is held by five documents of the table and goes."
+    long = "\n".join([*(f"line {i}" for i in range(100_000)), line, *(f"line {i}" for i in range(100_000, 199_999))])
+    df = spark.createDataFrame([(1, long)] + [(i, f"{line}\n{i}") for i in range(2, 7)], "doc_id long, text string")
+    line_dedup(df.filter("doc_id > 1")).collect()  # compiles
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in line_dedup(df).collect()}
+    assert time.perf_counter() - began < 10
+    assert (got[1].n_lines, got[1].n_dropped, got[1].text) == (200_000, 1, long.replace(f"\n{line}", ""))
