@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from .chat import format_chats
 from .common import crc_mod, materialise, scratch
 from .ctw import score
+from .decontaminate import audit
+from .divergence import divergences
 from .embed_dedup import near_dedup
 from .flac import text_media
+from .hard_negatives import integer_rows, mine
 from .langid import predict, train
 from .line_dedup import line_dedup
 from .mixing import mix_plan
@@ -84,7 +87,22 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_ngram_jaccard_join, op3_token_counts, op4_best_fit_packing, op5_lm_scoring, op6_language_id, op7_line_dedup, op8_source_mixing, op9_embedding_near_dedup, op10_media_columns)}
+def op11_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = integer_rows(_table(spark, sf_dir, "embeddings"))
+    return mine(rows.withColumn("label", F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+def op12_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(_table(spark, sf_dir, "documents").select("lang", "source", "text"), min_docs=10, top=10)
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audit(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), n=10)
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_ngram_jaccard_join, op3_token_counts, op4_best_fit_packing, op5_lm_scoring, op6_language_id, op7_line_dedup, op8_source_mixing, op9_embedding_near_dedup, op10_media_columns, op11_hard_negative_mining, op12_source_divergence_audit, op13_benchmark_decontamination)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -136,4 +154,64 @@ rates AS (SELECT *, coalesce(target / nullif(source_size, 0), 0) AS rate FROM ta
 SELECT doc_id, size, source_size, target,
        size * (CAST(floor(rate) AS BIGINT) + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
 FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source""",
+    "op11_hard_negative_mining": """
+WITH rows_ AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.id AS a, a.label = r.label AS same, r.id, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS s
+  FROM rows_ a JOIN rows_ r ON a.id <> r.id WHERE a.id % 50 = 0),
+positives AS (SELECT a, id AS p, s AS ps FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, id) <= 5),
+ranked AS (
+  SELECT p.a, p.p, p.ps, n.id, n.s, CAST(row_number() OVER (PARTITION BY p.a, p.p ORDER BY n.s DESC, n.id) AS INTEGER) AS rank
+  FROM positives p JOIN scores n ON n.a = p.a AND NOT n.same WHERE 50 * p.ps <= 100 * n.s AND 100 * n.s <= 95 * p.ps)
+SELECT a AS anchor_id, p AS positive_id, rank, id AS negative_id, ps AS positive_score, s AS negative_score FROM ranked WHERE rank <= 3""",
+    "op12_source_divergence_audit": f"""
+WITH rows_ AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+groups_ AS (SELECT DISTINCT lang, source FROM rows_),
+terms AS (SELECT r, lang, source, unnest(w) AS term FROM rows_),
+kept AS (SELECT lang, term FROM terms GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+found AS (SELECT lang, source, term, count(*) AS c FROM terms GROUP BY ALL),
+counts AS (
+  SELECT g.lang, g.source, k.term, CAST(coalesce(f.c, 0) AS HUGEINT) AS c
+  FROM groups_ g JOIN kept k USING (lang) LEFT JOIN found f USING (lang, source, term)),
+p AS (
+  SELECT lang, source, term, c, 1 + (1000000000 * (c + 2)) // (CAST(sum(c) OVER g AS HUGEINT) + 2 * count(*) OVER g) AS p FROM counts WINDOW g AS (PARTITION BY lang, source)),
+whole AS (SELECT lang, term, CAST(sum(c) AS HUGEINT) AS c FROM counts GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + (1000000000 * (c + 2)) // (CAST(sum(c) OVER g AS HUGEINT) + 2 * count(*) OVER g) AS q FROM whole WINDOW g AS (PARTITION BY lang)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+both_ AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups_ a JOIN groups_ b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, CAST(item AS BLOB)) AS INTEGER) AS rank FROM both_)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10""",
+    "op13_benchmark_decontamination": f"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i FROM item_words WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM doc_words, lengths WHERE len(w) >= n)),
+found AS (SELECT p.doc_id, p.n, p.i, w.item_id FROM places p JOIN windows w USING (n, g)),
+hit AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS word FROM found) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
+       sha256(coalesce(n.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN hit h USING (doc_id) LEFT JOIN named n USING (doc_id)""",
 }
