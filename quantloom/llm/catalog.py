@@ -193,7 +193,7 @@ both_ AS (
   UNION ALL
   SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
 ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, CAST(item AS BLOB)) AS INTEGER) AS rank FROM both_)
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM both_)
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10""",
     "op13_benchmark_decontamination": f"""
 WITH item_words AS (
