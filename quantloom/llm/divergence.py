@@ -1,7 +1,7 @@
 """Source divergence audit: how far the term frequencies of the sources of one language lie apart.
 
 Single-pass in-memory indexing. Each task counts terms of whole texts in an in-memory block (occurrences by language, source and
-term, documents by language and term) until `block_entries` are held, then spills the block as term-sorted runs, cut into hash
+term, documents by language and term) until `block_bytes` of text are in it, then spills the block as term-sorted runs, cut into hash
 shards of the terms and into chunks of bounded size. Spark moves the chunks to their shards, sorted by first term, and one
 heap merges the runs of a shard: a chunk is opened when the merge reaches its first term, so what is held is one open chunk a
 run. A frequent term arrives once a run, not once an occurrence. Merged frequencies of the kept terms are a written table.
@@ -24,10 +24,10 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,52 +51,80 @@ def pieces(text: bytes):
 
 
 class Block:
-    """Postings in memory: occurrences of each term by (language, source), documents of each term by language."""
+    """Postings in memory: the terms of texts as arrays, and of each text its language, its source and what of it counts."""
 
     def __init__(self):
-        self.counts: dict[tuple[str, str], Counter] = {}
-        self.docs: dict[str, Counter] = {}
-        self.entries = 0
-
-    def _count(self, where: dict, key, terms) -> None:
-        counter = where.get(key)
-        if counter is None:
-            counter = where[key] = Counter()
-        before = len(counter)
-        counter.update(terms)
-        self.entries += len(counter) - before
-
-    def add(self, lang: str, source: str, terms: list[bytes]) -> None:
-        self._count(self.counts, (lang, source), terms)
-
-    def seen(self, lang: str, terms: set[bytes]) -> None:
-        self._count(self.docs, lang, terms)
-
-    def chunks(self, shards: int, most: int):
-        """Rows of a run: for each language and shard the terms in order, with their documents, sources and occurrences."""
-        for lang in sorted({*self.docs, *(lang for lang, _ in self.counts)}):
-            sources = sorted(s for at, s in self.counts if at == lang)
-            held: dict[bytes, list[tuple[int, int]]] = {}
-            for i, source in enumerate(sources):
-                for term, n in self.counts[lang, source].items():
-                    held.setdefault(term, []).append((i, n))
-            docs = self.docs.get(lang, Counter())
-            begun: dict[int, tuple] = {}
-            for term in sorted({*held, *docs}):
-                shard = zlib.crc32(term) % shards
-                chunk = begun.get(shard)
-                if chunk is None:
-                    chunk = begun[shard] = (shard, lang, term, sources, [], [], [], [], [])
-                chunk[4].append(term)
-                chunk[5].append(docs.get(term, 0))
-                of = held.get(term, ())
-                chunk[6].append(len(of))
-                for i, n in of:
-                    chunk[7].append(i)
-                    chunk[8].append(n)
-                if len(chunk[4]) + len(chunk[7]) >= most:
-                    yield begun.pop(shard)
-            yield from begun.values()
+        self.langs: dict[str, int] = {}
+        self.groups: dict[tuple[int, str], int] = {}
+        self.texts: list[tuple[int, int, bool, bool]] = []  # language, group, occurrences count, the text as a document counts
+        self.sizes: list[int] = []
+        self.arrays: list[pa.Array] = []
+        self.tail: list[bytes] = []
+        self.bytes = 0
+
+    def add(self, lang: str, source: str, terms, occurrences: bool = True, document: bool = True) -> None:
+        of = self.langs.setdefault(lang, len(self.langs))
+        self.texts.append((of, self.groups.setdefault((of, source), len(self.groups)), occurrences, document))
+        self.sizes.append(len(terms))
+        self.tail.extend(terms)
+        if len(self.tail) > 100_000:
+            self.arrays.append(pa.array(self.tail, pa.binary()))
+            self.tail = []
+
+    def run(self, shards: int, most: int):
+        """The block as a run: batches of chunks, ordered by language, shard and term, of about `most` postings each."""
+        terms = pa.concat_arrays([*self.arrays, pa.array(self.tail, pa.binary())]).dictionary_encode()
+        known, n = terms.dictionary, len(terms.dictionary)
+        if not n:
+            return
+        lang, group, occurs, counts = (np.array(c) for c in zip(*self.texts))
+        text = np.repeat(np.arange(len(lang)), self.sizes)
+        pair, often = np.unique(text * n + terms.indices.to_numpy(), return_counts=True)
+        text, code = pair // n, pair % n
+        mine = occurs[text]
+        posting, at = np.unique(group[text[mine]] * n + code[mine], return_inverse=True)
+        tf = np.zeros(len(posting), np.int64)
+        np.add.at(tf, at, often[mine])
+        group_lang = np.array([of for of, _ in self.groups])
+        group, code_of = posting // n, posting % n
+        mine = counts[text]
+        held, docs = np.unique(lang[text[mine]] * n + code[mine], return_counts=True)
+        keys = np.unique(np.concatenate([group_lang[group] * n + code_of, held]))
+        rank = np.empty(n, np.int64)
+        rank[pc.sort_indices(known).to_numpy()] = np.arange(n)
+        shard = np.array([zlib.crc32(t) % shards for t in known.to_pylist()], np.int64)
+        order = np.lexsort((rank[keys % n], shard[keys % n], keys // n))
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        lang, code = keys[order] // n, keys[order] % n
+        documents = np.zeros(len(keys), np.int64)
+        documents[place[np.searchsorted(keys, held)]] = docs
+        owner = place[np.searchsorted(keys, group_lang[group] * n + code_of)]
+        by_term = np.lexsort((group, owner))
+        group, tf = group[by_term], tf[by_term]
+        each = np.bincount(owner, minlength=len(keys))
+        cell = lang * shards + shard[code]
+        weight = np.cumsum(each + 1)
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        before = np.repeat(np.concatenate([[0], weight])[first], np.diff(np.append(first, len(cell))))
+        part = (weight - before - 1) // most
+        starts = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])]))
+        ends = np.append(starts[1:], len(cell))
+        until = np.concatenate([[0], np.cumsum(each)])
+        names, sources = [s for _, s in self.groups], []
+        local = np.zeros(len(group), np.int32)
+        for a, b in zip(until[starts], until[ends]):
+            of, local[a:b] = np.unique(group[a:b], return_inverse=True)
+            sources.append([names[g] for g in of])
+        by_chunk, by_posting = (pa.array(x, pa.int32()) for x in (np.append(starts, len(cell)), until[np.append(starts, len(cell))]))
+        spelled = known.take(pa.array(code))
+        langs = list(self.langs)
+        columns = [pa.array(shard[code[starts]], pa.int32()), pa.array([langs[x] for x in lang[starts]], pa.string()), spelled.take(pa.array(starts)), pa.array(sources, pa.list_(pa.string()))]
+        columns += [pa.ListArray.from_arrays(by_chunk, x) for x in (spelled, pa.array(documents, pa.int64()), pa.array(each, pa.int32()))]
+        columns += [pa.ListArray.from_arrays(by_posting, x) for x in (pa.array(local, pa.int32()), pa.array(tf, pa.int64()))]
+        out = pa.RecordBatch.from_arrays(columns, ["shard", "lang", "first", "sources", "terms", "docs", "n", "src", "tf"])
+        for at in range(0, len(starts), 64):
+            yield out.slice(at, 64)
 
 
 def _batches(rows, schema: pa.Schema, weight, most: int):
@@ -112,26 +140,36 @@ def _batches(rows, schema: pa.Schema, weight, most: int):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
-_RUN_SCHEMA = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("first", pa.binary()), ("sources", pa.list_(pa.string())), ("terms", pa.list_(pa.binary())), ("docs", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("src", pa.list_(pa.int32())), ("tf", pa.list_(pa.int64()))])
 _FREQUENCY_SCHEMA = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("total", pa.int64())])
 
 
-def _indexer(shards: int, block_entries: int, chunk_entries: int):
+def _indexer(shards: int, block_bytes: int, chunk_entries: int):
     def spilled(batches):
         block = Block()
+
+        def full(more: int) -> bool:
+            block.bytes += more
+            return block.bytes >= block_bytes
+
         for batch in text_chunks(batches):
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                seen: set[bytes] = set()
+                if len(text) <= block_bytes:
+                    block.add(lang, source, [t for p in pieces(text) for t in p])
+                    if full(len(text) + 100):
+                        yield from block.run(shards, chunk_entries)
+                        block = Block()
+                    continue
+                seen: set[bytes] = set()  # a text of many blocks counts once as a document
                 for terms in pieces(text):
-                    block.add(lang, source, terms)
+                    block.add(lang, source, terms, document=False)
                     seen.update(terms)
-                    if block.entries >= block_entries:
-                        yield from block.chunks(shards, chunk_entries)
+                    if full(_PIECE):
+                        yield from block.run(shards, chunk_entries)
                         block = Block()
-                block.seen(lang, seen)
-        yield from block.chunks(shards, chunk_entries)
+                block.add(lang, source, seen, occurrences=False)
+        yield from block.run(shards, chunk_entries)
 
-    return lambda batches: _batches(spilled(batches), _RUN_SCHEMA, lambda row: len(row[4]) + len(row[7]), 50_000)
+    return spilled
 
 
 def _opened(batches):
@@ -142,53 +180,51 @@ def _opened(batches):
             yield lang, first, sources, lists
 
 
-def _entries(sources, lists):
+def _entries(number: int, sources, lists):
     at, (terms, docs, n, src, tf) = 0, lists
     for term, d, k in zip(terms, docs, n):
-        yield term, d, [(sources[src[j]], tf[j]) for j in range(at, at + k)]
+        yield term, number, d, [(sources[src[j]], tf[j]) for j in range(at, at + k)]
         at += k
 
 
 def heap_merge(chunks):
     """(lang, term, documents, occurrences by source) in order, from chunks sorted by language and first term."""
-    heap, n = [], 0
-    key, docs, by_source = None, 0, {}
+    heap, number, lang = [], 0, None
 
-    def lower(limit):
-        nonlocal key, docs, by_source
+    def merged(limit):
+        """The terms that stand on the heap below the limit, each once."""
         while heap and (limit is None or heap[0][0] < limit):
-            now, number, (_, d, of), rest = heap[0]
-            if now != key:
-                if key is not None:
-                    yield *key, docs, by_source
-                key, docs, by_source = now, 0, {}
-            docs += d
-            for source, count in of:
-                by_source[source] = by_source.get(source, 0) + count
-            following = next(rest, None)
-            if following is None:
-                heapq.heappop(heap)
-            else:
-                heapq.heapreplace(heap, ((now[0], following[0]), number, following, rest))
-
-    for lang, first, sources, lists in chunks:
-        yield from lower((lang, first))
-        rest = _entries(sources, lists)
-        entry = next(rest)
-        heapq.heappush(heap, ((lang, entry[0]), n, entry, rest))
-        n += 1
-    yield from lower(None)
-    if key is not None:
-        yield *key, docs, by_source
-
-
-def term_frequencies(docs: DataFrame, min_docs: int = 10, shards: int | None = None, block_entries: int = 400_000, chunk_entries: int = 4_000) -> DataFrame:
+            now, docs, by_source = heap[0][0], 0, {}
+            while heap and heap[0][0] == now:
+                _, which, d, of = heap[0]
+                docs += d
+                for source, count in of:
+                    by_source[source] = by_source.get(source, 0) + count
+                following = next(rest[which], None)
+                if following is None:
+                    heapq.heappop(heap)
+                    del rest[which]
+                else:
+                    heapq.heapreplace(heap, following)
+            yield lang, now, docs, by_source
+
+    rest: dict[int, object] = {}
+    for of, first, sources, lists in chunks:
+        yield from merged(first if of == lang else None)
+        lang = of
+        rest[number] = _entries(number, sources, lists)
+        heapq.heappush(heap, next(rest[number]))
+        number += 1
+    yield from merged(None)
+
+
+def term_frequencies(docs: DataFrame, min_docs: int = 10, shards: int | None = None, block_bytes: int = 16 << 20, chunk_entries: int = 4_000) -> DataFrame:
     """lang, term, sources, counts (occurrences by source) and total of the terms in at least min_docs of a language's rows."""
     spark = docs.sparkSession
     ship(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")], F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    runs = texts.mapInArrow(_indexer(shards, block_entries, chunk_entries), _RUN).repartitionById(shards, F.col("shard")).sortWithinPartitions("lang", "first")
+    runs = texts.mapInArrow(_indexer(shards, block_bytes, chunk_entries), _RUN).repartitionById(shards, F.col("shard")).sortWithinPartitions("lang", "first")
 
     def merge(batches):
         kept = ((lang, term, list(of), list(of.values()), sum(of.values())) for lang, term, n, of in heap_merge(_opened(batches)) if n >= min_docs)

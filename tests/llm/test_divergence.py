@@ -64,8 +64,8 @@ def test_small_blocks_chunks_and_shards_change_nothing(odd_docs, docs):
     for df in (odd_docs, docs.limit(60)):
         want = brute(rows := rows_of(df), 2)
         del rows
-        assert got(divergences(df, 2, shards=3, block_entries=50, chunk_entries=7)) == want
-        assert got(divergences(df.repartition(5), 2, shards=1, block_entries=10**9, chunk_entries=1)) == want
+        assert got(divergences(df, 2, shards=3, block_bytes=300, chunk_entries=7)) == want
+        assert got(divergences(df.repartition(5), 2, shards=1, block_bytes=10**9, chunk_entries=1)) == want
 
 
 def test_many_sources_and_clashing_columns(spark):
