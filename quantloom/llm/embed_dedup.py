@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import broadcast_if_small, materialise, ship
 from .components import connected_components
 
 
@@ -232,7 +232,8 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.95, target_recall: float
         found = spark.createDataFrame([], "id long, n long, a long, b long")
     counts = found.filter("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
     component = connected_components(found.filter("a is not null").select("a", "b"))
-    least = component.groupBy("component").agg(F.min("node").alias("least"))
+    # written first: a join of two finished tables, which adaptive execution splits where one component is large
+    least = broadcast_if_small(materialise(component.groupBy("component").agg(F.min("node").alias("least"))))
     lowest = component.join(least, "component").select(F.col("node").alias("id"), "least")
     table = materialise(classes.join(counts, "id", "left").join(lowest, "id", "left").select(F.col("h").alias("_h"), F.col("embedding").alias("_e"), "id", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("least", "id").alias("least")))
     joined = rows.join(table, F.col("ok") & (F.col("h") == F.col("_h")) & (F.col("embedding") == F.col("_e")), "left")
