@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from ..windows import KEY, corr, lag, last, prior, ratio, row, so_far, w
+from .order_stats import below, joined, mean_rank, percentiles, value_counts
 from .recursive import per_symbol
 
 YEAR = math.sqrt(252)
@@ -176,67 +178,66 @@ def next_return(df: DataFrame) -> DataFrame:
     return df.withColumn("target", ratio(F.lead("close").over(w()) - F.col("close"), "close"))
 
 
-def _ranged(df: DataFrame, group: str, value: str, pieces: int) -> DataFrame:
-    """df plus _b, the piece of the group's range of values that a row falls in (from approximate percentiles, equal values
-    together), and _before, the group's rows in lower pieces. Both extra tables have at most `pieces` rows a group."""
-    at = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-    edges = df.groupBy(group).agg(F.percentile_approx(value, at, F.lit(10 * pieces)).alias("_e"))
-    placed = df.join(F.broadcast(edges), group).withColumn("_b", F.size(F.filter("_e", lambda e: e <= F.col(value)))).drop("_e")
-    below = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = placed.groupBy(group, "_b").agg(F.count("*").alias("_n")).select(group, "_b", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(sizes), [group, "_b"])
+def _valid(df: DataFrame) -> DataFrame:
+    """Rows that have both x and y."""
+    return df.filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
 
 
-def average_ranks(df: DataFrame, group: str, value: str, name: str, pieces: int = 64) -> DataFrame:
-    """df plus `name`: the rank of the value in its group, ties by their mean rank. Ranks are taken within pieces of the
-    range, so that a group of any size is sorted in many tasks."""
-    by = Window.partitionBy(group, "_b")
-    mean = F.col("_before") + F.rank().over(by.orderBy(value)) + (F.count("*").over(Window.partitionBy(group, "_b", value)) - 1) / 2
-    return _ranged(df, group, value, pieces).withColumn(name, mean).drop("_b", "_before")
-
-
-def exact_percentiles(df: DataFrame, value: str, at: list[float], pieces: int = 64) -> DataFrame:
-    """One row (n, e): the number of rows and the linear percentiles of the value, by its order statistics."""
-    placed = _ranged(df.select(F.lit(0).alias("_all"), F.col(value).alias("_v")), "_all", "_v", pieces)
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("_all", "_b").orderBy("_v")) - 1
-    n = df.agg(F.count("*").alias("n"))  # one row
-    spots = F.flatten(F.array(*[F.array(F.floor((F.col("n") - 1) * p), F.ceil((F.col("n") - 1) * p)) for p in at]))
-    wanted = placed.withColumn("_p", place).join(F.broadcast(n)).filter(F.array_contains(spots, F.col("_p")))
-    picked = wanted.groupBy("n").agg(F.map_from_entries(F.collect_set(F.struct("_p", "_v"))).alias("_m"))  # two entries a percentile
-
-    def between(p: float) -> Column:
-        h = (F.col("n") - 1) * p
-        low, high = F.try_element_at("_m", F.floor(h)), F.try_element_at("_m", F.ceil(h))
-        return low + (high - low) * (h - F.floor(h))
+def _stacked(df: DataFrame, factors: list[str], target: str) -> DataFrame:
+    """factor, x, y: one row for each factor of a row, where both are there."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("x")) for f in factors]))
+    return _valid(df.select(pairs.alias("p"), F.col(target).cast("double").alias("y")).select("p.factor", "p.x", "y"))
 
-    return picked.select("n", F.array(*[between(p) for p in at]).alias("e"))
 
+def average_ranks(df: DataFrame, group: str, value: str, name: str, **cut) -> DataFrame:
+    """df plus `name`: the rank of the value in its group, ties by their mean rank, from counted values. cut: pieces and at_once of below()."""
+    placed = written(below(written(value_counts(df, [group], value)), [group], value, **cut).withColumn(name, mean_rank()))
+    return joined(df, placed, [group, value]).select(*df.columns, name)
 
-def information_coefficients(df: DataFrame, factors: list[str], target: str = "target") -> DataFrame:
-    """factor, ic (Pearson), rank_ic (Spearman on average ranks), n; 0 with fewer than two valid rows. Factors are stacked
-    and ranked within each, all at once."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("x")) for f in factors]))
-    long = df.select(pairs.alias("p"), F.col(target).alias("y")).select("p.factor", "p.x", "y").filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
 
-    ranked = average_ranks(average_ranks(long, "factor", "x", "rx"), "factor", "y", "ry")
-    safe = lambda c: F.when(F.count("*") < 2, 0.0).otherwise(c)
-    return ranked.groupBy("factor").agg(safe(corr("x", "y")).alias("ic"), safe(corr("rx", "ry")).alias("rank_ic"), F.count("*").alias("n"))
+def exact_percentiles(df: DataFrame, value: str, at: list[float], **cut) -> DataFrame:
+    """One row (n, e): the number of rows and the linear percentiles of the value, by its order statistics."""
+    counts = written(value_counts(df.select(F.lit(0).alias("_all"), F.col(value).alias("_v")), ["_all"], "_v"))
+    return percentiles(below(counts, ["_all"], "_v", **cut), ["_all"], "_v", at).drop("_all")
+
+
+def information_coefficients(df: DataFrame, factors: list[str], target: str = "target", most: int = 500_000, **cut) -> DataFrame:
+    """factor, ic (Pearson), rank_ic (Spearman on average ranks), n; 0 with fewer than two valid rows.
+
+    The stacked pairs are written once. Ranks belong to counted values, and the sum of products of ranks is taken first over the
+    rows of one x (partially aggregated), then over the values: equal values never meet in one task."""
+    long = written(_stacked(df, factors, target))
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("v")) for c in ("x", "y")]))
+    counts = written(value_counts(long.select("factor", sides.alias("s")).select("factor", "s.side", "s.v"), ["factor", "side"], "v"))
+    centred = mean_rank() - (F.col("total") + 1) / 2
+    ranks = written(below(counts, ["factor", "side"], "v", **cut).withColumn("r", centred))
+    of = {c: ranks.filter(F.col("side") == c).select("factor", F.col("v").alias(c), "n", "total", F.col("r").alias(f"r{c}")) for c in ("x", "y")}
+    by_x = joined(long, of["y"], ["factor", "y"], most).groupBy("factor", "x").agg(F.sum("ry").alias("ry"))
+    products = by_x.join(of["x"], ["factor", "x"]).groupBy("factor").agg(F.sum(F.col("rx") * F.col("ry")).alias("xy"))
+    squares = ranks.groupBy("factor").agg(*[F.sum(F.when(F.col("side") == c, F.col("n") * F.col("r") * F.col("r"))).alias(c * 2) for c in ("x", "y")])
+    plain = long.groupBy("factor").agg(corr("x", "y").alias("ic"), F.count("*").alias("n"))
+    safe = lambda c: F.when(F.col("n") < 2, 0.0).otherwise(c)
+    rank_ic = F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy"))
+    few = plain.join(F.broadcast(products), "factor").join(F.broadcast(squares), "factor")  # one row a factor
+    return few.select("factor", safe(F.col("ic")).alias("ic"), safe(rank_ic).alias("rank_ic"), "n")
 
 
 def quantile_test(df: DataFrame, factor: str, target: str = "target", buckets: int = 5, keep_maximum: bool = False) -> DataFrame:
     """bucket, n, mean_return (0 for an empty bucket) and long_short (last bucket less the first, on every row). Edges are
     linear percentiles, buckets [edge, next edge); the maximum lies in none of them unless keep_maximum puts it into the
     last. Fewer valid rows than buckets give no rows."""
-    df = df.select(F.col(factor).cast("double").alias("x"), F.col(target).alias("y")).filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    edges = exact_percentiles(df, "x", [i / buckets for i in range(buckets + 1)]).filter(F.col("n") >= buckets).select(F.col("e"))  # one row
-    placed = df.join(F.broadcast(edges)).withColumn("bucket", F.size(F.filter("e", lambda e: e <= F.col("x"))))
+    rows = written(_valid(df.select(F.col(factor).cast("double").alias("x"), F.col(target).cast("double").alias("y"))))
+    edges = exact_percentiles(rows, "x", [i / buckets for i in range(buckets + 1)]).filter(F.col("n") >= buckets).select(F.col("e"))  # one row
+    placed = rows.join(F.broadcast(edges)).withColumn("bucket", F.size(F.filter("e", lambda e: e <= F.col("x"))))
     if keep_maximum:
         placed = placed.withColumn("bucket", F.least("bucket", F.lit(buckets)))
-    found = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("y").alias("m"))
-    every = edges.select(F.explode(F.sequence(F.lit(1), F.lit(buckets))).alias("bucket"))
-    out = every.join(F.broadcast(found), "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0.0)).alias("mean_return"))
-    ends = out.agg(F.sum(F.when(F.col("bucket") == buckets, F.col("mean_return")) ).alias("top"), F.sum(F.when(F.col("bucket") == 1, F.col("mean_return"))).alias("low"))
-    return out.join(F.broadcast(ends)).select("bucket", "n", "mean_return", (F.col("top") - F.col("low")).alias("long_short"))
+    found = placed.filter(F.col("bucket").between(1, buckets)).groupBy("bucket").agg(F.count("*").alias("n"), F.avg("y").alias("m"))
+    # from here on one row: the buckets found, then all of them
+    one = found.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("n", "m")))).alias("at"))
+    spread = lambda b: F.coalesce(F.try_element_at("at", F.lit(b))["m"], F.lit(0.0))
+    every = one.filter(F.size("at") > 0).select("at", (spread(buckets) - spread(1)).alias("long_short"), F.explode(F.sequence(F.lit(1), F.lit(buckets))).alias("bucket"))
+    of = F.try_element_at("at", F.col("bucket"))
+    return every.select("bucket", F.coalesce(of["n"], F.lit(0)).alias("n"), F.coalesce(of["m"], F.lit(0.0)).alias("mean_return"), "long_short")
 
 
 def correlations(df: DataFrame, factors: list[str]) -> DataFrame:
@@ -247,6 +248,6 @@ def correlations(df: DataFrame, factors: list[str]) -> DataFrame:
 
 
 def factor_weights(df: DataFrame, factors: list[str], target: str = "target") -> DataFrame:
-    """factor, weight: absolute correlation with the target over the sum of them."""
-    ic = information_coefficients(df, factors, target).select("factor", F.abs("ic").alias("a"))
-    return ic.join(F.broadcast(ic.agg(F.sum("a").alias("s")))).select("factor", ratio("a", "s").alias("weight"))
+    """factor, weight: absolute correlation with the target over the sum of them; from one aggregation, no ranks."""
+    ic = _stacked(df, factors, target).groupBy("factor").agg(F.when(F.count("*") < 2, 0.0).otherwise(F.abs(corr("x", "y"))).alias("a"))
+    return ic.select("factor", ratio("a", F.sum("a").over(Window.partitionBy())).alias("weight"))  # one row a factor

@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from ..windows import KEY, corr, ewm, lag, last, ratio
+from .order_stats import below, percentiles, value_counts
 
 SMALL = 1e-10
 
@@ -99,7 +101,10 @@ def validity(df: DataFrame, columns: list[str], buckets: int = 5) -> DataFrame:
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).cast("double").alias("x")) for c in columns]))
     long = made.select(KEY, pairs.alias("p"), "_y").select(KEY, "p.factor", "p.x", F.col("_y").alias("y")).filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
     keys = [KEY, "factor"]
-    edges = long.groupBy(*keys).agg(F.percentile("x", F.array(*[F.lit(i / buckets) for i in range(1, buckets)])).alias("e"), F.count("*").alias("n"), corr("x", "y").alias("ic"))
+    long = written(long)
+    counted = below(written(value_counts(long, keys, "x")), keys, "x", few=False)
+    edges = percentiles(counted, keys, "x", [i / buckets for i in range(1, buckets)]).select(*keys, "e")
+    edges = edges.join(long.groupBy(*keys).agg(F.count("*").alias("n"), corr("x", "y").alias("ic")), keys)
     placed = long.join(edges.select(*keys, "e"), keys).withColumn("b", F.size(F.filter("e", lambda e: e < F.col("x"))))
     means = placed.groupBy(*keys, "b").agg(F.avg("y").alias("m"))
     ends = means.groupBy(*keys).agg(F.max_by("m", "b").alias("long_return"), F.min_by("m", "b").alias("short_return"))

@@ -236,9 +236,9 @@ def test_quantiles_and_ranks_by_hand(spark):
     x = np.concatenate([rng.normal(size=400), np.zeros(300)])
     df = spark.createDataFrame([(float(v), float(i % 7)) for i, v in enumerate(x)], "x double, target double")
     at = [0.0, 0.2, 0.4, 0.5, 1.0]
-    one = alpha.exact_percentiles(df, "x", at, pieces=8).first()
+    one = alpha.exact_percentiles(df, "x", at, pieces=8, at_once=0).first()
     assert one.n == 700 and one.e == pytest.approx(np.percentile(x, [100 * p for p in at]).tolist())
-    ranked = alpha.average_ranks(df.withColumn("g", F.lit("a")), "g", "x", "rank", pieces=8).collect()
+    ranked = alpha.average_ranks(df.withColumn("g", F.lit("a")), "g", "x", "rank", pieces=8, at_once=0).collect()
     order = np.sort(x)
     assert all(r["rank"] == (np.searchsorted(order, r.x) + np.searchsorted(order, r.x, "right") + 1) / 2 for r in ranked)
     # more than 40 % zeros: an edge repeats, so a bucket is empty and counts as 0
