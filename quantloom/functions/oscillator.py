@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..windows import ewm, lag, last, mean, ratio
+from ..operators.rolling import rolled
+from ..windows import ewm, lag, mean, ratio
 
 
 def rsi(df: DataFrame, windows: tuple[int, ...] = (14,)) -> DataFrame:
@@ -22,13 +23,13 @@ def rsi(df: DataFrame, windows: tuple[int, ...] = (14,)) -> DataFrame:
 def kdj(df: DataFrame, windows: tuple[int, ...] = (14,)) -> DataFrame:
     """K and D are plain means of three rows; the bare names stand for the window of 14 only."""
     for n in windows:
-        low, high = F.min("low").over(last(n)), F.max("high").over(last(n))
-        df = df.withColumn("_rsv", ratio((F.col("close") - low) * 100, high - low))
+        df = rolled(df, n, {"_low": ("min", "low"), "_high": ("max", "high")})
+        df = df.withColumn("_rsv", ratio((F.col("close") - F.col("_low")) * 100, F.col("_high") - F.col("_low")))
         df = df.withColumn(f"k{n}", mean("_rsv", 3)).withColumn(f"d{n}", mean(f"k{n}", 3))
         df = df.withColumn(f"j{n}", 3 * F.col(f"k{n}") - 2 * F.col(f"d{n}"))
         if n == 14:
             df = df.withColumns({c: F.col(f"{c}14") for c in "kdj"})
-    return df.drop("_rsv")
+    return df.drop("_rsv", "_low", "_high")
 
 
 def cci(df: DataFrame, windows: tuple[int, ...] = (14,)) -> DataFrame:

@@ -39,15 +39,19 @@ def indicators(category: str | None = None) -> list[str]:
     return [n for n, i in _registry.items() if category in (None, i.category)]
 
 
+def indicator_of(name: str) -> Indicator:
+    if name not in _registry:
+        raise KeyError(f"no indicator {name!r}; there are {', '.join(sorted(_registry))}")
+    return _registry[name]
+
+
 def with_indicators(df: DataFrame, names: Iterable[str] | None = None, **params: dict) -> DataFrame:
     """Add the named indicators (default: all) after what they need. params: keyword arguments by indicator name."""
     wanted, graph = list(names if names is not None else indicators()), {}
     while wanted:
         name = wanted.pop()
-        if name not in _registry:
-            raise KeyError(f"no indicator {name!r}; there are {', '.join(sorted(_registry))}")
         if name not in graph:
-            graph[name] = _registry[name].needs
+            graph[name] = indicator_of(name).needs
             wanted += graph[name]
     for name in TopologicalSorter(graph).static_order():
         one = _registry[name]

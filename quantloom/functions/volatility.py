@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.rolling import rolled
 from ..windows import lag, last, mean, ratio, so_far, total
 
 
@@ -19,8 +20,9 @@ def boll(df: DataFrame, windows: tuple[int, ...] = (20,), width: float = 2.0) ->
 def wr(df: DataFrame, windows: tuple[int, ...] = (10, 6)) -> DataFrame:
     """Positive scale; wr and wr1 are the first window, wr2 the second."""
     for n in windows:
-        low, high = F.min("low").over(last(n)), F.max("high").over(last(n))
-        df = df.withColumn(f"wr{n}", ratio((high - F.col("close")) * 100, high - low))
+        df = rolled(df, n, {"_low": ("min", "low"), "_high": ("max", "high")})
+        df = df.withColumn(f"wr{n}", ratio((F.col("_high") - F.col("close")) * 100, F.col("_high") - F.col("_low")))
+    df = df.drop("_low", "_high")
     df = df.withColumns({"wr": F.col(f"wr{windows[0]}"), "wr1": F.col(f"wr{windows[0]}")})
     return df.withColumn("wr2", F.col(f"wr{windows[1]}")) if len(windows) > 1 else df
 

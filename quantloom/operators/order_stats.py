@@ -24,7 +24,7 @@ def below(counts: DataFrame, keys: list[str], value: str, pieces: int = 64, few:
     """counts (keys, value, n) plus before, the rows of lower values, and total, all rows of the group. Up to `at_once` counts
     are sorted as they are; more of them in pieces. few: the groups are few enough to broadcast `pieces` rows for each. counts
     is read up to three times: write it first."""
-    if counts.limit(at_once + 1).count() <= at_once:
+    if at_once and counts.limit(at_once + 1).count() <= at_once:
         group = Window.partitionBy(*keys)
         before = F.coalesce(F.sum("n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         return counts.withColumns({"before": before, "total": F.sum("n").over(group)})

@@ -41,10 +41,9 @@ def compose(*functions: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame
 
 
 def shared_rolling(df: DataFrame, windows: Iterable[int]) -> DataFrame:
-    """high_n, low_n and mean_n for each window, over one sort."""
-    from ..windows import last
+    """high_n, low_n and mean_n for each window; narrow ones share one sort, wide ones cost no more than narrow ones."""
+    from ..operators.rolling import rolled
 
-    made = {}
     for n in windows:
-        made |= {f"high_{n}": F.max("high").over(last(n)), f"low_{n}": F.min("low").over(last(n)), f"mean_{n}": F.avg("close").over(last(n))}
-    return df.withColumns(made)
+        df = rolled(df, n, {f"high_{n}": ("max", "high"), f"low_{n}": ("min", "low"), f"mean_{n}": ("mean", "close")})
+    return df

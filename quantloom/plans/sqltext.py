@@ -14,6 +14,10 @@ BARS_WEEK = """
                row(CAST(l_shipdate AS DATE), l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE)) AS pos
         FROM lineitem) GROUP BY symbol, date"""
 
+BARS_TICK = """
+  SELECT event_type AS symbol, ts AS date, v AS open, v AS high, v AS low, v AS close, floor(v) + 1 AS volume, v * (floor(v) + 1) AS amount
+  FROM (SELECT event_type, ts, CAST(value AS DOUBLE) AS v FROM events)"""
+
 #: Added before rounding on both sides: means of two-digit prices often lie exactly between two rounded values, where the
 #: last bit of a sum would decide.
 NUDGE = 1.37e-8

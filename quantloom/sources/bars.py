@@ -26,6 +26,14 @@ def bars_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("symbol", "date").agg(F.min("at")["p"].alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max("at")["p"].alias("close"), F.sum("q").alias("volume"), F.sum("a").alias("amount"))
 
 
+def bars_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a bar of its own: thousands of rows a symbol and more, the number grows with the table."""
+    value = F.col("value").cast("double")
+    volume = F.floor(value).cast("double") + 1
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("date"), *[value.alias(c) for c in ("open", "high", "low", "close")], volume.alias("volume"))
+    return rows.withColumn("amount", F.col("close") * F.col("volume"))
+
+
 def dividends_of(bars: DataFrame, every: int = 100) -> DataFrame:
     """Synthetic events on every 100th bar of a symbol: cash of 1 % of the close, one share for ten, no rights."""
     n = F.row_number().over(Window.partitionBy("symbol").orderBy("date"))
