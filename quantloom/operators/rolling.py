@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..windows import KEY, lag, last, row
 
 #: From this width on blocks are cheaper than sliding.
-WIDE = 200
+WIDE = 50
 
 _AGGREGATES = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count, "mean": F.avg}
 

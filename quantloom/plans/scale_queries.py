@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
+from pyspark.sql import functions as F
+
 from ..operators.long_symbols import long_indicators
-from ..sources.bars import bars_tick
+from ..scratch import folder
+from ..sources.bars import bars_tick, bars_week
+from ..sources.day_file import read_day_files, write_day_files
 from .indicator_queries import rounded
 from .pipeline import shared_rolling
-from .sqltext import BARS_TICK, ewm, lag, last, so_far, staged
+from .sqltext import BARS_TICK, BARS_WEEK, ewm, lag, last, so_far, staged
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -23,3 +30,16 @@ SQL["indicators_long"] = staged([
 _WIDE = [f"{c}_{n}" for n in (20, 300, 700) for c in ("high", "low", "mean")]
 QUERIES["rolling_wide"] = lambda spark, sf_dir: rounded(shared_rolling(bars_tick(spark, sf_dir), (20, 300, 700)), *_WIDE)
 SQL["rolling_wide"] = staged([{f"{a}_{n}": last(e, n) for n in (20, 300, 700) for a, e in (("high", "max(high)"), ("low", "min(low)"), ("mean", "avg(close)"))}], _WIDE, bars=BARS_TICK)
+
+
+def day_files(spark, sf_dir):
+    """Weekly bars of all suppliers written as .day files, of which two years are read back."""
+    path = f"{folder(spark)}/day-{uuid.uuid4().hex}"
+    write_day_files(bars_week(spark, sf_dir), path)
+    read = read_day_files(spark, path, low=dt.date(1994, 7, 1), high=dt.date(1996, 6, 30))
+    return read.select("symbol", "date", "open", "close", F.col("volume").cast("long").alias("volume"), F.col("amount").cast("long").alias("amount"))
+
+
+QUERIES["day_files"] = day_files
+SQL["day_files"] = f"""SELECT CAST(symbol AS VARCHAR) AS symbol, date, floor(open * 100 + 0.5 + 1.37e-8) / 100 AS open, floor(close * 100 + 0.5 + 1.37e-8) / 100 AS close,
+  CAST(floor(volume + 1.37e-8) AS BIGINT) AS volume, CAST(floor(amount + 1.37e-8) AS BIGINT) AS amount FROM ({BARS_WEEK}) WHERE date BETWEEN DATE '1994-07-01' AND DATE '1996-06-30'"""

@@ -6,11 +6,13 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
 
 from quantloom.functions.registry import with_indicators
 from quantloom.operators import long_symbols
 from quantloom.operators.long_symbols import REACH, RUNNING, fades, long_indicators, numbered, over_slices, reach
 from quantloom.operators.rolling import rolled
+from quantloom.sources.day_file import PushingDayFileReader, read_day_files, write_day_files
 from quantloom.windows import last
 
 SCHEMA = "symbol string, date timestamp_ntz, open double, high double, low double, close double, volume double, amount double"
@@ -80,3 +82,60 @@ def test_rolled_equals_sliding(bars, n):
 def test_a_wide_window_sorts_but_does_not_slide(bars):
     plan = rolled(bars, 2000, {"hi": ("max", "high")})._jdf.queryExecution().executedPlan().toString()
     assert "RowFrame, -1999, currentrow" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+# ---- .day files
+
+
+def walk(n, start=dt.date(2001, 1, 1)):
+    return [(start + dt.timedelta(i), 1.0 + i % 90, 2.0 + i % 90, 0.5 + i % 90, 1.25 + i % 90, float(i), 2.0 * i) for i in range(n)]
+
+
+@pytest.fixture(scope="module")
+def days(spark):
+    rows = [(s, *r) for s, n in (("sh600000", 5000), ("sz000001", 300), ("bj1", 1)) for r in walk(n)]
+    return spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, volume double, amount double").repartition(6)
+
+
+def test_day_files_round_trip_in_splits(spark, days, tmp_path):
+    write_day_files(days, str(tmp_path / "d"))
+    back = read_day_files(spark, str(tmp_path / "d"), records_per_split="700")
+    assert back.rdd.getNumPartitions() == 8 + 1 + 1
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, days.collect()))
+    low, high = dt.date(2003, 3, 1), dt.date(2003, 4, 1)
+    some = read_day_files(spark, str(tmp_path / "d"), low=low, high=high, records_per_split="700")
+    assert sorted(map(tuple, some.collect())) == sorted(tuple(r) for r in days.collect() if low <= r.date <= high)
+    assert sorted(r.close for r in read_day_files(spark, str(tmp_path / "d"), max_days=2).filter("symbol = 'sz000001'").collect()) == [29.25, 30.25]
+
+
+def test_a_range_reads_few_bytes(spark, days, tmp_path):
+    write_day_files(days, str(tmp_path / "d"))
+    whole, some = (PushingDayFileReader({"path": str(tmp_path / "d")}) for _ in range(2))
+    pushed = [GreaterThanOrEqual(("date",), dt.date(2003, 3, 1)), LessThan(("date",), dt.date(2003, 4, 1)), EqualTo(("symbol",), "x")]
+    assert list(some.pushFilters(pushed)) == pushed
+    n = [sum(b.num_rows for p in r.partitions() for b in r.read(p)) for r in (whole, some)]
+    assert n[0] == 5301 and 31 <= n[1] <= 32
+    assert whole.bytes_read == 5301 * 32 and some.bytes_read < 100 * 32
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = read_day_files(spark, str(tmp_path / "d")).filter(F.col("date").between(dt.date(2003, 3, 1), dt.date(2003, 3, 31)))
+        assert df.count() == 31 and df.filter("symbol = 'bj1'").count() == 0
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
+
+
+def test_failed_writes_leave_the_folder_alone(days, tmp_path):
+    path = tmp_path / "d"
+    write_day_files(days, str(path))
+    kept = {p.name: p.read_bytes() for p in path.glob("*.day")}
+    assert sorted(kept) == ["bj1.day", "sh600000.day", "sz000001.day"]
+    for bad in (days.withColumn("volume", F.when(F.col("volume") == 77, -1.0).otherwise(F.col("volume"))), days.withColumn("symbol", F.when(F.col("symbol") == "bj1", "a/b").otherwise(F.col("symbol")))):
+        with pytest.raises(Exception):  # noqa: B017
+            write_day_files(bad, str(path))
+        assert {p.name: p.read_bytes() for p in path.glob("*.day")} == kept
+    with pytest.raises(Exception):  # noqa: B017  one symbol from many tasks
+        days.write.format("dayfile").option("path", str(path)).mode("append").save()
+    assert {p.name: p.read_bytes() for p in path.glob("*.day")} == kept
+    write_day_files(days.filter("symbol = 'bj1'"), str(path), mode="overwrite")
+    assert [p.name for p in path.glob("*.day")] == ["bj1.day"]
