@@ -52,9 +52,13 @@ def word_list(text: str | None) -> list[bytes]:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir. A local session without it gets a temporary folder; on a cluster, whose
+    machines do not share one, its absence is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("QUANTLOOM_SCRATCH")
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = os.environ["QUANTLOOM_SCRATCH"] = tempfile.mkdtemp(prefix="quantloom-")
     return folder.rstrip("/")
 
