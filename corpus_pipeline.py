@@ -13,27 +13,32 @@ from quantloom.llm.packing import best_fit_pack
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language, or between two, go."""
+    """Documents in no language, or between two, go. Null and empty texts and texts without letters are in no language; a null lang
+    only keeps a row out of training; equal texts, whatever their ids, share one fate; no documents give no documents."""
     return drop_unidentified(docs, train(docs.select("text", "lang")))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat over documents go from all but one; documents stay."""
+    """Lines that repeat over documents go from all but the largest doc_id; documents stay, also those left without a line. A null text
+    comes back empty; rows without an id lose nothing and make no line frequent; repeated rows count as one document."""
     return line_dedup(docs).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, told apart by id and text: of equal rows one. Texts without words are linked
+    with nothing and stay, and so does a row without an id that has no copy."""
     return keep_one(docs, k=5, percent=80)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate gives."""
+    """Each document as often as its source's rate gives: rows without words never, rows of a null source by that source's rate, equal
+    ids alike. All columns pass."""
     return mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces in training sequences."""
+    """Places of all pieces in training sequences. A null or empty text is one piece of its end token; repeated rows are packed each for
+    itself; extra columns are not read."""
     return best_fit_pack(docs)
 
 
