@@ -181,7 +181,7 @@ def test_entry_stands_without_the_training_data_part(tmp_path, with_pipeline):
     root = Path(__file__).resolve().parent.parent
     shutil.copytree(root, tmp_path, dirs_exist_ok=True, ignore=shutil.ignore_patterns("llm", "__pycache__", ".git"))
     if not with_pipeline:
-        (tmp_path / "corpus_pipeline.py").unlink()
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
     assert done.returncode == 0, done.stderr
     assert int(done.stdout.split()[0]) > 90
