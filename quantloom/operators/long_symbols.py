@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.registry import indicator_of, with_indicators
 from ..scratch import written
 from ..windows import KEY, TIME, lag, mean, ratio
-from .order_stats import below
+from .order_stats import below, same_keys
 
 AT = "_at"
 
@@ -96,7 +96,7 @@ def running(table: DataFrame, sums: dict[str, Column], size: int = 100_000) -> D
     totals = local.groupBy(*of).agg(*[F.max_by(f"_v{i}", AT).alias(f"_t{i}") for i in range(len(sums))])
     before = Window.partitionBy(KEY).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(*of, *[F.sum(f"_t{i}").over(before).alias(f"_t{i}") for i in range(len(sums))])
-    both = local.join(carried, of)
+    both = same_keys(local, carried, of)
     total = lambda i: F.coalesce(F.col(f"_v{i}") + F.col(f"_t{i}"), F.col(f"_v{i}"), F.col(f"_t{i}"))
     return both.withColumns({name: total(i) for i, name in enumerate(sums)}).drop("_slice", *[f"_{c}{i}" for c in "vt" for i in range(len(sums))])
 

@@ -8,6 +8,9 @@ large group's distinct values.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,11 +23,18 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys, value).agg(F.count("*").alias("n"))
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], hint=lambda df: df) -> DataFrame:
+    """left with the other columns of right, joined on keys of which null is one."""
+    renamed = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    joined = left.join(hint(renamed), reduce(and_, [left[k].eqNullSafe(renamed[f"_key_{k}"]) for k in keys]))
+    return joined.drop(*[f"_key_{k}" for k in keys])
+
+
 def below(counts: DataFrame, keys: list[str], value: str, pieces: int = 64, few: bool = True, at_once: int = 200_000) -> DataFrame:
     """counts (keys, value, n) plus before, the rows of lower values, and total, all rows of the group. Up to `at_once` counts
     are sorted as they are; more of them in pieces. few: the groups are few enough to broadcast `pieces` rows for each. counts
     is read up to three times: write it first."""
-    if at_once and counts.limit(at_once + 1).count() <= at_once:
+    if pieces <= 1 or at_once and counts.limit(at_once + 1).count() <= at_once:
         group = Window.partitionBy(*keys)
         before = F.coalesce(F.sum("n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         return counts.withColumns({"before": before, "total": F.sum("n").over(group)})
@@ -34,8 +44,8 @@ def below(counts: DataFrame, keys: list[str], value: str, pieces: int = 64, few:
     # a value's piece is looked up in two steps of about the root of `pieces` comparisons: every step-th edge, then those after it
     step = max(1, round(pieces**0.5))
     edges = edges.withColumn("_c", F.filter("_e", lambda e, i: (i + 1) % step == 0))
-    reached = lambda of: F.size(F.filter(of, lambda e: e <= F.col(value)))
-    placed = counts.join(hint(edges), keys).withColumn("_b", reached(F.col("_c")) * step)
+    reached = lambda of: F.when(of.isNull(), 0).otherwise(F.size(F.filter(of, lambda e: e <= F.col(value))))
+    placed = same_keys(counts, edges, keys, hint).withColumn("_b", reached(F.col("_c")) * step)
     placed = placed.withColumn("_b", F.col("_b") + reached(F.slice("_e", F.col("_b") + 1, step))).drop("_e", "_c")
     group = Window.partitionBy(*keys)
     lower = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -43,7 +53,7 @@ def below(counts: DataFrame, keys: list[str], value: str, pieces: int = 64, few:
     sums = sums.select(*keys, "_b", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_base"), F.sum("_n").over(group).alias("total"))
     within = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_base") + F.coalesce(F.sum("n").over(within), F.lit(0))
-    return placed.join(hint(sums), [*keys, "_b"]).withColumn("before", before).drop("_b", "_base")
+    return same_keys(placed, sums, [*keys, "_b"], hint).withColumn("before", before).drop("_b", "_base")
 
 
 def mean_rank() -> Column:

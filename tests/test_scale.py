@@ -65,6 +65,13 @@ def test_slices_bound_the_rows_of_a_task(bars):
     assert held.agg(F.max("_held")).first()[0] <= 250 and held.count() == bars.count()
 
 
+def test_one_slice_and_rows_without_a_symbol(bars):
+    some = bars.filter("symbol <> 'long'").unionAll(bars.filter("symbol = 'short'").withColumn("symbol", F.lit(None).cast("string")))
+    names = ["ma", "rsi", "obv", "mcst", "cyc"]
+    for size in (100_000, 15):
+        equal(long_indicators(some, names, size=size), with_indicators(some, names))
+
+
 def test_no_rows_and_unknown_names(bars):
     assert long_indicators(bars.limit(0), ["ma", "obv"], size=10).collect() == []
     with pytest.raises(KeyError):
