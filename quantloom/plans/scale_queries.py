@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..operators.long_symbols import long_indicators
 from ..scratch import folder
+from ..sources.bar_store import BarStore
 from ..sources.bars import bars_tick, bars_week
 from ..sources.day_file import read_day_files, write_day_files
+from ..windows import lag as lag_of
+from ..windows import mean, total
 from .indicator_queries import rounded
 from .pipeline import shared_rolling
 from .sqltext import BARS_TICK, BARS_WEEK, ewm, lag, last, so_far, staged
@@ -43,3 +46,24 @@ def day_files(spark, sf_dir):
 QUERIES["day_files"] = day_files
 SQL["day_files"] = f"""SELECT CAST(symbol AS VARCHAR) AS symbol, date, floor(open * 100 + 0.5 + 1.37e-8) / 100 AS open, floor(close * 100 + 0.5 + 1.37e-8) / 100 AS close,
   CAST(floor(volume + 1.37e-8) AS BIGINT) AS volume, CAST(floor(amount + 1.37e-8) AS BIGINT) AS amount FROM ({BARS_WEEK}) WHERE date BETWEEN DATE '1994-07-01' AND DATE '1996-06-30'"""
+
+
+def bar_store(spark, sf_dir):
+    """Weekly bars of all suppliers in a store: loaded, then revised in 1995 and added to in 1996 by a batch that is given twice;
+    three years are read back under windows."""
+    bars = bars_week(spark, sf_dir)
+    name = f"bars_{uuid.uuid4().hex}"
+    store = BarStore.create(spark, name, bars.schema, f"{folder(spark)}/{name}", buckets=16)
+    store.upsert(bars, "load")
+    dearer = bars.filter((F.year("date") == 1995) & (F.col("symbol") % 2 == 0)).withColumns({c: F.col(c) * 2 for c in ("open", "high", "low", "close")})
+    more = bars.filter((F.year("date") == 1996) & (F.col("symbol") % 10 == 0)).withColumn("symbol", -1 - F.col("symbol"))
+    for _ in range(2):
+        store.upsert(dearer.unionByName(more), "revision")
+    df = store.read(dt.date(1994, 1, 1), dt.date(1996, 12, 31))
+    return rounded(df.withColumns({"mean8": mean("close", 8), "change": F.col("close") - lag_of("close"), "total": total("volume", 12)}), "close", "mean8", "change", "total")
+
+
+QUERIES["bar_store"] = bar_store
+SQL["bar_store"] = staged([{"mean8": last("avg(close)", 8), "change": f"close - {lag('close')}", "total": last("sum(volume)", 12)}], ["close", "mean8", "change", "total"], bars=f"""
+  WITH loaded AS ({BARS_WEEK}) SELECT symbol, date, close * CASE WHEN year(date) = 1995 AND symbol % 2 = 0 THEN 2 ELSE 1 END AS close, volume FROM loaded WHERE year(date) BETWEEN 1994 AND 1996
+  UNION ALL SELECT -1 - symbol, date, close, volume FROM loaded WHERE year(date) = 1996 AND symbol % 10 = 0""")
