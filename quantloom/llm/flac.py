@@ -6,6 +6,11 @@ side: one NumPy operation per sample position serves all frames of a chunk. A se
 the encoder writes) makes all frames of a file start at once; without one, each file's frames follow in waves.
 
 Work is per row, without a shuffle; memory follows the chunk bound, not the number of rows.
+
+Cases. A null stream gives no block rows, a null or empty text the stream of 64 zero bytes. Texts of any length are whole: a longer one
+than the chunk bound is a chunk of its own. Repeated rows and ties each give their own result, equal texts equal values. An
+empty table gives no rows. A damaged stream gives one row with ok false and leaves the others of its chunk as they are. Of the input only
+the named columns are read, so other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -480,6 +485,36 @@ def _decode_wave(bits, raw, now, heads, infos, base, found, check) -> list[int]:
 
 # ---------------------------------------------------------------- Spark
 
+#: What reading a damaged stream can raise: a failed check, or bytes that end too early.
+_BROKEN = (BadStream, IndexError, StopIteration, struct.error)
+
+
+def read_block(streams: list[bytes], offsets: list[int], ends: list[int] | None = None) -> list[np.ndarray]:
+    """The block of each stream whose frame begins at this byte offset (as its block row says), of shape (n, channels). Only the bytes up
+    to `ends` (the next block's offset; the stream's end where not given) are read, no frame before or after."""
+    infos = [stream_info(s) for s in streams]
+    cut = [s[i["at"] + a : None if ends is None else i["at"] + e] for s, i, a, e in zip(streams, infos, offsets, ends or offsets)]
+    buf = b"".join(cut)
+    base = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).tolist()
+    bits, raw = _Bits(buf), np.frombuffer(buf, np.uint8)
+    found: list[list] = [[] for _ in streams]
+    for lo in range(0, len(streams), 2048):
+        now = [(i, base[i]) for i in range(lo, min(lo + 2048, len(streams)))]
+        _decode_wave(bits, raw, now, [_frame_header(buf, at, infos[i]) for i, at in now], infos, base, found, True)
+    return [f[0][2] for f in found]
+
+
+def block_rows(streams: list[bytes]) -> list[list[tuple]]:
+    """Per stream its PCM blocks in order: (block, sample_offset, byte_offset, n_samples, channels, bits, pcm, ok, error). The streams are
+    decoded side by side; where one fails a check, each is decoded alone and the bad ones give one row without samples."""
+    try:
+        read = decode(streams)
+    except _BROKEN as e:
+        if len(streams) > 1:
+            return [rows for s in streams for rows in block_rows([s])]
+        return [[(0, 0, 0, 0, None, None, None, False, str(e) or type(e).__name__)]]
+    return [[(j, s, a, len(x), info["channels"], info["bits"], x.astype("<i4").tobytes(), True, None) for j, (s, a, x) in enumerate(frames)] for info, frames in read]
+
 
 def decode_column(media: DataFrame, key: str = "media_id", column: str = "media") -> DataFrame:
     """PCM blocks: key, block, sample_offset, byte_offset, n_samples, channels, bits, pcm (little-endian 32-bit samples),
@@ -487,19 +522,14 @@ def decode_column(media: DataFrame, key: str = "media_id", column: str = "media"
     ship(media.sparkSession)
     kind = media.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, block int, sample_offset long, byte_offset long, n_samples int, channels int, bits int, pcm binary, ok boolean, error string"
+    names = [key, "block", "sample_offset", "byte_offset", "n_samples", "channels", "bits", "pcm", "ok", "error"]
 
     def run(batches):
         for batch in text_chunks(batches, column):
-            keys, rows = batch.column(0).to_pylist(), []
-            for i, data in enumerate(batch.column(1).to_pylist()):
-                if data is None:
-                    continue
-                try:
-                    (info, frames), = decode([data])
-                    rows += [(keys[i], j, s, a, len(x), info["channels"], info["bits"], x.astype("<i4").tobytes(), True, None) for j, (s, a, x) in enumerate(frames)]
-                except (BadStream, IndexError, StopIteration) as e:
-                    rows.append((keys[i], 0, 0, 0, 0, None, None, None, False, str(e) or type(e).__name__))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 10, [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.string()])], [key, "block", "sample_offset", "byte_offset", "n_samples", "channels", "bits", "pcm", "ok", "error"])
+            there = [(k, data) for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if data is not None]
+            rows = [(k, *row) for (k, _), found in zip(there, block_rows([data for _, data in there])) for row in found]
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 10, kinds)], names)
 
     return media.select(key, column).mapInArrow(run, schema)
 
@@ -511,24 +541,32 @@ def _feature(x: np.ndarray) -> str:
 
 def text_media(docs: DataFrame) -> DataFrame:
     """Each whole text as an 8-bit stream and what reading it back gives: doc_id, n_bytes, payload_bytes, payload_sha256,
-    tail_crc32, media_bytes, media_sha256, feature, n_frames. Null text is empty; each row stands alone."""
+    tail_crc32, media_bytes, media_sha256, feature, n_frames, tail_offset. The samples are those of the stream's PCM blocks; the tail is
+    read by a seek to the byte offset of the last block (tail_offset), which must agree. Null text is empty; each row stands alone."""
     ship(docs.sparkSession)
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "tail_offset"]
 
     def run(batches):
         for batch in text_chunks(batches, max_bytes=12 << 20):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             streams = encode([t + bytes(max(64, -(-len(t) // 64) * 64) - len(t)) for t in texts])
+            blocks = block_rows(streams)
+            if bad := [b[0][-1] for b in blocks if not b[0][-2]]:
+                raise BadStream(bad[0])
+            sought = read_block(streams, [b[-1][2] for b in blocks])
             rows = []
-            for text, stream, (info, frames) in zip(texts, streams, decode(streams)):
-                x = np.concatenate([f[2][:, 0] for f in frames])
+            for text, stream, parts, block in zip(texts, streams, blocks, sought):
+                x = np.frombuffer(b"".join(p[6] for p in parts), "<i4")
                 back = (x + 128).astype(np.uint8).tobytes()
-                if hashlib.md5((np.frombuffer(back, np.uint8) ^ 0x80).tobytes()).digest() != info["md5"]:
+                if hashlib.md5((np.frombuffer(back, np.uint8) ^ 0x80).tobytes()).digest() != stream_info(stream)["md5"]:
                     raise BadStream("samples fail the stream's MD5")
-                rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), _feature(x), len(frames)))
+                tail = (block[:, 0] + 128).astype(np.uint8).tobytes()
+                if parts[-1][1] + len(tail) != len(back) or not back.endswith(tail):
+                    raise BadStream("the sought block is not the last one")
+                rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(tail[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), _feature(x), len(parts), parts[-1][2]))
             cols = list(zip(*rows))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, tail_offset long")

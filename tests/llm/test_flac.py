@@ -151,3 +151,28 @@ def test_columns(spark, odd_docs, no_docs):
         p = t + bytes(max(64, -(-len(t) // 64) * 64) - len(t))
         want.append((i, len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
     assert sorted(str((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32)) for r in got) == sorted(map(str, want))
+
+
+def test_a_block_is_read_by_its_offset():
+    payloads = [bytes(range(256)) * 70, b"abc" * 4096, b"z" * 64, np.random.default_rng(1).integers(0, 256, 9000, dtype=np.uint8).tobytes()]
+    streams = flac.encode(payloads)
+    rows = flac.block_rows(streams)
+    assert [r[1] for r in rows[0]] == [4096 * j for j in range(5)] and all(r[-2] for found in rows for r in found)
+    for j in range(5):
+        for i, found in enumerate(rows):
+            if j < len(found):
+                n, at, n_samples, pcm = found[j][1], found[j][2], found[j][3], found[j][6]
+                end = found[j + 1][2] if j + 1 < len(found) else len(streams[i])
+                alone = streams[i][: flac.stream_info(streams[i])["at"] + end]  # nothing after the block is there
+                (x,) = flac.read_block([alone], [at], [end])
+                assert x[:, 0].astype("<i4").tobytes() == pcm and (x[:, 0] + 128).astype(np.uint8).tobytes() == payloads[i][n : n + n_samples]
+    last = flac.read_block(streams, [found[-1][2] for found in rows])
+    assert [(x[:, 0] + 128).astype(np.uint8).tobytes()[-64:] for x in last] == [p[-64:] for p in payloads]
+    with pytest.raises((flac.BadStream, IndexError)):
+        flac.read_block(streams[:1], [rows[0][2][2] + 1])
+
+
+def test_one_bad_stream_leaves_the_others_of_its_chunk():
+    good = flac.encode([b"y" * 100, b"x" * 200])
+    rows = flac.block_rows([good[0], b"fLaC", good[1]])
+    assert [[r[-2] for r in found] for found in rows] == [[True], [False], [True]] and [found[0][3] for found in rows] == [100, 0, 200]
