@@ -7,16 +7,18 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import backtest
+from ..operators.grid import signal_grid
 from ..operators.long_symbols import long_indicators
 from ..scratch import folder
 from ..sources.bar_store import BarStore
-from ..sources.bars import bars_tick, bars_week
+from ..sources.bars import bars_hour, bars_tick, bars_week
 from ..sources.day_file import read_day_files, write_day_files
 from ..windows import lag as lag_of
 from ..windows import mean, total
 from .indicator_queries import rounded
 from .pipeline import shared_rolling
-from .sqltext import BARS_TICK, BARS_WEEK, ewm, lag, last, so_far, staged
+from .sqltext import BARS_HOUR, BARS_TICK, BARS_WEEK, NUDGE, ewm, lag, last, so_far, staged
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -67,3 +69,30 @@ QUERIES["bar_store"] = bar_store
 SQL["bar_store"] = staged([{"mean8": last("avg(close)", 8), "change": f"close - {lag('close')}", "total": last("sum(volume)", 12)}], ["close", "mean8", "change", "total"], bars=f"""
   WITH loaded AS ({BARS_WEEK}) SELECT symbol, date, close * CASE WHEN year(date) = 1995 AND symbol % 2 = 0 THEN 2 ELSE 1 END AS close, volume FROM loaded WHERE year(date) BETWEEN 1994 AND 1996
   UNION ALL SELECT -1 - symbol, date, close, volume FROM loaded WHERE year(date) = 1996 AND symbol % 10 = 0""")
+
+_GRID = {"short": list(range(2, 22)), "long": list(range(25, 75))}
+
+
+def grid_wide(spark, sf_dir):
+    """A thousand combinations of two means on hourly bars: trades, costs and the capital after the last sale of each."""
+    done = backtest.trades(signal_grid(bars_hour(spark, sf_dir), "ma_state", _GRID, turns=True))
+    sums = done.groupBy("symbol", "param_id").agg(F.count("*").alias("n_trades"), F.sum("cost").alias("cost"), F.max_by(F.when(F.col("signal") == "sell", F.col("capital")), F.when(F.col("signal") == "sell", F.col("trade"))).alias("capital"))
+    return rounded(sums, "cost", "capital", keys=("symbol", "param_id", "n_trades"), digits=2)
+
+
+QUERIES["grid_wide"] = grid_wide
+SQL["grid_wide"] = f"""WITH RECURSIVE b AS MATERIALIZED (SELECT symbol, date, close, CAST(round(close * 1000000) AS BIGINT) AS c, row_number() OVER w AS i FROM ({BARS_HOUR}) WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+sums AS MATERIALIZED (SELECT symbol, i, sum(c) OVER (PARTITION BY symbol ORDER BY i) AS s FROM b UNION ALL SELECT DISTINCT symbol, 0, 0 FROM b),
+means AS MATERIALIZED (SELECT b.symbol, b.i, n, CAST(s.s - t.s AS HUGEINT) AS s FROM b CROSS JOIN range(2, 75) r(n) JOIN sums s ON s.symbol = b.symbol AND s.i = b.i JOIN sums t ON t.symbol = b.symbol AND t.i = greatest(b.i - n, 0)),
+sides AS (SELECT b.symbol, b.date, b.close AS price, CAST((y.n - 25) + (x.n - 2) * 50 AS INTEGER) AS param_id, sign(x.s * least(b.i, y.n) - y.s * least(b.i, x.n)) AS side
+  FROM b JOIN means x ON x.symbol = b.symbol AND x.i = b.i AND x.n BETWEEN 2 AND 21 JOIN means y ON y.symbol = b.symbol AND y.i = b.i AND y.n BETWEEN 25 AND 74 WHERE b.i >= y.n),
+turns AS (SELECT *, lag(side) OVER (PARTITION BY symbol, param_id ORDER BY date) AS p FROM sides WHERE side <> 0),
+n AS MATERIALIZED (SELECT symbol, param_id, side, price, row_number() OVER (PARTITION BY symbol, param_id ORDER BY date) AS trade FROM (
+  SELECT *, max(side) OVER (PARTITION BY symbol, param_id ORDER BY date) AS bought FROM turns WHERE p IS NULL AND side = 1 OR p <> side) WHERE bought = 1),
+fold AS (
+  SELECT symbol, param_id, trade, side, 100000.0::DOUBLE / price AS shares, 0.0::DOUBLE AS capital, price AS bought, 0.0::DOUBLE AS cost FROM n WHERE trade = 1
+  UNION ALL
+  SELECT symbol, param_id, trade, side, CASE side WHEN 1 THEN capital / price ELSE shares END, CASE side WHEN 1 THEN 0 ELSE shares * price - paid END, CASE side WHEN 1 THEN price ELSE bought END, CASE side WHEN 1 THEN 0 ELSE paid END
+  FROM (SELECT n.*, f.shares, f.capital, f.bought, greatest(f.shares * f.bought * 0.0003, 5) + greatest(f.shares * n.price * 0.0003, 5) + f.shares * n.price * 0.001 + f.shares * (n.price - f.bought) * 0.0001 AS paid
+        FROM fold f JOIN n ON n.symbol = f.symbol AND n.param_id = f.param_id AND n.trade = f.trade + 1))
+SELECT symbol, param_id, count(*) AS n_trades, round(sum(cost) + {NUDGE}, 2) AS cost, round(arg_max(capital, trade) FILTER (WHERE side = -1) + {NUDGE}, 2) AS capital FROM fold GROUP BY symbol, param_id"""
