@@ -30,7 +30,7 @@ def rows(df):
 @pytest.mark.parametrize("name, params", [("ma_state", {"short": [1, 5, 9], "long": [7, 40]}), ("trend_following", {"short": [3, 10], "long": [8, 20]}), ("momentum", {"n": [1, 4, 30]})])
 def test_equal_to_a_plan_for_each_combination(bars, name, params):
     want = rows(backtest.grid(bars, getattr(signals, name), params))
-    for size in (10_000, 50):
+    for size in (None, 50):
         assert rows(signal_grid(bars, name, params, size=size)) == want
 
 
