@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import folder
 from ..sources.bars import bars_hour
 from ..streaming.indicators import stream_indicators
 from .indicator_queries import rounded
@@ -16,17 +17,29 @@ from .sqltext import ewm, lag, last, so_far, staged
 COLUMNS = ["ma5", "macd", "macd_signal", "rsi14", "mb20", "up20", "wr10", "obv", "dma", "bbi"]
 
 
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    """The state store that the streams need; the session's own setting is put back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    root = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
     bars = bars_hour(spark, sf_dir).select("symbol", F.col("date").cast("timestamp").alias("date"), "open", "high", "low", "close", "volume")
     edges = bars.agg(F.percentile_approx(F.unix_micros("date"), F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("e")).first()["e"]
     slices = F.when(F.unix_micros("date") <= edges[0], 0).when(F.unix_micros("date") <= edges[1], 1).otherwise(2)
     for i in range(3):  # three slices in time order, each drained before the next one comes; one checkpoint for all
         bars.filter(slices == i).repartition("symbol").write.mode("append").parquet(f"{root}/bars")
         source = spark.readStream.schema(bars.schema).parquet(f"{root}/bars")
-        query = stream_indicators(source).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
+        with _rocksdb(spark):
+            query = stream_indicators(source).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+            query.awaitTermination()
     out = spark.read.parquet(f"{root}/out").withColumn("date", F.col("date").cast("timestamp_ntz"))
     return rounded(out.withColumns({c: F.nanvl(c, F.lit(None)) for c in COLUMNS}), *COLUMNS)
 
