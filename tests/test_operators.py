@@ -291,29 +291,6 @@ def test_indicator_csv(spark, tmp_path):
     assert read_indicator_csv(spark, str(tmp_path / "out")).filter("ma5 = 1.5").count() == 1
 
 
-def test_streaming_values_equal_the_batch(spark, sf_dir):
-    """Bar by bar, the state going through JSON between bars, against the window and recursion forms."""
-    import json
-
-    from quantloom.streaming.indicators import OUTPUTS, Accumulator, stream_indicators
-
-    bars = bars_hour(spark, sf_dir).filter("symbol = 'click'")
-    names = {"sws": "fsl", "k14": "kdj", "pdi_14": "dmi", "trix12": "trix", "sar": "sar"}
-    batch = with_indicators(bars, sorted(set(names.values()))).orderBy("date").collect()
-    state = None
-    for i, r in enumerate(batch):
-        acc = Accumulator(state=state)
-        got = acc.update({"date": i, **{c: r[c] for c in ("open", "high", "low", "close", "volume")}})
-        state = json.loads(json.dumps(acc.s))
-        assert set(got) == set(OUTPUTS)
-        for c in ("sws", "k14", "d14", "j14", "pdi_14", "ndi_14", "adx_14", "adxr_14", "trix12", "trma12", *(("sar",) if i else ())):
-            want = r[c]
-            assert (want is None and got[c] != got[c]) or got[c] == pytest.approx(want, abs=1e-6), (i, c)
-    assert Accumulator(state=state).update({"date": 0}) is None  # late
-    with pytest.raises(ValueError):
-        stream_indicators(bars, outputs=("nothing",))
-
-
 def test_plain_factors_wait_for_full_windows(spark):
     bars = spark.createDataFrame([("a", i, 9.0 + i, 11.0 + i, 8.0 + i, 10.0 + i, 1.0, 1.0) for i in range(30)], "symbol string, date long, open double, high double, low double, close double, volume double, amount double")
     rows = factor_analysis.with_factors(bars).orderBy("date").collect()
