@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.registry import with_indicators
-from ..operators import adjust, backtest, costs, market, performance, prep, ranking, signals
+from ..operators import adjust, backtest, costs, market, performance, prep, ranking, search_index, signals
+from ..scratch import folder
 from ..sources.bars import bars_hour, bars_week, dividends_of, stock_basic, table
 from . import pipeline
 from .indicator_queries import rounded
@@ -142,6 +145,24 @@ def _universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("universe_merge", _universe, f"""WITH a AS (SELECT * FROM ({_BASIC})), b AS (SELECT symbol + 3 AS symbol, CASE WHEN length(name) % 2 = symbol % 2 THEN '  ' ELSE upper(name) END AS name, industry FROM a)
 SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(nullif(trim(b.name), ''), a.name) AS name, coalesce(nullif(trim(b.industry), ''), a.industry) AS industry FROM a FULL JOIN b USING (symbol)""")
 _add("symbol_search", lambda s, d: market.search(stock_basic(s, d), "01").select("symbol", "name"), f"SELECT symbol, name FROM ({_BASIC}) WHERE contains(lower(CAST(symbol AS VARCHAR)), '01') OR contains(lower(name), '01') ORDER BY symbol LIMIT 50")
+
+def _indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every code's last two digits, every nation's initials and the first letters of every region, over code, name and initials."""
+    basic = stock_basic(spark, sf_dir)
+    name = F.concat_ws(" ", "name", "industry")
+    fields = {"code": F.lpad(F.col("symbol").cast("string"), 6, "0"), "name": name, "initials": search_index.initials(name)}
+    path = f"{folder(spark)}/search-{uuid.uuid4().hex}"
+    search_index.write(search_index.postings(basic, "symbol", fields), path)
+    texts = F.array(F.right(fields["code"], F.lit(2)), search_index.initials(F.col("industry")), F.substring("area", 1, 3))
+    found = search_index.find(search_index.read(spark, path), basic.select(F.explode(texts).alias("text")))
+    return found.select("text", F.col("key").alias("symbol"), "fields")
+
+
+_INITIALS = "upper(regexp_replace(regexp_replace({}, '^[^A-Za-z0-9]+', ''), '([A-Za-z0-9])[A-Za-z0-9]*[^A-Za-z0-9]*', '\\1', 'g'))"
+_add("symbol_search_index", _indexed_search, f"""WITH b AS (SELECT symbol, lpad(CAST(symbol AS VARCHAR), 6, '0') AS code, name || ' ' || industry AS name, industry, area FROM ({_BASIC})),
+t AS (SELECT upper(right(code, 2)) AS text FROM b UNION SELECT {_INITIALS.format("industry")} FROM b UNION SELECT upper(area[:3]) FROM b),
+f AS (SELECT symbol, 'code' AS field, code AS v FROM b UNION ALL SELECT symbol, 'name', upper(name) FROM b UNION ALL SELECT symbol, 'initials', {_INITIALS.format("name")} FROM b)
+SELECT text, symbol, string_agg(field, ',' ORDER BY field) AS fields FROM t JOIN f ON contains(v, text) GROUP BY text, symbol QUALIFY row_number() OVER (PARTITION BY text ORDER BY symbol) <= 50""")
 _add("frame_compare", lambda s, d: rounded(market.compare(bars_hour(s, d), bars_hour(s, d).withColumn("close", F.col("close") + F.when(F.hour("date") == 0, 0.5).otherwise(0.0)), ["close", "open"]), "max_diff", "mean_diff", keys=("column", "n", "n_over")), f"WITH b AS ({BARS_HOUR}), d AS (SELECT 'close' AS \"column\", CASE WHEN hour(date) = 0 THEN abs(close - (close + 0.5)) ELSE 0 END AS v FROM b UNION ALL SELECT 'open', 0.0 FROM b) SELECT \"column\", count(*) AS n, count(*) FILTER (WHERE v > 0.000001) AS n_over, round(max(v) + {NUDGE}, 6) AS max_diff, round(avg(v) + {NUDGE}, 6) AS mean_diff FROM d GROUP BY 1")
 _add("trade_span", lambda s, d: market.trade_span(bars_week(s, d)), f"SELECT symbol, min(date) AS first_date, max(date) AS last_date FROM ({BARS_WEEK}) GROUP BY symbol")
 _add("duplicate_keys", lambda s, d: market.duplicates(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]), "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
