@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.registry import with_indicators
-from ..operators import adjust, backtest, costs, market, performance, prep, ranking, search_index, signals
-from ..scratch import folder
+from ..operators import adjust, backtest, costs, market, performance, prep, ranking, search_index, signals, summaries
+from ..scratch import folder, written
 from ..sources.bars import bars_hour, bars_week, dividends_of, stock_basic, table
 from . import pipeline
 from .indicator_queries import rounded
@@ -54,6 +54,31 @@ _add("clean_iqr", lambda s, d: rounded(prep.clean_iqr(bars_hour(s, d), t=1.0), *
 _add("clean_zscore", lambda s, d: rounded(prep.clean_zscore(bars_hour(s, d), t=2.0), *_OHLCV), _trimmed("avg({c}) - 2 * nullif(stddev_samp({c}), 0)", "avg({c}) + 2 * nullif(stddev_samp({c}), 0)"))
 
 
+def _late_half(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The bars of the later half of the days, and the merged summaries of these days out of those kept for all days."""
+    bars, day = bars_hour(spark, sf_dir), F.col("date").cast("date")
+    kept = written(summaries.summarise(bars, day, _OHLC))
+    half = F.broadcast(kept.agg(F.date_add(F.min("period"), F.floor(F.date_diff(F.max("period"), F.min("period")) / 2).cast("int")).alias("_half")))
+    late = bars.join(half, day >= F.col("_half")).drop("_half")
+    return late, summaries.merged(kept.join(half, F.col("period") >= F.col("_half")).drop("_half"))
+
+
+def _range_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars, whole = _late_half(spark, sf_dir)
+    return rounded(summaries.clean_iqr(bars, summaries.quantiles(whole.filter("column = 'close'"), bars, [0.25, 0.75]), "close", 0.5), *_OHLC)
+
+
+def _range_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars, whole = _late_half(spark, sf_dir)
+    exact = summaries.quantiles(whole, bars, [0.25, 0.5, 0.75]).select("symbol", "column", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("q1", "q2", "q3"))])
+    return rounded(whole.join(exact, ["symbol", "column"]), "mean", "sd", "q1", "q2", "q3", keys=("symbol", "column", "n", "nulls"))
+
+
+_LATE = f"b AS ({BARS_HOUR}), d AS (SELECT min(CAST(date AS DATE)) AS lo, max(CAST(date AS DATE)) AS hi FROM b), r AS (SELECT b.* FROM b, d WHERE CAST(date AS DATE) >= lo + CAST(floor((hi - lo) / 2) AS INTEGER))"
+_add("clean_iqr_range", _range_clean, f"WITH {_LATE}, q AS (SELECT symbol, quantile_cont(close, 0.25) AS q1, quantile_cont(close, 0.75) AS q3 FROM r GROUP BY symbol) SELECT symbol, date, {_r(*_OHLC)} FROM r JOIN q USING (symbol) WHERE close BETWEEN q1 - 0.5 * (q3 - q1) AND q3 + 0.5 * (q3 - q1)")
+_add("range_report", _range_report, f"WITH {_LATE}, v AS (" + " UNION ALL ".join(f"SELECT symbol, '{c}' AS \"column\", {c} AS v FROM r" for c in _OHLC) + f"), s AS (SELECT symbol, \"column\", count(v) AS n, count(*) - count(v) AS nulls, avg(v) AS mean, stddev_samp(v) AS sd, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS q2, quantile_cont(v, 0.75) AS q3 FROM v GROUP BY ALL) SELECT symbol, \"column\", n, nulls, {_r('mean', 'sd', 'q1', 'q2', 'q3')} FROM s")
+
+
 def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_hour(spark, sf_dir).withColumn("close", F.when(F.hour("date") % 3 != 0, F.col("close")))
 
