@@ -6,6 +6,8 @@ and sort, since Catalyst puts window expressions of equal partitioning and order
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.internal import InternalFunction
@@ -65,3 +67,9 @@ def ratio(a: Column | str, b: Column | str, otherwise: float | None = None) -> C
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
     q = F.try_divide(a, b)
     return q if otherwise is None else F.when(b == 0, F.lit(otherwise)).otherwise(q)
+
+
+def quotient(a: Column | str, b: Column | str) -> Column:
+    """a / b of doubles as floating point has it: infinite, or NaN for 0 / 0, where b is 0."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return F.when(b == 0, a * F.lit(math.inf)).otherwise(F.try_divide(a, b))

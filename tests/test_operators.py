@@ -1,6 +1,7 @@
 """Small hand-made series, properties and the operators without a query."""
 
 import datetime as dt
+import math
 import subprocess
 import sys
 from pathlib import Path
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions.registry import indicators, register_indicator, with_indicators
-from quantloom.operators import adjust, backtest, costs, factor_analysis, market, performance, prep, signals
+from quantloom.operators import adjust, alpha, backtest, costs, factor_analysis, market, performance, prep, signals
 from quantloom.plans.pipeline import compose, run_steps
 from quantloom.sources.bars import bars_hour
 from quantloom.sources.day_file import pack_day, read_day_binary, read_day_files
@@ -335,3 +336,13 @@ def test_valid_codes(spark):
     df = spark.createDataFrame([(c,) for c in codes], "code string")
     valid = {r["code"] for r in universe(df.unionAll(df)).collect()}
     assert valid == {"600000", "603999", "688999", "000999", "399001", "002999", "300999", "830000", "920999", "510300", "588000", "159915", "160000"}
+
+
+def test_bar_with_a_low_of_zero_has_infinite_range(spark):
+    rows = [("a", dt.date(2024, 1, 1) + dt.timedelta(i), 5.0, 6.0, 0.0 if i == 3 else 4.0, 5.0, 1.0, 5.0) for i in range(30)]
+    rows += [("b", d, 0.0 if i == 3 else o, h, lo, c, v, a) for i, (_, d, o, h, lo, c, v, a) in enumerate(rows[:30])]
+    out = alpha.garman_klass(spark.createDataFrame(rows, SCHEMA), (20,))
+    got = column(out.filter("symbol = 'a'"), "gk_volatility_20")
+    assert got[:20] == [0.0] * 20 and got[20:24] == [math.inf] * 4 and all(0 < x < math.inf for x in got[24:])
+    both = column(out.filter("symbol = 'b'"), "gk_volatility_20")  # infinite less infinite is no number
+    assert all(math.isnan(x) for x in both[20:24]) and both[24:] == got[24:]
