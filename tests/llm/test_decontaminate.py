@@ -108,3 +108,21 @@ def test_nothing_is_shuffled_but_hits(leaky, items):
 
     plan = window_hits(leaky, items)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_words_are_found_by_table(spark):
+    from time import perf_counter
+
+    from quantloom.llm.decontaminate import WORD_RUN
+
+    ranges = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    chars = spark.range(0x110000).filter("id not between 55296 and 57343").select(F.decode(F.expr("unhex(lpad(hex(id), 8, '0'))"), "UTF-32").alias("c"))
+    assert chars.filter(F.col("c").rlike(WORD_RUN) != F.col("c").rlike(ranges)).count() == 0 and chars.filter(F.col("c").rlike(WORD_RUN)).count() > 1_000_000
+    texts = spark.createDataFrame([("some words of English, and a few Numbers 123; " * 10_000,)] * 4, "text string")
+
+    def seconds(pattern):
+        began = perf_counter()
+        assert texts.agg(F.sum(F.regexp_count("text", F.lit(pattern)))).first()[0] == 360_000
+        return perf_counter() - began
+
+    assert min(seconds(WORD_RUN) for _ in range(3)) < min(seconds(ranges) for _ in range(3)) / 2
