@@ -1,6 +1,7 @@
 """Vendor .day files: 32-byte little-endian records, one file a symbol, as a Spark data source ("dayfile").
 
-Files are read in splits of whole records, so that long files and many files are read in parallel; max_days reads the tail of each
+Files are read in splits of whole records; a long file makes several, many short files share one, so that neither the
+length nor the number of files makes a task too large or tasks too many. max_days reads the tail of each
 file only, a range of dates only the records inside it. Written files come into place once all tasks are done.
 """
 
@@ -56,11 +57,17 @@ def pack_day(rows: list[tuple]) -> bytes:
     return b"".join(struct.pack("<IIIIIIII", d, *(round(p * 100) for p in prices), int(v), int(a), 0) for d, *prices, v, a in rows)
 
 
+#: Opening a file counts as so many records when files are put together in splits.
+OPENING = 1_000
+#: Records of one read.
+CHUNK = 65_536
+
+
 class _Split(InputPartition):
-    """Records [start, stop) of a file."""
+    """Records [start, stop) of each of some files."""
 
-    def __init__(self, path: str, start: int, stop: int):
-        super().__init__((path, start, stop))
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        super().__init__(spans)
 
 
 def _local(path: str) -> str:
@@ -81,12 +88,18 @@ class DayFileReader(DataSourceReader):
 
     def partitions(self) -> list[_Split]:
         names = sorted(f for f in os.listdir(self.path) if f.endswith(".day")) if os.path.isdir(self.path) else [""]
-        splits = []
+        splits, size = [], self.records
         for path in (os.path.join(self.path, n) if n else self.path for n in names):
             stop = os.path.getsize(path) // RECORD.itemsize
             first = max(0, stop - self.days) if self.days else 0
-            splits += [_Split(path, at, min(at + self.records, stop)) for at in range(first, stop, self.records)]
-        return splits
+            for at in range(first, stop, self.records):
+                end = min(at + self.records, stop)
+                if size + end - at > self.records:
+                    splits.append([])
+                    size = 0
+                splits[-1].append((path, at, end))
+                size += end - at + OPENING
+        return [_Split(spans) for spans in splits]
 
     def _take(self, f, start: int, stop: int) -> bytes:
         f.seek(start * RECORD.itemsize)
@@ -105,14 +118,21 @@ class DayFileReader(DataSourceReader):
         return start
 
     def read(self, partition: _Split) -> Iterator[pa.RecordBatch]:
-        path, start, stop = partition.value
-        with open(path, "rb") as f:
-            if self.low > 0:
-                start = self._bound(f, start, stop, self.low)
-            if self.high < 99_999_999:
-                stop = self._bound(f, start, stop, self.high + 1)
-            for at in range(start, stop, 65_536):
-                yield parse_day(os.path.basename(path).removesuffix(".day"), self._take(f, at, min(at + 65_536, stop)))
+        held, n = [], 0  # batches of short files go out together
+        for path, start, stop in partition.value:
+            with open(path, "rb") as f:
+                if self.low > 0:
+                    start = self._bound(f, start, stop, self.low)
+                if self.high < 99_999_999:
+                    stop = self._bound(f, start, stop, self.high + 1)
+                for at in range(start, stop, CHUNK):
+                    held.append(parse_day(os.path.basename(path).removesuffix(".day"), self._take(f, at, min(at + CHUNK, stop))))
+                    n += held[-1].num_rows
+                    if n >= CHUNK:
+                        yield pa.concat_batches(held)
+                        held, n = [], 0
+        if held:
+            yield pa.concat_batches(held)
 
 
 class PushingDayFileReader(DayFileReader):
@@ -129,9 +149,13 @@ class PushingDayFileReader(DayFileReader):
                     self.high = min(self.high, day)
             yield f
 
+
 @dataclass
 class _Staged(WriterCommitMessage):
-    files: dict[str, str]
+    """The i-th symbol's file is task-i."""
+
+    task: str
+    symbols: list[str]
 
 
 class DayFileWriter(DataSourceArrowWriter):
@@ -143,35 +167,35 @@ class DayFileWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Staged:
         os.makedirs(self.aside, exist_ok=True)
-        task, files, last = uuid.uuid4().hex, {}, {}
+        task, at, last = uuid.uuid4().hex, {}, {}
         for batch in iterator:
             table = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("date", "open", "high", "low", "close", "volume", "amount")}
             symbols = np.array(batch.column("symbol").cast(pa.string()).to_pylist(), object)
             packed = pack_rows(table)
-            for symbol in dict.fromkeys(symbols.tolist()):
+            edges = [*np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1])).tolist(), len(symbols)] if len(symbols) else []
+            for start, stop in zip(edges, edges[1:]):
+                symbol, mine = symbols[start], packed[start:stop]
                 if not symbol or "/" in symbol:
                     raise ValueError(f"no file name for symbol {symbol!r}")
-                mine = packed[symbols == symbol]
                 if (np.diff(mine["date"].astype(np.int64), prepend=last.get(symbol, 0)) < 0).any():
                     raise ValueError(f"bars of {symbol} are not in order of their dates")
                 last[symbol] = int(mine["date"][-1])
-                files[symbol] = os.path.join(self.aside, f"{task}-{len(files)}" if symbol not in files else os.path.basename(files[symbol]))
-                with open(files[symbol], "ab") as f:
+                with open(os.path.join(self.aside, f"{task}-{at.setdefault(symbol, len(at))}"), "ab") as f:
                     f.write(mine.tobytes())
-        return _Staged(files)
+        return _Staged(task, list(at))
 
     def commit(self, messages: list[_Staged | None]) -> None:
         done = [m for m in messages if m is not None]
-        names = [s for m in done for s in m.files]
-        if len(names) != len(set(names)):
+        names = {s for m in done for s in m.symbols}
+        if len(names) != sum(len(m.symbols) for m in done):
             self.abort(messages)
             raise ValueError("a symbol's bars come from more than one task; use write_day_files")
         for m in done:
-            for symbol, staged in m.files.items():
-                os.replace(staged, os.path.join(self.path, f"{symbol}.day"))
+            for i, symbol in enumerate(m.symbols):
+                os.replace(os.path.join(self.aside, f"{m.task}-{i}"), os.path.join(self.path, f"{symbol}.day"))
         if self.overwrite:
             for name in os.listdir(self.path):
-                if name.endswith(".day") and name.removesuffix(".day") not in set(names):
+                if name.endswith(".day") and name.removesuffix(".day") not in names:
                     os.remove(os.path.join(self.path, name))
         shutil.rmtree(self.aside, ignore_errors=True)
 

@@ -12,7 +12,7 @@ from quantloom.functions.registry import with_indicators
 from quantloom.operators import long_symbols
 from quantloom.operators.long_symbols import REACH, RUNNING, fades, long_indicators, numbered, over_slices, reach
 from quantloom.operators.rolling import rolled
-from quantloom.sources.day_file import PushingDayFileReader, read_day_files, write_day_files
+from quantloom.sources.day_file import DayFileReader, PushingDayFileReader, read_day_files, write_day_files
 from quantloom.windows import last
 
 SCHEMA = "symbol string, date timestamp_ntz, open double, high double, low double, close double, volume double, amount double"
@@ -146,3 +146,14 @@ def test_failed_writes_leave_the_folder_alone(days, tmp_path):
     assert {p.name: p.read_bytes() for p in path.glob("*.day")} == kept
     write_day_files(days.filter("symbol = 'bj1'"), str(path), mode="overwrite")
     assert [p.name for p in path.glob("*.day")] == ["bj1.day"]
+
+
+def test_many_short_files_share_splits(spark, tmp_path):
+    rows = [(f"s{i}", dt.date(2024, 1, 1 + j), 1.0 + i, 1.0 + i, 1.0 + i, 1.0 + i, 5.0, 5.0) for i in range(600) for j in range(3)]
+    bars = spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, volume double, amount double")
+    write_day_files(bars, str(tmp_path / "d"))
+    reader = DayFileReader({"path": str(tmp_path / "d"), "records_per_split": "300000"})
+    splits = reader.partitions()
+    assert [sum(b.num_rows for b in reader.read(p)) for p in splits] == [900, 900]  # a task a file before
+    assert all(len(list(reader.read(p))) == 1 for p in splits)
+    assert read_day_files(spark, str(tmp_path / "d")).exceptAll(bars).count() == 0 and read_day_files(spark, str(tmp_path / "d")).count() == 1800
