@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import inspect
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +21,11 @@ from ..functions.registry import indicator_of, with_indicators
 from ..scratch import written
 from ..windows import KEY, TIME, lag, mean, ratio
 from .order_stats import below, same_keys
+from .rolling import shared_rolling
 
 AT = "_at"
+#: Rows of all symbols that make a task of slices, on average.
+TASK = 100_000
 
 
 def fades(span: int) -> int:
@@ -83,10 +86,20 @@ def over_slices(table: DataFrame, run: Callable[[DataFrame], DataFrame], back: i
     own = F.floor(F.col(AT) / size)
     into = F.explode(F.sequence(own, F.floor((F.col(AT) + back) / size)))
     cut = table.withColumn("_slice", into).withColumn("_own", F.col("_slice") == own).withColumn(KEY, F.struct(F.col(KEY).alias("of"), F.col("_slice").alias("number")))
-    out = run(cut.drop("_slice")).filter("_own").drop("_own")
+    # a number of tasks by the rows: Spark would put slices together up to so many bytes of shuffled data, several times that in sorts
+    tasks = max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // TASK))
+    out = run(cut.drop("_slice").repartition(tasks, KEY)).filter("_own").drop("_own")
     return out.withColumn(KEY, F.col(f"{KEY}.of"))
 
 
+def long_rolling(bars: DataFrame, windows: Iterable[int], size: int = 20_000) -> DataFrame:
+    """shared_rolling() for symbols of any length: the same columns, no task holds more of a symbol than some slices."""
+    windows = tuple(windows)
+    if not windows:
+        return bars
+    return over_slices(numbered(bars), lambda df: shared_rolling(df, windows), max(windows) - 1, size).drop(AT)
+
+
 def running(table: DataFrame, sums: dict[str, Column], size: int = 100_000) -> DataFrame:
     """A numbered table plus running sums over each symbol: within the slices, and the totals of the slices before."""
     of = [KEY, "_slice"]

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.rolling import shared_rolling  # noqa: F401
+
 
 def _column(c):
     return F.expr(c) if isinstance(c, str) else c
@@ -38,12 +40,3 @@ def run_steps(df: DataFrame, steps: Iterable[dict]) -> DataFrame:
 
 def compose(*functions: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
     return lambda df: reduce(DataFrame.transform, functions, df)
-
-
-def shared_rolling(df: DataFrame, windows: Iterable[int]) -> DataFrame:
-    """high_n, low_n and mean_n for each window; narrow ones share one sort, wide ones cost no more than narrow ones."""
-    from ..operators.rolling import rolled
-
-    for n in windows:
-        df = rolled(df, n, {f"high_{n}": ("max", "high"), f"low_{n}": ("min", "low"), f"mean_{n}": ("mean", "close")})
-    return df

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest
 from ..operators.grid import signal_grid
-from ..operators.long_symbols import long_indicators
+from ..operators.long_symbols import long_indicators, long_rolling
 from ..scratch import folder
 from ..sources.bar_store import BarStore
 from ..sources.bars import bars_hour, bars_tick, bars_week
@@ -17,7 +17,6 @@ from ..sources.day_file import read_day_files, write_day_files
 from ..windows import lag as lag_of
 from ..windows import mean, total
 from .indicator_queries import rounded
-from .pipeline import shared_rolling
 from .sqltext import BARS_HOUR, BARS_TICK, BARS_WEEK, NUDGE, ewm, lag, last, so_far, staged
 
 QUERIES: dict = {}
@@ -33,7 +32,7 @@ SQL["indicators_long"] = staged([
 ], _LONG, bars=BARS_TICK)
 
 _WIDE = [f"{c}_{n}" for n in (20, 300, 700) for c in ("high", "low", "mean")]
-QUERIES["rolling_wide"] = lambda spark, sf_dir: rounded(shared_rolling(bars_tick(spark, sf_dir), (20, 300, 700)), *_WIDE)
+QUERIES["rolling_wide"] = lambda spark, sf_dir: rounded(long_rolling(bars_tick(spark, sf_dir), (20, 300, 700)), *_WIDE)
 SQL["rolling_wide"] = staged([{f"{a}_{n}": last(e, n) for n in (20, 300, 700) for a, e in (("high", "max(high)"), ("low", "min(low)"), ("mean", "avg(close)"))}], _WIDE, bars=BARS_TICK)
 
 

@@ -10,8 +10,8 @@ from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
 
 from quantloom.functions.registry import with_indicators
 from quantloom.operators import long_symbols
-from quantloom.operators.long_symbols import REACH, RUNNING, fades, long_indicators, numbered, over_slices, reach
-from quantloom.operators.rolling import rolled
+from quantloom.operators.long_symbols import REACH, RUNNING, fades, long_indicators, long_rolling, numbered, over_slices, reach
+from quantloom.operators.rolling import rolled, shared_rolling
 from quantloom.sources.day_file import DayFileReader, PushingDayFileReader, read_day_files, write_day_files
 from quantloom.windows import last
 
@@ -157,3 +157,14 @@ def test_many_short_files_share_splits(spark, tmp_path):
     assert [sum(b.num_rows for b in reader.read(p)) for p in splits] == [900, 900]  # a task a file before
     assert all(len(list(reader.read(p))) == 1 for p in splits)
     assert read_day_files(spark, str(tmp_path / "d")).exceptAll(bars).count() == 0 and read_day_files(spark, str(tmp_path / "d")).count() == 1800
+
+
+def test_wide_windows_of_long_symbols_go_by_slices(spark, sf_dir):
+    from quantloom.plans.catalog import QUERIES
+
+    rows = [("a" if i % 3 else "b", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), 1.0, 2.0 + i * 37 % 101, 0.5 - i * 53 % 89, 1.25 + i * 29 % 97, 1.0, 1.0) for i in range(4000)]
+    bars = spark.createDataFrame(rows, "symbol string, date timestamp_ntz, open double, high double, low double, close double, volume double, amount double")
+    want, got = (sorted(map(tuple, df.select("symbol", "date", *[f"{c}_{n}" for n in (20, 300, 700) for c in ("high", "low", "mean")]).collect())) for df in (shared_rolling(bars, (20, 300, 700)), long_rolling(bars, (20, 300, 700), size=250)))
+    assert len(got) == 4000 and all(a == pytest.approx(b) for a, b in zip((r[2:] for r in got), (r[2:] for r in want))) and [r[:2] for r in got] == [r[:2] for r in want]
+    plan = QUERIES["rolling_wide"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_slice" in plan  # a symbol was one task's before
