@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from ..windows import KEY, TIME, lag, row, so_far, w
 
 REQUIRED = ("date", "open", "high", "low", "close", "volume", "amount")
+#: Symbols whose bounds are broadcast.
+MOST = 500_000
 NUMBERS = ("open", "high", "low", "close", "volume", "amount")
 
 
@@ -23,26 +28,36 @@ def clean(df: DataFrame) -> DataFrame:
     return df.dropna().filter(F.col("volume") > 0)
 
 
-def _bounds(df: DataFrame, low: Column, high: Column, column: str) -> DataFrame:
-    """Rows within bounds computed over each symbol; the bounds have a row a symbol and join back by it."""
-    bounds = df.groupBy(KEY).agg(low.alias("_lo"), high.alias("_hi"))
-    return df.join(bounds, KEY).filter(F.col(column).between(F.col("_lo"), F.col("_hi")) | F.col("_lo").isNull()).drop("_lo", "_hi")
+def _trimmed(df: DataFrame, columns: tuple[str, ...], low_high: Callable[[str], tuple[Column, Column]]) -> DataFrame:
+    """Column after column, rows within bounds computed over each symbol. The bars and each column's bounds (a row a symbol) are
+    written once, so no step repeats the ones before it and the bars are only scanned, not sorted or shuffled."""
+    df = written(df)
+    for c in columns:
+        low, high = low_high(c)
+        bounds = written(df.groupBy(KEY).agg(low.alias("_lo"), high.alias("_hi")))
+        small = F.broadcast(bounds) if bounds.count() <= MOST else bounds
+        df = df.join(small, KEY).filter(F.col(c).between(F.col("_lo"), F.col("_hi")) | F.col("_lo").isNull()).drop("_lo", "_hi")
+    return df
 
 
 def clean_iqr(df: DataFrame, columns: tuple[str, ...] = ("open", "high", "low", "close"), t: float = 3.0) -> DataFrame:
     """Column after column: the quartiles of each are those of the rows that the columns before left."""
-    for c in columns:
+
+    def low_high(c: str) -> tuple[Column, Column]:
         q1, q3 = F.percentile(c, 0.25), F.percentile(c, 0.75)
-        df = _bounds(df, q1 - t * (q3 - q1), q3 + t * (q3 - q1), c)
-    return df
+        return q1 - t * (q3 - q1), q3 + t * (q3 - q1)
+
+    return _trimmed(df, columns, low_high)
 
 
 def clean_zscore(df: DataFrame, columns: tuple[str, ...] = ("open", "high", "low", "close"), t: float = 3.0) -> DataFrame:
     """Column after column, by sample deviation; a column without deviation keeps all rows."""
-    for c in columns:
+
+    def low_high(c: str) -> tuple[Column, Column]:
         mean, s = F.avg(c), F.nullif(F.stddev_samp(c), F.lit(0.0))
-        df = _bounds(df, mean - t * s, mean + t * s, c)
-    return df
+        return mean - t * s, mean + t * s
+
+    return _trimmed(df, columns, low_high)
 
 
 def fill(df: DataFrame, how: str = "forward", columns: tuple[str, ...] = NUMBERS) -> DataFrame:

@@ -346,3 +346,10 @@ def test_bar_with_a_low_of_zero_has_infinite_range(spark):
     assert got[:20] == [0.0] * 20 and got[20:24] == [math.inf] * 4 and all(0 < x < math.inf for x in got[24:])
     both = column(out.filter("symbol = 'b'"), "gk_volatility_20")  # infinite less infinite is no number
     assert all(math.isnan(x) for x in both[20:24]) and both[24:] == got[24:]
+
+
+def test_cleaning_only_scans_the_bars(spark, sf_dir):
+    import re
+
+    plan = prep.clean_zscore(bars_hour(spark, sf_dir), t=2.0)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and not re.search(r"(?<!Broadcast)Exchange", plan)
