@@ -76,8 +76,10 @@ def numbered(bars: DataFrame, size: int = 100_000) -> DataFrame:
     """A written table of bars plus _at, the row's place in its symbol by time, from 0. No task sorts more than about `size` rows
     of a symbol; rows of one time stand next to each other in any order."""
     bars = written(bars)
-    longest = bars.groupBy(KEY).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    placed = below(bars.withColumn("n", F.lit(1)), [KEY], TIME, pieces=max(1, -(-longest // size)), few=False, at_once=0)
+    longest, symbols = bars.groupBy(KEY).agg(F.count("*").alias("n")).agg(F.max("n"), F.count("*")).first()
+    pieces = max(1, -(-(longest or 0) // size))
+    # few: else Spark, which goes by the size of the file, may broadcast the bars to their pieces
+    placed = below(bars.withColumn("n", F.lit(1)), [KEY], TIME, pieces=pieces, few=symbols * pieces <= 200_000, at_once=0)
     return written(placed.withColumn(AT, F.col("before")).drop("n", "before", "total"))
 
 
